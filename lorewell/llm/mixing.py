@@ -6,9 +6,12 @@ bits of an MD5 of seed and doc_id), so counts depend on nothing but the document
 rate: recomputed tasks agree, and a rate that rises never removes a copy.  Documents are then
 exploded by their counts and sorted globally by a seeded hash of (doc_id, copy).
 
-The rates table has one row per source; it is joined without a hint, so Spark broadcasts it only if
-its measured size is small, and splits a hot source when it is not.  The quantile is exact for any
-rate (the table of probabilities is summed in log space until it holds all 48-bit numbers).
+The rates table has one row per source and is counted: up to BROADCAST_SOURCES rows it is broadcast,
+so that documents are not dealt by source at all; beyond, it is repeated SALTS times and documents
+join it by (source, hash of doc_id), so that a hot source is SALTS tasks.  The global order needs no
+sampling pass: its key is uniform by construction, so key x partitions is the partition.  The
+quantile is exact for any rate (the table of probabilities is summed in log space until it holds all
+48-bit numbers).
 
 Targets: `weights` (source -> weight; a source that is not named gets weight 0 and is left out), or
 `alpha`: weights in proportion to characters ^ alpha (1 keeps the mixture, 0 makes sources equal).
@@ -23,7 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorewell.llm.base import materialise
+
 NULL_SOURCE = "\x00null"
+BROADCAST_SOURCES = 20_000
+SALTS = 64
 
 
 def uniform(*parts: Column) -> Column:
@@ -32,9 +39,10 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def rates(docs: DataFrame, alpha: float = 0.5, weights: dict[str, float] | None = None, budget: float = 1.0) -> DataFrame:
-    """source_key, rate and cdf: one row per source.  budget: size of the mixture, times the input."""
-    chars = docs.groupBy(F.coalesce("source", F.lit(NULL_SOURCE)).alias("source_key")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("chars"))
+def rates(docs: DataFrame, size: Column | None = None, alpha: float = 0.5, weights: dict[str, float] | None = None, budget: float = 1.0) -> DataFrame:
+    """source_key, rate and cdf: one row per source.  size: what targets measure (default: characters); budget: size of
+    the mixture, times the input."""
+    chars = docs.groupBy(F.coalesce("source", F.lit(NULL_SOURCE)).alias("source_key")).agg(F.sum(F.coalesce(F.length("text") if size is None else size, F.lit(0))).cast("double").alias("chars"))
     if weights is None:
         w = F.when(F.col("chars") > 0, F.pow("chars", F.lit(alpha))).otherwise(0.0)
     else:
@@ -63,17 +71,24 @@ def rates(docs: DataFrame, alpha: float = 0.5, weights: dict[str, float] | None
 def replicate(docs: DataFrame, seed: int = 13, **target: object) -> DataFrame:
     """docs with rate, n_copies and copy_no: one row per copy; documents of count 0 are gone."""
     names = [c for c in docs.columns if c.lower() not in ("rate", "n_copies", "copy_no", "shuffle_key")]
-    r = rates(docs, **target)  # type: ignore[arg-type]
+    r = materialise(rates(docs, **target))  # type: ignore[arg-type]
     u = uniform(F.lit(seed), F.col("doc_id"))
-    joined = docs.select(*names, F.coalesce("source", F.lit(NULL_SOURCE)).alias("source_key")).join(r, "source_key")
+    keyed = docs.select(*names, F.coalesce("source", F.lit(NULL_SOURCE)).alias("source_key"))
+    if r.count() <= BROADCAST_SOURCES:
+        joined = keyed.join(F.broadcast(r), "source_key")
+    else:
+        salted = keyed.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(r.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["source_key", "__salt"])
     counted = joined.withColumn("__u", u).withColumn("n_copies", F.coalesce(F.expr("size(filter(cdf, c -> c <= __u))"), F.lit(0)))
     some = counted.where("cdf is not null and n_copies > 0")
     return some.select(*names, "rate", "n_copies", F.explode(F.expr("sequence(1, n_copies)")).alias("copy_no"))
 
 
 def shuffled(copies: DataFrame, seed: int = 13) -> DataFrame:
-    """All copies in the order of a seeded hash: a range shuffle, so that no task holds a source."""
-    return copies.withColumn("shuffle_key", uniform(F.lit(seed + 1), F.col("doc_id"), F.col("copy_no"))).orderBy("shuffle_key", "doc_id", "copy_no")
+    """All copies in the order of a seeded hash; partition k of n has the keys from k / n to (k + 1) / n."""
+    n = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = copies.withColumn("shuffle_key", uniform(F.lit(seed + 1), F.col("doc_id"), F.col("copy_no")))
+    return keyed.repartitionById(n, F.floor(F.col("shuffle_key") * n).cast("int")).sortWithinPartitions("shuffle_key", "doc_id", "copy_no")
 
 
 def mix_sources(docs: DataFrame, seed: int = 13, **target: object) -> DataFrame:
@@ -82,8 +97,9 @@ def mix_sources(docs: DataFrame, seed: int = 13, **target: object) -> DataFrame:
 
 
 def op6_poisson_mix(docs: DataFrame) -> DataFrame:
-    out = shuffled(replicate(docs.select("doc_id", "source", "text")))
-    return out.select("doc_id", "source", F.length("text").alias("chars"), F.round("rate", 9).alias("rate"), "n_copies", "copy_no", F.round("shuffle_key", 9).alias("shuffle_key"))
+    sized = docs.select("doc_id", "source", F.length("text").alias("chars"))
+    out = shuffled(replicate(sized, size=F.col("chars")))
+    return out.select("doc_id", "source", "chars", F.round("rate", 9).alias("rate"), "n_copies", "copy_no", F.round("shuffle_key", 9).alias("shuffle_key"))
 
 
 _MIX = """
