@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorewell.llm.base import add_columns, buffers
-from lorewell.llm.learning import keep_threshold, labelled_sample, logistic, sigmoid
+from lorewell.llm.learning import SPAN, keep_threshold, labelled_sample, logistic, sigmoid
 from lorewell.llm.quality_rules import statistics
 
 SURE = 0.95
@@ -129,9 +129,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, pool: int = 4
     y = np.array([r["y"] for r in rows], float)
     if len(rows) < 20 or y.min() == y.max():
         return CoTrained()
-    ids = docs.where((F.length("text") <= max_row_chars) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__i")).orderBy(F.xxhash64(F.lit(17), F.col("__i")), "__i").limit(pool)
-    free = docs.select("doc_id", "text", *extra).join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("__i")).groupBy("doc_id").agg(F.max(F.struct("text", *extra)).alias("r")).select("doc_id", "r.*").collect()
-    free = sorted(free, key=lambda r: r["doc_id"])
+    total = max(1, docs.count())
+    u = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(SPAN))
+    some = docs.where((F.length("text") <= max_row_chars) & F.col("doc_id").isNotNull() & (u < int(SPAN * min(1.0, 1.2 * pool / total))))
+    free = some.groupBy("doc_id").agg(F.max(F.struct("text", *extra)).alias("r"), F.max(u).alias("u")).select("doc_id", "r.*", "u").collect()
+    free = sorted(free, key=lambda r: (r["u"], r["doc_id"]))[:pool]
 
     def views(rs: list) -> tuple[np.ndarray, np.ndarray]:
         col = {c: pa.array([r[c] for r in rs]) for c in ("text", *extra)}

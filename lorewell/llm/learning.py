@@ -8,20 +8,27 @@ from pyspark.sql import functions as F
 
 from lorewell.llm.base import held_out
 
+SPAN = 1 << 40
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = 2000, max_row_chars: int = 20_000, seed: int = 5, extra: tuple[str, ...] = ()) -> list:
     """Rows (doc_id, text, y, *extra) for fitting: at most per_class documents of each class.
 
-    The bound is per_class x 2 documents of at most max_row_chars characters.  The sample is the rows
-    with the least hash of doc_id, of those that held_out() does not mark; of repeated ids, one row.
+    The bound is per_class x 2 documents of at most max_row_chars characters: the rows with the least
+    hash of doc_id, of those that held_out() does not mark (a fifth more are drawn by a hash threshold
+    that follows from the class counts, so that no task sends more than its share); of repeated ids,
+    one row.
     """
     lab = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    order = [F.xxhash64(F.col("doc_id"), F.lit(seed)), F.col("doc_id")]
-    ids = lab.where("y = 1").orderBy(*order).limit(per_class).unionByName(lab.where("y <> 1").orderBy(*order).limit(per_class))
-    some = docs.where(F.length("text") <= max_row_chars).select("doc_id", "text", *extra).join(F.broadcast(ids), "doc_id")  # 2 x per_class rows
-    one = some.groupBy("doc_id").agg(F.max(F.struct("text", *extra)).alias("r"), F.max("y").alias("y"))
-    rows = one.select("doc_id", "r.*", "y").collect()
-    return sorted(rows, key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"]))
+    n = {bool(r["c"]): r["n"] for r in lab.groupBy((F.col("y") == 1).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(SPAN))
+    share = [int(SPAN * min(1.0, 1.2 * per_class / max(1, n.get(c, 0)))) for c in (False, True)]
+    ids = lab.withColumn("__u", u).where(F.col("__u") < F.when(F.col("y") == 1, F.lit(share[1])).otherwise(F.lit(share[0])))
+    some = docs.where(F.length("text") <= max_row_chars).select("doc_id", "text", *extra).join(F.broadcast(ids), "doc_id")  # about 2.4 x per_class rows
+    one = some.groupBy("doc_id").agg(F.max(F.struct("text", *extra)).alias("r"), F.max("y").alias("y"), F.max("__u").alias("__u"))
+    rows = sorted(one.select("doc_id", "r.*", "y", "__u").collect(), key=lambda r: (r["__u"], r["doc_id"]))
+    own = [[r for r in rows if (r["y"] == 1) == c][:per_class] for c in (False, True)]
+    return sorted(own[0] + own[1], key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"]))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -5,8 +5,8 @@ curve through that grid, rows are put in curve order, and the order is cut into
 written by (shard, slot) then hold small boxes of the metadata space, so a filter on any of the
 dimensions skips most of them by their min/max statistics.
 
-Cut points of a dimension come from a bounded sample (`sample` rows, least hash first); every row is
-placed.  The law is `rows`: shard sizes differ by one row at most.  Positions are exact without a
+Cut points of a dimension come from a bounded sample (rows are drawn by a hash of their keys so that
+about `sample` are expected); every row is placed.  The law is `rows`: shard sizes differ by one row at most.  Positions are exact without a
 global sort: curve cells are split by a hash of doc_id into runs of about `run` rows, so a cell that
 holds a third of all rows is many runs; row numbers within runs, plus running totals of the run
 sizes (cells are bounded by 2^(bits x dimensions)), give each row's place.  Only ids, sizes and
@@ -90,9 +90,11 @@ def curve_shards(rows: DataFrame, facts: DataFrame, dims: list[str], order: list
     """
     if bits * len(dims) > 16:
         raise ValueError("the grid is bounded to 2^16 cells")
-    seen = facts.select(*dims, *[F.col(c).alias(f"__o{k}") for k, c in enumerate(order)]).orderBy(F.xxhash64(*[f"__o{k}" for k in range(len(order))]), *dims).limit(sample).collect()
-    cuts = [_cuts([r[k] for r in seen], 1 << bits) for k in range(len(dims))]
     total = max(1, facts.count())
+    span = 1 << 40
+    drawn = F.pmod(F.xxhash64(F.lit(3), *order), F.lit(span)) < F.lit(min(span, span * sample // total))
+    seen = facts.where(drawn).select(*dims).collect()  # about `sample` rows
+    cuts = [_cuts([r[k] for r in seen], 1 << bits) for k in range(len(dims))]
     parts = -(-total // run)
     w = Window.partitionBy("__cell", "__sub").orderBy(*order)
     numbered = _on_curve(rows, cuts, dims, order, bits, parts).withColumn("__rn", F.row_number().over(w) - 1)

@@ -144,49 +144,51 @@ def _thirds(low: int, high: int) -> list[tuple[int, int]]:
     return list(zip(cut[:-1], cut[1:], strict=True))
 
 
-def _band_keys() -> list[tuple[Column, list[tuple[Column, list[Column]]]]]:
-    """For each band pair its key, its third-level refinements: (key, [(key, [keys])])."""
-    fp, out = F.col("fp"), []
+def _band_keys() -> list[list[Column]]:
+    """Keys by level: six band pairs; three refinements of each; three of each of those."""
+    fp, levels = F.col("fp"), [[], [], []]
     for i in range(4):
         for j in range(i + 1, 4):
             base = [F.lit(i * 4 + j), _bits(fp, *BANDS[i]), _bits(fp, *BANDS[j])]
+            levels[0].append(_part(0, base))
             rest = [b for k, b in enumerate(BANDS) if k not in (i, j)]
             # thirds of the 32 other bits, as pieces of the two bands that hold them
             pieces = [[(rest[0][0], rest[0][0] + 11)], [(rest[0][0] + 11, rest[0][1]), (rest[1][0], rest[1][0] + 5)], [(rest[1][0] + 5, rest[1][1])]]
-            mid = []
             for k, piece in enumerate(pieces):
                 one = [*base, F.lit(k), *[_bits(fp, *p) for p in piece]]
+                levels[1].append(_part(1, one))
                 left = [p for m, x in enumerate(pieces) if m != k for p in x]
-                ninths = [[left[0]], left[1:]] if len(left) == 2 else [[left[0]], [left[1]], [left[2]]]
-                if len(ninths) == 2:
-                    a, b = left[1]
-                    ninths = [[left[0]], [(a, (a + b) // 2)], [((a + b) // 2, b)]]
-                mid.append((_part(1, one), [_part(2, [*one, F.lit(m), *[_bits(fp, *p) for p in x]]) for m, x in enumerate(ninths)]))
-            out.append((_part(0, base), mid))
-    return out
+                if len(left) == 2:
+                    a, z = left[1]
+                    left = [left[0], (a, (a + z) // 2), ((a + z) // 2, z)]
+                levels[2] += [_part(2, [*one, F.lit(m), _bits(fp, *x)]) for m, x in enumerate(left)]
+    return levels
 
 
-def _anchor_keys() -> list[tuple[Column, list[tuple[Column, list[Column]]]]]:
-    a = [F.col("anchors")[k] for k in range(ANCHORS)]
-    out = []
+def _anchor_keys() -> list[list[Column]]:
+    """Keys by level: each minimum; its pairs with the others; triples."""
+    a, levels = [F.col("anchors")[k] for k in range(ANCHORS)], [[], [], []]
     for i in range(ANCHORS):
-        one = [F.lit(i), a[i]]
-        mid = []
-        for j in range(ANCHORS):
-            if j != i:
-                two = [F.lit(min(i, j) * ANCHORS + max(i, j)), a[min(i, j)], a[max(i, j)]]
-                mid.append((_part(1, two), [_part(2, [*two, F.lit(k), a[k]]) for k in range(ANCHORS) if k not in (i, j)]))
-        out.append((_part(0, one), mid))
-    return out
+        levels[0].append(_part(0, [F.lit(i), a[i]]))
+        for j in (j for j in range(ANCHORS) if j != i):
+            two = [F.lit(min(i, j) * ANCHORS + max(i, j)), a[min(i, j)], a[max(i, j)]]
+            levels[1].append(_part(1, two))
+            for k in (k for k in range(ANCHORS) if k not in (i, j)):
+                three = sorted((i, j, k))
+                levels[2].append(_part(2, [F.lit(three[0] * 36 + three[1] * 6 + three[2]), *[a[x] for x in three]]))
+    return levels
 
 
-def _blocks(nodes: DataFrame, keys: list, hot: int) -> DataFrame:
+def _blocks(nodes: DataFrame, levels: list[list[Column]], hot: int) -> DataFrame:
     """(node, fp, key) rows of all blocks of two or more nodes.
 
     Block sizes come from an aggregation with map-side partial counts; single-member blocks, nearly
-    all of them, go at once.  Blocks above `hot` are replaced by their refinements.
+    all of them, go at once.  Blocks above `hot` are replaced by their refinements, whose keys are
+    made for the rows of such blocks only; key number p of a level refines key p // fan of the one
+    above.
     """
-    level = nodes.select("node", "fp", F.explode(F.array(*[F.struct(k.alias("key"), F.array(*[F.struct(x.alias("key"), F.array(*y).alias("next")) for x, y in m]).alias("next")) for k, m in keys])).alias("k")).select("node", "fp", "k.key", F.col("k.next").alias("next"))
+    carry = [c for c in ("node", "fp", "anchors") if c in nodes.columns]
+    level = nodes.select(*carry, F.posexplode(F.array(*levels[0])).alias("pos", "key"))
     out = None
     for step in range(3):
         sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -198,8 +200,11 @@ def _blocks(nodes: DataFrame, keys: list, hot: int) -> DataFrame:
         over = met.where(F.col("n") > hot)
         if over.limit(1).isEmpty():
             break
-        finer = materialise(over.select("node", "fp", F.explode("next").alias("k")))
-        level = finer.select("node", "fp", "k.key", F.col("k.next").alias("next")).distinct() if step == 0 else finer.select("node", "fp", F.col("k").alias("key")).distinct()
+        fan = len(levels[step + 1]) // len(levels[step])
+        made = F.slice(F.array(*levels[step + 1]), F.col("pos") * fan + 1, fan)
+        finer = over.select(*carry, F.col("pos").alias("was"), F.posexplode(made).alias("p", "key")).select(*carry, (F.col("was") * fan + F.col("p")).cast("int").alias("pos"), "key")
+        # two refinements can name the same pair or triple of minima: one block, each node once
+        level = materialise(finer.groupBy("node", "key").agg(*[F.first(c).alias(c) for c in [*carry[1:], "pos"]]).select(*carry, "pos", "key"))
     return out
 
 
@@ -246,7 +251,7 @@ def _connected(parts: list[pa.RecordBatch], width: int, radius: int) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[label[far]])], names=["a", "b"])
 
 
-def groups(prints: DataFrame, width: int, radius: int, keys: list, hot: int = HOT) -> DataFrame:
+def groups(prints: DataFrame, width: int, radius: int, keys: list[list[Column]], hot: int = HOT) -> DataFrame:
     """(fp, node, component): prints has (doc_id, fp[, anchors]); node is the least doc_id of the fingerprint."""
     extra = [F.first("anchors").alias("anchors")] if "anchors" in prints.columns else []
     nodes = materialise(prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node"), *extra))
