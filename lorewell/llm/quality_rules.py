@@ -2,12 +2,12 @@ r"""Operator 5, quality rules learned as gradient-boosted trees over document st
 
 Statistics of a whole text (words are runs outside ASCII blanks): counts of words, of their code
 points, of symbols `#*$%&|<>`, of lines equal to an earlier one, of words in repeated 3-word windows,
-and further shares (capitals, digits, exclamation marks, distinct words).  All are computed with
+and further shares (capitals, digits, exclamation marks, log of distinct words over log of words).  All are computed with
 numpy on Arrow's buffers; equality of words, lines and windows is equality of 64-bit hashes.
 
 A forest (gbt.fit_forest) is fitted on a bounded labelled sample (labels.quality); the shares of
 symbols, repeats, repeated lines, capitals and exclamation marks are constrained never to raise the
-score.  Scoring walks flat node arrays for all rows at once.  The verdict keeps a document whose
+score, length and distinct words never to lower it.  Scoring walks flat node arrays for all rows at once.  The verdict keeps a document whose
 score reaches the cut that keeps `keep` of the good documents of a fifth that the fit does not see
 (`max_cut` at most, so that a sharp forest does not drop borderline documents).
 `base_failed` (fewer than 50 words, or over half of the words repeated) overrides it.
@@ -32,7 +32,7 @@ from lorewell.llm.learning import keep_threshold, labelled_sample
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["log_words", "word_length", "symbols", "dup_lines", "repeats", "capitals", "digits", "shouts", "distinct"]
-MONOTONE = np.array([0, 0, -1, -1, -1, -1, 0, -1, 0])
+MONOTONE = np.array([1, 0, -1, -1, -1, -1, 0, -1, 1])
 SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = 1
 NEWLINE = np.zeros(256, bool)
@@ -91,7 +91,7 @@ def block_statistics(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.
     shares = [
         np.log1p(n_words), chars / w, symbols / w, dup_lines / np.maximum(1, lines), repeats / w,
         _per_row((data >= 65) & (data <= 90), off) / size, _per_row((data >= 48) & (data <= 57), off) / size,
-        _per_row(data == 33, off) / w, 1 - again / w,
+        _per_row(data == 33, off) / w, np.log1p(n_words - again) / np.log1p(w),  # the share of distinct words itself falls with length
     ]
     return counts, np.stack(shares, axis=1)
 
@@ -116,7 +116,7 @@ class QualityRules:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, keep: float = 0.998, max_cut: float = 0.2) -> QualityRules:
-    rows = labelled_sample(docs, labels, "quality", per_class)
+    rows = labelled_sample(docs, labels, "quality", per_class, max_row_chars=100_000)
     y = np.array([r["y"] for r in rows], float)
     if len(rows) < 10 or y.min() == y.max():
         return QualityRules(constant(1.0), 0.0)
