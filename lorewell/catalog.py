@@ -1,10 +1,8 @@
-"""Queries of the corpus engine, by name, and their DuckDB equivalents."""
+"""All queries of the corpus engine, by name, and their DuckDB equivalents."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lorewell.queries import corpus, dialogue, logs, retrieval, star, web
+from lorewell.queries.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "dialogue", "logs", "retrieval", "star", "web"]
