@@ -39,13 +39,11 @@ def strip(c: Column | str) -> Column:
 
 
 def bm25_tokens(c: Column | str) -> Column:
-    stop = F.array(*[F.lit(w) for w in BM25_STOP])
-    return F.filter(F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(BM25_TOKEN)), lambda t: ~F.array_contains(stop, t))
+    return F.filter(F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(BM25_TOKEN)), lambda t: ~t.isin(*BM25_STOP))
 
 
 def claim_tokens(c: Column | str) -> Column:
-    stop = F.array(*[F.lit(w) for w in CLAIM_STOP])
-    return F.filter(F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(CLAIM_TOKEN)), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(CLAIM_TOKEN)), lambda t: (F.length(t) > 1) & ~t.isin(*CLAIM_STOP))
 
 
 def claim_token_set(c: Column | str) -> Column:
@@ -161,6 +159,10 @@ NOISE = (
 )
 
 
+#: Any character beyond printable ASCII and white space: texts without one need no closer look.
+ODD = r"[^\x09-\x0D\x20-\x7E]"
+
+
 def garbage_token(t: Column) -> Column:
     """Whether a token is unrecoverable extraction noise."""
     n, foreign = F.length(t), F.length(F.regexp_replace(t, r"[\x00-\x7F]", ""))
@@ -171,21 +173,25 @@ def garbage_token(t: Column) -> Column:
 
 
 def quality_score(c: Column | str) -> Column:
-    """1 for clean text, towards 0 as garbage tokens or noise characters take over."""
+    """1 for clean text, towards 0 as garbage tokens or noise characters take over.
+
+    Only tokens with a character beyond printable ASCII can be garbage, so only those are looked at.
+    """
     t = text_or_empty(c)
-    toks = F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
-    total = F.aggregate(toks, F.lit(0), lambda a, x: a + F.length(x))
-    bad = F.aggregate(F.filter(toks, garbage_token), F.lit(0), lambda a, x: a + F.length(x))
+    total = F.length(F.regexp_replace(t, r"(?U)\s+", ""))
+    odd = F.regexp_extract_all(t, F.lit(r"(?U)([^\s]*[^\x21-\x7E\s][^\s]*)"))
+    bad = F.aggregate(F.filter(odd, garbage_token), F.lit(0), lambda a, x: a + F.length(x))
     noise = F.length(t) - F.length(F.regexp_replace(t, NOISE, ""))
     penalty = F.least(F.lit(1.0), noise / F.greatest(F.lit(1), F.length(t)) * 4.0)
-    return F.when(total == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(1.0 - bad / F.nullif(total, F.lit(0)), 1.0 - penalty)))
+    return F.when(~t.rlike(ODD) | (total == 0), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(1.0 - bad / F.nullif(total, F.lit(0)), 1.0 - penalty)))
 
 
 def drop_garbage_lines(c: Column | str) -> Column:
     """Text without the lines that are mostly garbage; blank lines stay."""
-    lines = F.filter(F.split(text_or_empty(c), "\n", -1), lambda x: (strip(x) == "") | (quality_score(x) >= 0.5))
-    return normalize_whitespace(F.array_join(lines, "\n"))
+    t = text_or_empty(c)
+    lines = F.filter(F.split(t, "\n", -1), lambda x: ~x.rlike(ODD) | (strip(x) == "") | (quality_score(x) >= 0.5))
+    return normalize_whitespace(F.when(t.rlike(ODD), F.array_join(lines, "\n")).otherwise(t))
 
 
 def dropped_lines(c: Column | str) -> Column:
-    return F.filter(F.split(text_or_empty(c), "\n", -1), lambda x: (strip(x) != "") & (quality_score(x) < 0.5))
+    return F.filter(F.split(text_or_empty(c), "\n", -1), lambda x: x.rlike(ODD) & (strip(x) != "") & (quality_score(x) < 0.5))

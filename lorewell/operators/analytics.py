@@ -50,6 +50,10 @@ def regression_guard(now: DataFrame, before: DataFrame, by: str = "source", drop
     return gone.unionByName(total.select(F.lit("count_dropped").alias("error"), F.lit("all").alias("what"), "was", "now"))
 
 
+def _any_has(array: str, value: str) -> Column:
+    return F.exists(array, lambda x: F.contains(F.lower(x), F.lit(value.lower())))
+
+
 def explorer(docs: DataFrame, **f: str) -> DataFrame:
     """Conjunctive optional filters: q (regular expression over title or text), and equality or containment on fields."""
     out = docs
@@ -61,5 +65,5 @@ def explorer(docs: DataFrame, **f: str) -> DataFrame:
             out = out.where(F.col(name) == f[name])
     for name in ("author", "tag"):
         if f.get(name):
-            out = out.where(F.exists(f"{name}s", lambda x, v=f[name]: F.contains(F.lower(x), F.lit(v.lower()))))
+            out = out.where(_any_has(f"{name}s", f[name]))
     return out

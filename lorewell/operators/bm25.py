@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import bm25_tokens
+from lorewell.plans.tables import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -24,13 +25,13 @@ class Index(NamedTuple):
 def build(docs: DataFrame, id_col: str, text_col: str) -> Index:
     """A text without tokens has the one token "_".
 
-    Counting (id, term) combines map-side, so only postings are shuffled; negative idf becomes
-    EPSILON x the mean of the raw idf over the vocabulary.
+    Texts are tokenised once: postings are written to the shared folder, and lengths, counts and idf
+    are aggregations of them.  Counting (id, term) combines map-side, so only postings are shuffled;
+    negative idf becomes EPSILON x the mean of the raw idf over the vocabulary.
     """
-    toks = bm25_tokens(text_col)
-    base = docs.select(F.col(id_col).alias("id"), F.when(F.size(toks) == 0, F.array(F.lit("_"))).otherwise(toks).alias("tokens"))
-    lengths = base.select("id", F.size("tokens").alias("dl"))
-    postings = base.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    each = docs.select(F.col(id_col).alias("id"), F.explode_outer(bm25_tokens(text_col)).alias("term"))
+    postings = stored(each.groupBy("id", F.coalesce("term", F.lit("_")).alias("term")).agg(F.count(F.lit(1)).alias("tf")))
+    lengths = postings.groupBy("id").agg(F.sum("tf").alias("dl"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n")))  # one row
     raw = raw.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
