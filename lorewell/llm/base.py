@@ -89,6 +89,8 @@ def add_columns(
                 continue
             fresh = [a if a.type == t else a.cast(t) for a, t in zip(make(b), types, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(n)) for n in kept] + fresh, names=labels)
+            del b, fresh
+            pa.default_memory_pool().release_unused()
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in stay] + [T.StructField(n, t, True) for n, t in new])
     return df.mapInArrow(run, schema)
@@ -105,10 +107,12 @@ def _arrow(t: T.DataType) -> pa.DataType:
 
 def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string array; a null counts as an empty text."""
-    text = text.cast(pa.large_string()).fill_null("")
+    if text.null_count:
+        text = text.fill_null("")
     if not len(text):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    off = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    kind = np.int64 if pa.types.is_large_string(text.type) else np.int32
+    off = np.frombuffer(text.buffers()[1], kind)[text.offset : text.offset + len(text) + 1].astype(np.int64)
     raw = text.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     return data[off[0] : off[-1]], off - off[0]
