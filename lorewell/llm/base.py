@@ -19,10 +19,6 @@ from pyspark.sql import types as T
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-#: Rows that Python works on and returns at a time: smaller Arrow buffers on both sides.
-SLICE = 2048
-
-
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver did (harmless elsewhere)."""
     env = spark.sparkContext.environment
@@ -88,7 +84,9 @@ def add_columns(
     labels = kept + [n for n, _ in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
+        for b in batches:
+            if not b.num_rows:
+                continue
             fresh = [a if a.type == t else a.cast(t) for a, t in zip(make(b), types, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(n)) for n in kept] + fresh, names=labels)
             del b, fresh
