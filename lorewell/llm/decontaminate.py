@@ -131,35 +131,46 @@ def touched(docs: DataFrame, items: list[tuple[int, str]], n: int, pad: int) ->
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, first_word long, seeds array<long>, passage string")
 
 
+def _row(item_word: np.uint64, passage: np.ndarray, prev: np.ndarray, ramp: np.ndarray) -> np.ndarray:
+    """Next row of the alignment table: match 2, mismatch and gap -1, never below 0."""
+    cur = np.zeros(len(prev), np.int32)
+    cur[1:] = np.maximum(prev[:-1] + np.where(passage == item_word, 2, -1), prev[1:] - 1)
+    np.maximum(cur, 0, out=cur)
+    return np.maximum.accumulate(cur + ramp) - ramp  # gaps within the passage
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment of word hashes: score, first and last word of the passage in it."""
-    m = len(passage)
-    ramp = np.arange(m + 1)
-    prev = np.zeros(m + 1, np.int64)
-    best, end = 0, 0
-    rows = [prev]
-    for w in item:
-        cur = np.zeros(m + 1, np.int64)
-        cur[1:] = np.maximum(prev[:-1] + np.where(passage == w, 2, -1), prev[1:] - 1)
-        np.maximum(cur, 0, out=cur)
-        cur = np.maximum.accumulate(cur + ramp) - ramp  # gaps within the passage
-        prev = cur
-        rows.append(cur)
-        k = int(cur.argmax())
-        if cur[k] > best:
-            best, end, at = int(cur[k]), k, len(rows) - 1
+    """Best local alignment of word hashes: score, first and last word of the passage in it.
+
+    A first pass holds one row and finds where the best alignment ends.  With a score above 0 it has
+    fewer gaps than twice its matches, so it lies within the 3 x item words before that end: only
+    there are rows kept to trace it back, whatever the passage's length.
+    """
+    ramp = np.arange(len(passage) + 1, dtype=np.int32)
+    prev = np.zeros(len(passage) + 1, np.int32)
+    best, end, at = 0, 0, 0
+    for i, w in enumerate(item, 1):
+        prev = _row(w, passage, prev, ramp)
+        k = int(prev.argmax())
+        if prev[k] > best:
+            best, end, at = int(prev[k]), k, i
     if not best:
         return 0, 0, 0
-    j, i = end, at
+    low = max(0, end - 3 * len(item))
+    near = passage[low:end]
+    rows = [np.zeros(len(near) + 1, np.int32)]
+    for w in item[:at]:
+        rows.append(_row(w, near, rows[-1], ramp[: len(near) + 1]))
+    i, j = at, len(near)
     while i > 0 and j > 0 and rows[i][j] > 0:
         v = rows[i][j]
-        if v == rows[i - 1][j - 1] + (2 if passage[j - 1] == item[i - 1] else -1):
+        if v == rows[i - 1][j - 1] + (2 if near[j - 1] == item[i - 1] else -1):
             i, j = i - 1, j - 1
         elif v == rows[i - 1][j] - 1:
             i -= 1
         else:
             j -= 1
-    return best, j, end
+    return best, low + j, end
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.5, common_ratio: float = 8.0, common_floor: int = 100, pad: int = 8, block: int = 20_000) -> DataFrame:
