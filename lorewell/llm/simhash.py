@@ -12,6 +12,9 @@ Two settings of one operator:
   minimum shingle hashes; texts of similarity 0.8 miss all of them with probability 0.2^6.  A hot
   block is dealt out again by pairs, then triples, of minima.
 
+Blocks of the last level above `tile` members are cut in pieces that meet two by two, so that no task
+holds more than two pieces and all members are still compared.
+
 Equal fingerprints are one node from the start (map-side minimum), so copies cost nothing.  In each
 block bitslice.connect() compares all members and returns one link per member (its chain's least
 member), never all pairs; components() joins the links.  Only (id, fingerprint) rows are shuffled.
@@ -40,6 +43,8 @@ ANCHORS = 6
 #: Share of differing bits at which two shingle sets have an estimated similarity of 0.8 (cosine 8/9).
 RADIUS_08 = 39
 HOT = 4096
+#: Members of a last-level block that one task compares at a time (twice as many: two pieces).
+TILE = 1 << 14
 PIECE = 1 << 16
 
 
@@ -179,7 +184,15 @@ def _anchor_keys() -> list[list[Column]]:
     return levels
 
 
-def _blocks(nodes: DataFrame, levels: list[list[Column]], hot: int) -> DataFrame:
+def _tiles(tile: int) -> Column:
+    """Keys of a member of a block of n: the block's, or beyond `tile` those of its piece with every piece."""
+    pieces = F.ceil(F.col("n") / tile).cast("int")
+    own = F.pmod(F.xxhash64("node"), pieces).cast("int")
+    met = F.transform(F.sequence(F.lit(0), pieces - 1), lambda j: F.xxhash64(F.lit(3), F.col("key"), F.least(own, j), F.greatest(own, j)))
+    return F.when(F.col("n") > tile, met).otherwise(F.array("key"))
+
+
+def _blocks(nodes: DataFrame, levels: list[list[Column]], hot: int, tile: int = TILE) -> DataFrame:
     """(node, fp, key) rows of all blocks of two or more nodes.
 
     Block sizes come from an aggregation with map-side partial counts; single-member blocks, nearly
@@ -193,7 +206,7 @@ def _blocks(nodes: DataFrame, levels: list[list[Column]], hot: int) -> DataFrame
     for step in range(3):
         sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         met = level.join(sizes, "key")
-        ready = (met if step == 2 else met.where(F.col("n") <= hot)).select("node", "fp", "key")
+        ready = met.select("node", "fp", F.explode(_tiles(tile)).alias("key")) if step == 2 else met.where(F.col("n") <= hot).select("node", "fp", "key")
         out = ready if out is None else out.unionByName(ready)
         if step == 2:
             break
@@ -251,25 +264,25 @@ def _connected(parts: list[pa.RecordBatch], width: int, radius: int) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[label[far]])], names=["a", "b"])
 
 
-def groups(prints: DataFrame, width: int, radius: int, keys: list[list[Column]], hot: int = HOT) -> DataFrame:
+def groups(prints: DataFrame, width: int, radius: int, keys: list[list[Column]], hot: int = HOT, tile: int = TILE) -> DataFrame:
     """(fp, node, component): prints has (doc_id, fp[, anchors]); node is the least doc_id of the fingerprint."""
     extra = [F.first("anchors").alias("anchors")] if "anchors" in prints.columns else []
     nodes = materialise(prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node"), *extra))
-    linked = components(_links(_blocks(nodes, keys, hot), width, radius))
+    linked = components(_links(_blocks(nodes, keys, hot, tile), width, radius))
     return nodes.join(linked, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def near_duplicates(docs: DataFrame, hot: int = HOT, tile: int = TILE) -> DataFrame:
     """doc_id, fp and component_id of every row: the contract's setting."""
     prints = materialise(contract_fingerprints(docs.select("doc_id", "text"), ["doc_id"]))
-    found = groups(prints, 1, 2, _band_keys(), hot)
+    found = groups(prints, 1, 2, _band_keys(), hot, tile)
     return prints.join(found, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
-def similar_documents(docs: DataFrame, radius: int = RADIUS_08, hot: int = HOT) -> DataFrame:
+def similar_documents(docs: DataFrame, radius: int = RADIUS_08, hot: int = HOT, tile: int = TILE) -> DataFrame:
     """doc_id and component_id over 5-word shingles at an estimated similarity of 0.8 or more."""
     prints = materialise(wide_fingerprints(docs.select("doc_id", "text"), ["doc_id"]))
-    found = groups(prints, 4, radius, _anchor_keys(), hot)
+    found = groups(prints, 4, radius, _anchor_keys(), hot, tile)
     return prints.select("doc_id", "fp").join(found, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 

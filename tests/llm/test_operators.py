@@ -127,8 +127,8 @@ def fingerprint(t):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("hot", [simhash.HOT, 2])
-def test_simhash_against_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "tile"), [(simhash.HOT, simhash.TILE), (2, simhash.TILE), (1, 1)])
+def test_simhash_against_brute_force(spark, hot, tile):
     rng, rows = random.Random(4), []
     for k in range(40):
         base = prose(k, 60).split()
@@ -138,7 +138,7 @@ def test_simhash_against_brute_force(spark, hot):
                 w[rng.randrange(60)] = "Edited"
             rows.append((len(rows) * 3 % 400, " ".join(w)))
     rows += [(900, None), (901, " "), (902, "A b"), (903, "a B")]
-    got = {r["doc_id"]: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), hot).collect()}
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), hot, tile).collect()}
     ids = sorted(i for i, _ in rows)
     fp = {i: fingerprint(t) for i, t in rows}
     want = [ids[k] for k in brute_groups([fp[i] for i in ids], lambda a, b: far(a, b) <= 2)]
@@ -192,6 +192,14 @@ def test_similar_documents_at_08(spark):
     assert sum(again[i] == got[i] for i in got) >= len(got) - 2
 
 
+def test_tiles_compare_all_members_of_a_block(spark):
+    members = spark.range(200).selectExpr("id as node", "if(id < 190, 7L, 8L) as key", "if(id < 190, 190, 10) as n")
+    tiles = members.select("node", "n", F.explode(simhash._tiles(32)).alias("tile"))
+    met = tiles.alias("a").join(tiles.alias("b"), "tile").where("a.node < b.node").select("a.node", "b.node").distinct().count()
+    assert met == 190 * 189 // 2 + 10 * 9 // 2
+    assert tiles.groupBy("tile").count().agg(F.max("count")).first()[0] < 2 * 2 * 32
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(k, k + 1) for k in range(100, 130)]
@@ -373,6 +381,11 @@ def test_alignment_against_the_plain_table():
         s, lo, hi = decontaminate.align(a, b)
         assert s == plain_align(a.tolist(), b.tolist())
         assert s == 0 or plain_align(a.tolist(), b[lo:hi].tolist()) == s
+    for _ in range(20):  # passages much longer than the item
+        a, b = rng.integers(0, 30, 12).astype(np.uint64), rng.integers(0, 30, 400).astype(np.uint64)
+        s, lo, hi = decontaminate.align(a, b)
+        assert s == plain_align(a.tolist(), b.tolist()) == plain_align(a.tolist(), b[lo:hi].tolist())
+        assert 0 < hi - lo <= 36
 
 
 def test_decontamination_finds_copies_and_edits(spark):
