@@ -19,8 +19,16 @@ from pyspark.sql import types as T
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Largest Arrow batch in bytes, where the session names none: workers and the JVM's buffers then stay small however long the texts.
+BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20, "spark.sql.execution.arrow.maxBytesPerOutputBatch": 8 << 20}
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did (harmless elsewhere)."""
+    """Let Python workers import this package from where the driver did; bound their batches by bytes."""
+    named = spark.conf.getAll
+    for key, most in BATCH_BYTES.items():
+        if key not in named:
+            spark.conf.set(key, most)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
