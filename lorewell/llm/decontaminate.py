@@ -142,25 +142,31 @@ def _row(item_word: np.uint64, passage: np.ndarray, prev: np.ndarray, ramp: np.n
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment of word hashes: score, first and last word of the passage in it.
 
-    A first pass holds one row and finds where the best alignment ends.  With a score above 0 it has
-    fewer gaps than twice its matches, so it lies within the 3 x item words before that end: only
-    there are rows kept to trace it back, whatever the passage's length.
+    All rows of the table are kept to trace the alignment back where the passage has at most
+    4 x item words.  For a longer one the first pass holds one row and finds where the best alignment
+    ends.  With a score above 0 it has fewer gaps than twice its matches, so it lies within the 3 x
+    item words before that end: rows are kept for these only, whatever the passage's length.
     """
+    short = len(passage) <= 4 * len(item)
     ramp = np.arange(len(passage) + 1, dtype=np.int32)
-    prev = np.zeros(len(passage) + 1, np.int32)
+    rows = [np.zeros(len(passage) + 1, np.int32)]
     best, end, at = 0, 0, 0
     for i, w in enumerate(item, 1):
-        prev = _row(w, passage, prev, ramp)
-        k = int(prev.argmax())
-        if prev[k] > best:
-            best, end, at = int(prev[k]), k, i
+        row = _row(w, passage, rows[-1], ramp)
+        if not short:
+            rows.clear()
+        rows.append(row)
+        k = int(row.argmax())
+        if row[k] > best:
+            best, end, at = int(row[k]), k, i
     if not best:
         return 0, 0, 0
-    low = max(0, end - 3 * len(item))
+    low = 0 if short else max(0, end - 3 * len(item))
     near = passage[low:end]
-    rows = [np.zeros(len(near) + 1, np.int32)]
-    for w in item[:at]:
-        rows.append(_row(w, near, rows[-1], ramp[: len(near) + 1]))
+    if not short:
+        rows = [np.zeros(len(near) + 1, np.int32)]
+        for w in item[:at]:
+            rows.append(_row(w, near, rows[-1], ramp[: len(near) + 1]))
     i, j = at, len(near)
     while i > 0 and j > 0 and rows[i][j] > 0:
         v = rows[i][j]
