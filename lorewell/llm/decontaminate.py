@@ -1,25 +1,25 @@
-r"""Operator 7, benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+r"""Operator 7, benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
 1. Seeds are the word n-grams of the test items (n = `n`; an item of fewer words is one seed of its
    own length).  Words are runs of letters and digits, lower case.
 2. One pass over the corpus finds every seed in every whole text (a bitmap, then binary search, on
-   vectorised window hashes).  For each item that a text touches it keeps the seeds and the passage
-   around them: the diagonal of a seed says where the item would lie; windows that overlap merge.
-3. Over all these rows the document frequency of each seed is counted.  A seed is rare unless more
-   than `common_floor` documents have it and it is `common_ratio` times as frequent as the lower
-   quartile of its item's seeds: a copied passage keeps its seeds however often it was copied,
-   while a stock phrase inside it does not count.  Passages without a rare seed go.
-4. Each passage is aligned to its item word by word (Smith-Waterman: match 2, mismatch and gap -1);
+   vectorised window hashes).  For each item that a text touches it takes the passage around the
+   seeds: the diagonal of a seed says where the item would lie; windows that overlap merge.
+3. Each passage is aligned to its item word by word (Smith-Waterman: match 2, mismatch and gap -1);
    score = alignment / (2 x item words), so an exact copy has 1 and a paraphrase loses by its edits.
-   Documents with a score of `threshold` or more against some item are contaminated.
+   No passage is left out for how often its seeds or its text occur.  An alignment has at most as many
+   matches as item and passage have words in common (with repeats): passages that cannot reach
+   `threshold` by that bound, such as those around a stock phrase, are not aligned.  Equal passages of
+   an item are aligned once by a worker.  Documents with a score of `threshold` or more against some
+   item are contaminated.
 
 The items are the query set: they are taken in blocks of `block` items (a pass each), so what a
-worker holds is bounded whatever the benchmark's size; all of the corpus is read.  Item texts reach
-the passages by a join on item_id without a hint.  Only touched passages are shuffled.
+worker holds is bounded whatever the benchmark's size; all of the corpus is read.  Passages are
+aligned where they are found; only contaminated pairs are shuffled.
 
 Results: null and empty texts and items touch nothing; equal items are reported each; repeated rows
 (equal doc_id) give one row per item with the best score; a null doc_id is not reported; empty
-tables give no rows.
+tables give no rows.  n_seeds is the number of distinct seeds in the passage.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from lorewell.llm.base import PUNCT, buffers, grams, materialise, row_blocks, row_bounds, ship, words
 
 BITMAP = 22
+#: Passages of at most this many bytes of word hashes in all are remembered with their alignments.
+REMEMBERED = 8 << 20
 
 
 class Seeds:
@@ -41,6 +43,8 @@ class Seeds:
 
     def __init__(self, items: list[tuple[int, str]], n: int) -> None:
         hashes, owner, at, sizes = [], [], [], {}
+        self.words: dict[int, np.ndarray] = {}
+        self.bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         data, off = buffers(pa.array([t for _, t in items], pa.string()))
         h, row, _, _ = words(data, off, PUNCT)
         edge = row_bounds(row, len(items))
@@ -56,6 +60,8 @@ class Seeds:
             owner.append(np.full(len(g), item, np.int64))
             at.append(np.arange(len(g)))
             sizes[item] = len(own)
+            self.words[item] = own
+            self.bags[item] = np.unique(own, return_counts=True)
         cat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(cat, kind="stable")
         self.hash = cat[order]
@@ -65,6 +71,13 @@ class Seeds:
         self.bitmap = np.zeros(1 << BITMAP, bool)
         self.bitmap[(self.hash >> np.uint64(64 - BITMAP)).astype(np.int64)] = True
 
+    def in_common(self, item: int, passage: np.ndarray) -> int:
+        """Words that item and passage share, with repeats: no alignment has more matches."""
+        own, many = self.bags[item]
+        k = np.minimum(np.searchsorted(own, passage), len(own) - 1)
+        there = np.bincount(k[own[k] == passage], minlength=len(own))
+        return int(np.minimum(there, many).sum())
+
     def find(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of words and of seed occurrences (index into owner/at) that match there."""
         pos_all, hit_all = [], []
@@ -81,12 +94,38 @@ class Seeds:
         return np.concatenate(pos_all), np.concatenate(hit_all)
 
 
-def _passages(seeds: Seeds, doc_id: list, text: pa.Array, pad: int) -> dict[str, list]:
-    out: dict[str, list] = {"doc_id": [], "item_id": [], "first_word": [], "seeds": [], "passage": []}
+class Aligner:
+    """Alignments of passages to the items of a block; equal passages of an item are aligned once."""
+
+    def __init__(self, seeds: Seeds, threshold: float) -> None:
+        self.seeds, self.threshold = seeds, threshold
+        self.known: dict[tuple[int, bytes], tuple[float, int, int]] = {}
+        self.held = 0
+
+    def score(self, item: int, passage: np.ndarray) -> tuple[float, int, int]:
+        """Score, first and last word within the passage; score 0 where the threshold is out of reach."""
+        own = self.seeds.words[item]
+        if self.seeds.in_common(item, passage) / len(own) < self.threshold:
+            return 0.0, 0, 0
+        key = (item, passage.tobytes())
+        if key not in self.known:
+            s, a, z = align(own, passage)
+            if self.held + passage.nbytes > REMEMBERED:
+                self.known.clear()
+                self.held = 0
+            self.known[key] = s / (2 * len(own)), a, z
+            self.held += passage.nbytes
+        return self.known[key]
+
+
+def _found(aligner: Aligner, doc_id: list, text: pa.Array, pad: int) -> dict[str, list]:
+    """The passages of a batch with a score of the threshold or more."""
+    out: dict[str, list] = {"doc_id": [], "item_id": [], "score": [], "first_word": [], "last_word": [], "n_seeds": []}
+    seeds = aligner.seeds
     data, off = buffers(text)
     for a, z in row_blocks(off):
         own, edge = data[off[a] : off[z]], off[a : z + 1] - off[a]
-        h, row, start, end = words(own, edge, PUNCT)
+        h, row, _, _ = words(own, edge, PUNCT)
         if not len(h) or not seeds.lengths:
             continue
         pos, hit = seeds.find(h, row)
@@ -106,29 +145,33 @@ def _passages(seeds: Seeds, doc_id: list, text: pa.Array, pad: int) -> dict[str,
             while j < len(pos) and r[j] == r[i] and item[j] == item[i] and low[j] <= top:
                 top = max(top, high[j])
                 j += 1
-            out["doc_id"].append(doc_id[a + int(r[i])])
-            out["item_id"].append(int(item[i]))
-            out["first_word"].append(int(low[i] - at[r[i]]))
-            out["seeds"].append(np.unique(seeds.hash[hit[i:j]]).view(np.int64).tolist())
-            out["passage"].append(own[start[low[i]] : end[top - 1]].tobytes().decode("utf-8", "replace"))
+            score, first, end = aligner.score(int(item[i]), h[low[i] : top])
+            if score >= aligner.threshold:
+                start = int(low[i] - at[r[i]])
+                out["doc_id"].append(doc_id[a + int(r[i])])
+                out["item_id"].append(int(item[i]))
+                out["score"].append(score)
+                out["first_word"].append(start + first)
+                out["last_word"].append(start + end - 1)
+                out["n_seeds"].append(len(np.unique(seeds.hash[hit[i:j]])))
             i = j
     return out
 
 
-def touched(docs: DataFrame, items: list[tuple[int, str]], n: int, pad: int) -> DataFrame:
+def leaks(docs: DataFrame, items: list[tuple[int, str]], n: int, threshold: float, pad: int) -> DataFrame:
+    """One row per passage with a score of `threshold` or more against one of the items."""
     ship(docs.sparkSession)
     seeds = docs.sparkSession.sparkContext.broadcast(Seeds(items, n))  # `block` items at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = Aligner(seeds.value, threshold)
         for b in batches:
-            got = _passages(seeds.value, b.column(0).to_pylist(), b.column(1), pad)
+            got = _found(aligner, b.column(0).to_pylist(), b.column(1), pad)
             if got["doc_id"]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(got["doc_id"], pa.int64()), pa.array(got["item_id"], pa.int64()), pa.array(got["first_word"], pa.int64()), pa.array(got["seeds"], pa.list_(pa.int64())), pa.array(got["passage"], pa.string())],
-                    names=list(got),
-                )
+                types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(got.values(), types, strict=True)], names=list(got))
 
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, first_word long, seeds array<long>, passage string")
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, score double, first_word long, last_word long, n_seeds int")
 
 
 def _row(item_word: np.uint64, passage: np.ndarray, prev: np.ndarray, ramp: np.ndarray) -> np.ndarray:
@@ -179,45 +222,16 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best, low + j, end
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.5, common_ratio: float = 8.0, common_floor: int = 100, pad: int = 8, block: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.5, pad: int = 8, block: int = 20_000) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word, n_seeds: one row per contaminated pair."""
-    spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max("text").alias("item"))
-    found = None
+    scored = None
     total = items.count()
     for k in range(max(1, -(-total // block))):
         parts = -(-total // block) or 1
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()
-        got = touched(docs, [(r["item_id"], r["item"]) for r in own], n, pad)
-        found = got if found is None else found.unionByName(got)
-    found = materialise(found)
-    seen = found.select("item_id", "doc_id", F.explode("seeds").alias("seed")).distinct().groupBy("item_id", "seed").agg(F.count(F.lit(1)).alias("df"))
-    quartile = seen.groupBy("item_id").agg(F.percentile_approx("df", 0.25, 10_000).alias("q"))
-    common = seen.join(quartile, "item_id").where((F.col("df") > common_floor) & (F.col("df") > common_ratio * F.col("q")))
-    common = common.groupBy("item_id").agg(F.collect_set("seed").alias("common"))  # seeds of one item at most
-    rare = found.join(common, "item_id", "left").withColumn("rare", F.array_except("seeds", F.coalesce("common", F.array().cast("array<bigint>")))).where("size(rare) > 0")
-    pairs = rare.select("doc_id", "item_id", "first_word", F.size("rare").alias("n_seeds"), "passage").join(items, "item_id").select("doc_id", "item_id", "first_word", "n_seeds", "passage", "item")
-    ship(spark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            pd, po = buffers(b.column(4))
-            idd, io = buffers(b.column(5))
-            (ph, pr, _, _), (ih, ir, _, _) = words(pd, po, PUNCT), words(idd, io, PUNCT)
-            pe, ie = row_bounds(pr, b.num_rows), row_bounds(ir, b.num_rows)
-            score, lo, hi = [], [], []
-            first = b.column(2).to_pylist()
-            for k in range(b.num_rows):
-                item = ih[ie[k] : ie[k + 1]]
-                s, a, z = align(item, ph[pe[k] : pe[k + 1]])
-                score.append(s / max(1, 2 * len(item)))
-                lo.append(first[k] + a)
-                hi.append(first[k] + z - 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), b.column(3)], names=["doc_id", "item_id", "score", "first_word", "last_word", "n_seeds"])
-
-    scored = pairs.mapInArrow(run, "doc_id long, item_id long, score double, first_word long, last_word long, n_seeds int").where(F.col("score") >= threshold)
+        got = leaks(docs, [(r["item_id"], r["item"]) for r in own], n, threshold, pad)
+        scored = got if scored is None else scored.unionByName(got)
     best = F.max(F.struct("score", F.negative("first_word").alias("f"), "last_word", "n_seeds")).alias("r")
     return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "r.score", F.negative("r.f").alias("first_word"), "r.last_word", "r.n_seeds")
 

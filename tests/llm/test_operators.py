@@ -420,6 +420,26 @@ def test_stock_phrases_are_no_seeds_but_popular_copies_stay(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(5000, 1)} | {(1000 + k, 2) for k in range(300)}
 
 
+def test_frequent_edited_copies_are_found_beside_a_rare_exact_one(spark):
+    """Seeds in far more documents than the item's other seeds are no reason to report a copy clean."""
+    item = prose(4, 40).split()
+    docs = [(k, prose(4000 + k, 20) + " " + " ".join(item[:27])) for k in range(300)] + [(9000, prose(8, 20) + " " + " ".join(item))]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == {*range(300), 9000}
+
+
+def test_words_in_common_bound_the_alignment():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = rng.integers(0, 9, rng.integers(1, 20)), rng.integers(0, 9, rng.integers(1, 30))
+        seeds = decontaminate.Seeds([(1, " ".join(f"w{x}" for x in a))], 4)
+        raw = np.frombuffer(" ".join(f"w{x}" for x in b).encode(), np.uint8)
+        passage = decontaminate.words(raw, np.array([0, len(raw)]), decontaminate.PUNCT)[0]
+        s = decontaminate.align(seeds.words[1], passage)[0]
+        assert s <= 2 * seeds.in_common(1, passage)
+        assert decontaminate.Aligner(seeds, 0.5).score(1, passage)[0] == (s / (2 * len(a)) if 2 * seeds.in_common(1, passage) >= len(a) else 0)
+
+
 def test_line_spread_near_the_threshold(spark):
     rows = []
     for n in range(1, 12):
