@@ -7,15 +7,19 @@ Two settings of one operator:
   the six band pairs and no link can be missed.  A block above `hot` members is dealt out again by
   thirds of its other bits (within 2 differing bits one third agrees), twice if need be; a block then
   holds at most 2^14 distinct fingerprints by construction.
-* `wide_fingerprints` + `anchors` blocking, for the pipeline: 256 bits over 5-word shingles, radius
-  for an estimated shingle similarity of 0.8.  Blocks are keyed by each of `ANCHORS` independent
-  minimum shingle hashes; texts of similarity 0.8 miss all of them with probability 0.2^6.  A hot
-  block is dealt out again by pairs, then triples, of minima.
+* `wide_fingerprints` + `anchors` blocking, for the pipeline: 256 bits over the set of 5-word
+  shingles.  Blocks are keyed by each of `ANCHORS` independent minimum shingle hashes; texts of
+  similarity 0.8 miss all of them with probability 0.2^6.  A hot block is dealt out again by pairs,
+  then triples, of minima.  The fingerprints, within a radius twice the mean distance at 0.8, only
+  say which texts are candidates: their shingle sets are then made again, and two texts are linked
+  if and only if the sets' Jaccard similarity is 0.8 or more.  A chain of candidates is compared in
+  one task, or beyond `HELD` shingles in pieces that meet two by two.
 
 Blocks of the last level above `tile` members are cut in pieces that meet two by two, so that no task
 holds more than two pieces and all members are still compared.
 
-Equal fingerprints are one node from the start (map-side minimum), so copies cost nothing.  In each
+Equal fingerprints (pipeline: equal shingle sets) are one node from the start (map-side minimum), so
+copies cost nothing.  In each
 block bitslice.connect() compares all members and returns one link per member (its chain's least
 member), never all pairs; components() joins the links.  Only (id, fingerprint) rows are shuffled.
 
@@ -26,7 +30,7 @@ equal results.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +44,14 @@ from lorewell.llm.bitslice import connect
 from lorewell.llm.components import components
 
 ANCHORS = 6
-#: Share of differing bits at which two shingle sets have an estimated similarity of 0.8 (cosine 8/9).
-RADIUS_08 = 39
+#: Differing bits of candidates.  Sets of similarity 0.8 differ in 39 bits on average (48 for 4 of 5
+#: shingles), standard deviation 6; unrelated ones in 128.
+RADIUS_NEAR = 80
 HOT = 4096
 #: Members of a last-level block that one task compares at a time (twice as many: two pieces).
 TILE = 1 << 14
+#: Shingles of the candidates that one task compares exactly at a time (twice as many: two pieces).
+HELD = 1 << 20
 PIECE = 1 << 16
 
 
@@ -92,16 +99,26 @@ def contract_fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
 _SEEDS = mix(np.arange(1, 33, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
-def wide_fingerprint_rows(data: np.ndarray, off: np.ndarray, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, 4) uint64 fingerprints and (rows, ANCHORS) minimum shingle hashes; no words: all zero."""
+def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int = 5) -> list[np.ndarray]:
+    """Sorted hashes of the distinct shingles of each text; a shorter text is one shingle, one without words has none."""
     n = len(off) - 1
-    fps, least = np.zeros((n, 4), np.uint64), np.zeros((n, ANCHORS), np.uint64)
     h, row, _, _ = words(data, off)
     at = row_bounds(row, n)
     whole = grams(h, shingle)
+    out = [np.zeros(0, np.uint64)] * n
     for i in np.flatnonzero(np.diff(at)):
         a, z = at[i], at[i + 1]
-        g = whole[a : z - shingle + 1] if z - a >= shingle else grams(h[a:z], int(z - a))
+        out[i] = np.unique(whole[a : z - shingle + 1] if z - a >= shingle else grams(h[a:z], int(z - a)))
+    return out
+
+
+def wide_fingerprint_rows(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, 4) uint64 fingerprints, (rows, ANCHORS) minimum shingle hashes and (rows, 2) digests of the sets; empty: all zero."""
+    n = len(sets)
+    fps, least, same = np.zeros((n, 4), np.uint64), np.zeros((n, ANCHORS), np.uint64), np.zeros((n, 2), np.uint64)
+    for i, g in enumerate(sets):
+        if not len(g):
+            continue
         count = np.zeros((4, 64), np.int64)
         low = np.full(ANCHORS, np.uint64(0xFFFFFFFFFFFFFFFF))
         for lo in range(0, len(g), PIECE):
@@ -110,25 +127,35 @@ def wide_fingerprint_rows(data: np.ndarray, off: np.ndarray, shingle: int = 5) -
                 count[k] += np.unpackbits(mix(s ^ _SEEDS[k]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
             for k in range(ANCHORS):
                 low[k] = min(low[k], mix(s ^ _SEEDS[4 + k]).min())
+            for k in range(2):
+                same[i, k] += mix(s ^ _SEEDS[30 + k]).sum(dtype=np.uint64)
         fps[i] = _majority(count.ravel(), len(g))
         least[i] = low
-    return fps, least
+    return fps, least, same
 
 
-def wide_fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """docs[keep] with fp (256 bits, binary) and anchors (longs)."""
+def wide_fingerprints(docs: DataFrame, keep: list[str], sets: bool = False) -> DataFrame:
+    """docs[keep] with fp (256 bits, binary), same (digest of the shingle set), many (its size), and anchors or the set itself (longs)."""
 
     def make(b: pa.RecordBatch) -> list[pa.Array]:
         data, off = buffers(b.column(b.schema.get_field_index("text")))
         fp: list[bytes] = []
-        anchors: list[list[int]] = []
+        same: list[bytes] = []
+        many: list[int] = []
+        longs: list[np.ndarray] = []
         for lo, hi in row_blocks(off):
-            f, a = wide_fingerprint_rows(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            own = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            f, a, d = wide_fingerprint_rows(own)
             fp += [x.tobytes() for x in f]
-            anchors += a.view(np.int64).tolist()
-        return [pa.array(fp, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))]
+            same += [x.tobytes() for x in d]
+            many += [len(x) for x in own]
+            longs += own if sets else list(a)
+        edge = np.cumsum([0, *map(len, longs)], dtype=np.int32)
+        flat = np.concatenate(longs).view(np.int64) if longs else np.zeros(0, np.int64)
+        return [pa.array(fp, pa.binary()), pa.array(same, pa.binary()), pa.array(many, pa.int32()), pa.ListArray.from_arrays(edge, pa.array(flat))]
 
-    return add_columns(docs, make, [("fp", T.BinaryType()), ("anchors", T.ArrayType(T.LongType()))], keep)
+    new = [("fp", T.BinaryType()), ("same", T.BinaryType()), ("many", T.IntegerType()), ("shingles" if sets else "anchors", T.ArrayType(T.LongType()))]
+    return add_columns(docs, make, new, keep)
 
 
 # ---------------------------------------------------------------- blocks
@@ -221,8 +248,8 @@ def _blocks(nodes: DataFrame, levels: list[list[Column]], hot: int, tile: int =
     return out
 
 
-def _links(blocks: DataFrame, width: int, radius: int) -> DataFrame:
-    """One link (a, b) per member and block: to the least member that it reaches there."""
+def _links(blocks: DataFrame, joined: Callable[[list[pa.RecordBatch]], pa.RecordBatch]) -> DataFrame:
+    """One link (a, b) per member and block: to the least member that it reaches there, by joined() of whole blocks."""
     ship(blocks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,14 +265,14 @@ def _links(blocks: DataFrame, width: int, radius: int) -> DataFrame:
                     continue
             cut = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])  # the last key may go on
             if cut:
-                yield _connected([*held, b.slice(0, cut)], width, radius)
+                yield joined([*held, b.slice(0, cut)])
                 held = [b.slice(cut)]
             else:
                 if held:
-                    yield _connected(held, width, radius)
+                    yield joined(held)
                 held = [b]
         if held:
-            yield _connected(held, width, radius)
+            yield joined(held)
 
     n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = blocks.repartition(n, "key").sortWithinPartitions("key", "node")
@@ -264,29 +291,82 @@ def _connected(parts: list[pa.RecordBatch], width: int, radius: int) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[label[far]])], names=["a", "b"])
 
 
-def groups(prints: DataFrame, width: int, radius: int, keys: list[list[Column]], hot: int = HOT, tile: int = TILE) -> DataFrame:
-    """(fp, node, component): prints has (doc_id, fp[, anchors]); node is the least doc_id of the fingerprint."""
-    extra = [F.first("anchors").alias("anchors")] if "anchors" in prints.columns else []
-    nodes = materialise(prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node"), *extra))
-    linked = components(_links(_blocks(nodes, keys, hot, tile), width, radius))
+def _jaccard_08(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of 0.8 or more, in whole numbers."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 5 * len(a) < 4 * len(b):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 9 * both >= 4 * (len(a) + len(b))
+
+
+def link_exactly(fps: np.ndarray, sets: list[np.ndarray], radius: int) -> np.ndarray:
+    """Label of each text: the least index that chains of pairs of similarity 0.8 reach.
+
+    Every two texts within the radius are compared unless a chain joins them already; near ones first.
+    """
+    label = np.arange(len(sets))
+    for i in range(1, len(sets)):
+        gap = np.bitwise_count(fps[:i] ^ fps[i]).sum(1, dtype=np.int64)
+        near = np.flatnonzero(gap <= radius)
+        near = near[np.argsort(gap[near], kind="stable")]
+        near = near[label[near] != label[i]]
+        while len(near):
+            j, near = near[0], near[1:]
+            if _jaccard_08(sets[i], sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label[label == old] = new
+                near = near[label[near] != label[i]]
+    return label
+
+
+def _exactly(parts: list[pa.RecordBatch], radius: int) -> pa.RecordBatch:
+    t = pa.Table.from_batches(parts)
+    node, key = t.column(0).to_numpy(), t.column(2).to_numpy()
+    fps = np.frombuffer(b"".join(t.column(1).to_pylist()), np.uint64).reshape(-1, 4)
+    sets = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in t.column(3)]
+    label = np.arange(len(node))
+    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    for a, z in zip(edge[:-1], edge[1:], strict=True):
+        label[a:z] = a + link_exactly(fps[a:z], sets[a:z], radius)
+    far = np.flatnonzero(label != np.arange(len(label)))
+    return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[label[far]])], names=["a", "b"])
+
+
+def groups(prints: DataFrame, radius: int, hot: int = HOT, tile: int = TILE) -> DataFrame:
+    """(fp, node, component): prints has (doc_id, fp); node is the least doc_id of the fingerprint."""
+    nodes = materialise(prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node")))
+    linked = components(_links(_blocks(nodes, _band_keys(), hot, tile), lambda parts: _connected(parts, 1, radius)))
     return nodes.join(linked, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, hot: int = HOT, tile: int = TILE) -> DataFrame:
     """doc_id, fp and component_id of every row: the contract's setting."""
     prints = materialise(contract_fingerprints(docs.select("doc_id", "text"), ["doc_id"]))
-    found = groups(prints, 1, 2, _band_keys(), hot, tile)
+    found = groups(prints, 2, hot, tile)
     return prints.join(found, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
-def similar_documents(docs: DataFrame, radius: int = RADIUS_08, hot: int = HOT, tile: int = TILE) -> DataFrame:
-    """doc_id and component_id over 5-word shingles at an estimated similarity of 0.8 or more."""
-    prints = materialise(wide_fingerprints(docs.select("doc_id", "text"), ["doc_id"]))
-    found = groups(prints, 4, radius, _anchor_keys(), hot, tile)
-    return prints.select("doc_id", "fp").join(found, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
-
-
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS_08) -> DataFrame:
+def similar_documents(docs: DataFrame, radius: int = RADIUS_NEAR, hot: int = HOT, tile: int = TILE, held: int = HELD) -> DataFrame:
+    """doc_id and component_id over 5-word shingle sets of a Jaccard similarity of 0.8 or more."""
+    texts = docs.select("doc_id", "text")
+    prints = materialise(wide_fingerprints(texts, ["doc_id"]))
+    first = [F.first(c).alias(c) for c in ("fp", "many", "anchors")]  # equal within a digest
+    nodes = materialise(prints.where(F.col("doc_id").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("node"), *first))
+    near = components(_links(_blocks(nodes, _anchor_keys(), hot, tile), lambda parts: _connected(parts, 4, radius)))
+    chains = near.join(nodes.select("node", "same", "many"), "node").withColumnRenamed("component", "key")
+    sizes = chains.groupBy("key").agg(F.sum("many").alias("n"))
+    wanted = materialise(chains.join(sizes, "key").select("node", F.col("same").alias("wanted"), _tiles(held).alias("keys")))
+    again = wide_fingerprints(texts.join(wanted, F.col("doc_id") == F.col("node")), ["node", "wanted", "keys"], sets=True)
+    sets = materialise(again.where("same = wanted").dropDuplicates(["node", "same"]))
+    pairs = sets.select("node", "fp", F.explode("keys").alias("key"), "shingles")
+    linked = components(_links(pairs, lambda parts: _exactly(parts, radius)))
+    found = nodes.join(linked, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
+    return prints.select("doc_id", "fp", "same").join(found, "same", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS_NEAR) -> DataFrame:
     """docs with one document of each group: the least doc_id; rows without a doc_id stay.
 
     Of several rows with the doc_id that stays, one stays (chosen among equal ids by

@@ -192,6 +192,38 @@ def test_similar_documents_at_08(spark):
     assert sum(again[i] == got[i] for i in got) >= len(got) - 2
 
 
+def test_links_are_exactly_the_pairs_of_jaccard_08(spark):
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    rng, rows, want = random.Random(3), [], {}
+    for k in range(60):  # pairs of similarity 0.72 to 0.88
+        base = prose(6000 + k, 300).split()
+        near = list(base)
+        for p in rng.sample(range(300), 4 + k % 9):
+            near[p] = f"changed{p}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        want[2 * k], want[2 * k + 1] = 2 * k, 2 * k if len(a & b) >= 0.8 * len(a | b) else 2 * k + 1
+    assert 10 < sum(want[2 * k + 1] == 2 * k for k in range(60)) < 50
+    line = "\n" + prose(1, 10)
+    for k in range(2):  # only one repeated line in common
+        rows.append((200 + k, prose(7000 + k, 750) + line * 25))
+        want[200 + k] = 200 + k
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for held in (simhash.HELD, 200):
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(d, held=held).collect()} == want
+
+
+def test_exact_links_of_a_block_against_all_pairs():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.r_[rng.integers(0, 40, 36), 100 * (k % 3) + np.arange(60)]).astype(np.uint64) for k in range(60)]
+    fps = simhash.wide_fingerprint_rows(sets)[0]
+    same = brute_groups(range(60), lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])))
+    assert simhash.link_exactly(fps, sets, 256).tolist() == list(same)
+
+
 def test_tiles_compare_all_members_of_a_block(spark):
     members = spark.range(200).selectExpr("id as node", "if(id < 190, 7L, 8L) as key", "if(id < 190, 190, 10) as n")
     tiles = members.select("node", "n", F.explode(simhash._tiles(32)).alias("tile"))
