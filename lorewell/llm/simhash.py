@@ -9,8 +9,8 @@ Two settings of one operator:
   holds at most 2^14 distinct fingerprints by construction.
 * `wide_fingerprints` + `anchors` blocking, for the pipeline: 256 bits over the set of 5-word
   shingles.  Blocks are keyed by each of `ANCHORS` independent minimum shingle hashes; texts of
-  similarity 0.8 miss all of them with probability 0.2^6.  A hot block is dealt out again by pairs,
-  then triples, of minima.  The fingerprints, within a radius twice the mean distance at 0.8, only
+  similarity 0.8 miss all of them with probability 0.2^6.  Blocks are compared whole whatever their
+  size.  The fingerprints, within a radius twice the mean distance at 0.8, only
   say which texts are candidates: their shingle sets are then made again, and two texts are linked
   if and only if the sets' Jaccard similarity is 0.8 or more.  A chain of candidates is compared in
   one task, or beyond `HELD` shingles in pieces that meet two by two.
@@ -198,17 +198,8 @@ def _band_keys() -> list[list[Column]]:
 
 
 def _anchor_keys() -> list[list[Column]]:
-    """Keys by level: each minimum; its pairs with the others; triples."""
-    a, levels = [F.col("anchors")[k] for k in range(ANCHORS)], [[], [], []]
-    for i in range(ANCHORS):
-        levels[0].append(_part(0, [F.lit(i), a[i]]))
-        for j in (j for j in range(ANCHORS) if j != i):
-            two = [F.lit(min(i, j) * ANCHORS + max(i, j)), a[min(i, j)], a[max(i, j)]]
-            levels[1].append(_part(1, two))
-            for k in (k for k in range(ANCHORS) if k not in (i, j)):
-                three = sorted((i, j, k))
-                levels[2].append(_part(2, [F.lit(three[0] * 36 + three[1] * 6 + three[2]), *[a[x] for x in three]]))
-    return levels
+    """One level of keys, each minimum: a finer key would lose pairs that share one minimum only."""
+    return [[_part(0, [F.lit(i), F.col("anchors")[i]]) for i in range(ANCHORS)]]
 
 
 def _tiles(tile: int) -> Column:
@@ -225,17 +216,17 @@ def _blocks(nodes: DataFrame, levels: list[list[Column]], hot: int, tile: int =
     Block sizes come from an aggregation with map-side partial counts; single-member blocks, nearly
     all of them, go at once.  Blocks above `hot` are replaced by their refinements, whose keys are
     made for the rows of such blocks only; key number p of a level refines key p // fan of the one
-    above.
+    above.  Blocks of the last level are cut in tiles.
     """
-    carry = [c for c in ("node", "fp", "anchors") if c in nodes.columns]
+    carry = ["node", "fp"]
     level = nodes.select(*carry, F.posexplode(F.array(*levels[0])).alias("pos", "key"))
     out = None
-    for step in range(3):
+    for step in range(len(levels)):
         sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         met = level.join(sizes, "key")
-        ready = met.select("node", "fp", F.explode(_tiles(tile)).alias("key")) if step == 2 else met.where(F.col("n") <= hot).select("node", "fp", "key")
+        ready = met.select("node", "fp", F.explode(_tiles(tile)).alias("key")) if step == len(levels) - 1 else met.where(F.col("n") <= hot).select("node", "fp", "key")
         out = ready if out is None else out.unionByName(ready)
-        if step == 2:
+        if step == len(levels) - 1:
             break
         over = met.where(F.col("n") > hot)
         if over.limit(1).isEmpty():
@@ -243,7 +234,6 @@ def _blocks(nodes: DataFrame, levels: list[list[Column]], hot: int, tile: int =
         fan = len(levels[step + 1]) // len(levels[step])
         made = F.slice(F.array(*levels[step + 1]), F.col("pos") * fan + 1, fan)
         finer = over.select(*carry, F.col("pos").alias("was"), F.posexplode(made).alias("p", "key")).select(*carry, (F.col("was") * fan + F.col("p")).cast("int").alias("pos"), "key")
-        # two refinements can name the same pair or triple of minima: one block, each node once
         level = materialise(finer.groupBy("node", "key").agg(*[F.first(c).alias(c) for c in [*carry[1:], "pos"]]).select(*carry, "pos", "key"))
     return out
 
@@ -348,13 +338,13 @@ def near_duplicates(docs: DataFrame, hot: int = HOT, tile: int = TILE) -> DataFr
     return prints.join(found, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
-def similar_documents(docs: DataFrame, radius: int = RADIUS_NEAR, hot: int = HOT, tile: int = TILE, held: int = HELD) -> DataFrame:
-    """doc_id and component_id over 5-word shingle sets of a Jaccard similarity of 0.8 or more."""
+def similar_documents(docs: DataFrame, radius: int = RADIUS_NEAR, hot: int = TILE, held: int = HELD) -> DataFrame:
+    """doc_id and component_id over 5-word shingle sets of a Jaccard similarity of 0.8 or more; blocks above `hot` are cut in tiles."""
     texts = docs.select("doc_id", "text")
     prints = materialise(wide_fingerprints(texts, ["doc_id"]))
     first = [F.first(c).alias(c) for c in ("fp", "many", "anchors")]  # equal within a digest
     nodes = materialise(prints.where(F.col("doc_id").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("node"), *first))
-    near = components(_links(_blocks(nodes, _anchor_keys(), hot, tile), lambda parts: _connected(parts, 4, radius)))
+    near = components(_links(_blocks(nodes, _anchor_keys(), hot, hot), lambda parts: _connected(parts, 4, radius)))
     chains = near.join(nodes.select("node", "same", "many"), "node").withColumnRenamed("component", "key")
     sizes = chains.groupBy("key").agg(F.sum("many").alias("n"))
     wanted = materialise(chains.join(sizes, "key").select("node", F.col("same").alias("wanted"), _tiles(held).alias("keys")))

@@ -232,6 +232,13 @@ def test_tiles_compare_all_members_of_a_block(spark):
     assert tiles.groupBy("tile").count().agg(F.max("count")).first()[0] < 2 * 2 * 32
 
 
+def test_hot_blocks_of_one_minimum_compare_every_pair(spark):
+    nodes = spark.createDataFrame([(k, bytes(32), [7, *range(10 * k + 100, 10 * k + 105)]) for k in range(12)], "node long, fp binary, anchors array<long>")
+    b = simhash._blocks(nodes, simhash._anchor_keys(), 4, 4).select("node", "key")
+    met = b.alias("x").join(b.alias("y"), "key").where("x.node < y.node").select("x.node", "y.node").distinct().count()
+    assert met == 12 * 11 // 2
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(k, k + 1) for k in range(100, 130)]
