@@ -5,10 +5,8 @@ The word hashing works on Arrow's own UTF-8 buffers, so no Python string is made
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,30 +14,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
+from lorewell.plans import tables
+from lorewell.plans.tables import forget  # noqa: F401  (used by the operators)
 
 #: Largest Arrow batch in bytes, where the session names none: workers and the JVM's buffers then stay small however long the texts.
 BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20, "spark.sql.execution.arrow.maxBytesPerOutputBatch": 8 << 20}
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did; bound their batches by bytes."""
+    """Give Python workers this package; bound their batches by bytes (for the session, where it names no bound itself)."""
     named = spark.conf.getAll
     for key, most in BATCH_BYTES.items():
         if key not in named:
             spark.conf.set(key, most)
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    tables.ship(spark)
+
+
+_open: list[list[DataFrame]] = []
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorewell"))
-    return str(sc.getCheckpointDir())
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Lists the tables that materialise() makes inside the block."""
+    made: list[DataFrame] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -47,21 +49,21 @@ def materialise(df: DataFrame) -> DataFrame:
 
     A lost executor loses none of it, and later plans see true sizes.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lorewell_path = path  # type: ignore[attr-defined]
+    out = tables.stored(df)
+    for made in _open:
+        made.append(out)
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table made by materialise() that nothing will read again."""
-    path = getattr(df, "_lorewell_path", None)
-    if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+#: Ids (a long or a short string each) that are broadcast; beyond, both sides are dealt by id.
+FEW_IDS = 4 << 20
+
+
+def matched(rows: DataFrame, column: Column, ids: DataFrame, how: str, few: int = FEW_IDS) -> DataFrame:
+    """rows whose column is (left_semi) or is not (left_anti) in ids, a stored table of one column that is counted first."""
+    name = ids.columns[0]
+    side = ids.withColumnRenamed(name, "__wanted")
+    return rows.join(F.broadcast(side) if side.count() <= few else side.hint("shuffle_merge"), column == F.col("__wanted"), how)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -4,21 +4,26 @@ A line's spread is the number of distinct sites (sources) that have it; lines on
 more are cross-site boilerplate and are removed from every document.
 
 1. Texts are split at newlines into narrow (site, line hash) rows; lines are compared with outer
-   ASCII blanks trimmed, blank lines are never removed.  Equal rows are pre-aggregated map-side.
+   ASCII blanks trimmed, blank lines are never removed.
 2. A line needs at least `sites` occurrences to reach the threshold, so rarer hashes go at once (a
-   plain count).  For the rest HyperLogLog sketches of the sites are built per (hash, salt) and
-   merged per hash; a hot line is spread over `SALTS` partial sketches first.
+   count with map-side partial sums).  The occurrences of the rest feed one HyperLogLog sketch of
+   sites per hash: partial sketches are made map-side and merge by aggregation, so a hot line moves
+   one sketch per task.
 3. Hashes whose estimate is within `margin` of the threshold get an exact distinct count; clearly
    lower ones are kept, clearly higher ones are boilerplate.
-4. The lines that go are gathered per document (ids and hashes only) and joined to the texts once;
-   documents without such lines keep their text as it is.
+4. Up to IN_PLACE boilerplate hashes (counted) are looked up where the texts are, which then do not
+   move; beyond, the hashes that go are gathered per document and joined to the texts once.
+
+Rows are met with a set of hashes by a broadcast of up to SMALL hashes (counted), beyond that by a
+join on (hash, salt), so that a hot line is SALTS tasks.
 
 The sketch's relative error at lgK 12 is 1.6 %; margin 0.25 is some 15 standard errors, so results
 equal exact counting.  Hashes are 64-bit xxhash64.
 
 Results: null text -> null text, 0 lines; a null site counts as one site of its own; repeated rows
-are cleaned alike (a repeated doc_id shares its list of lines, which is the same set of boilerplate);
-an empty table gives no rows.
+are cleaned alike; a null doc_id is cleaned like any other (the text stands for the id); columns
+named like a result are replaced, columns named like an inner one are kept; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -26,10 +31,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.base import materialise
+from lorewell.llm.base import forget, materialise
 
 SALTS = 32
 SITES = 5
+#: Hashes that are broadcast (8 bytes each) and hashes that one expression holds.
+SMALL = 1 << 20
+IN_PLACE = 1 << 14
 
 
 def _lines(text: Column) -> Column:
@@ -40,51 +48,68 @@ def _key(line: Column) -> Column:
     return F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", "")
 
 
+def _identity() -> Column:
+    return F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), F.md5(F.col("text").cast("binary"))))
+
+
 def line_hashes(docs: DataFrame, site: str = "source") -> DataFrame:
-    """doc_id, site and the hashes of the non-blank lines, in order: the one table that all counts read."""
+    """id, site and the hashes of the non-blank lines, in order: the one table that all counts read."""
     keys = F.transform(_lines(F.col("text")), _key)
     return materialise(
         docs.where("text is not null").select(
-            F.col("doc_id").alias("__id"),
+            _identity().alias("id"),
             F.coalesce(F.col(site).cast("string"), F.lit("\x00null")).alias("site"),
             F.transform(F.filter(keys, lambda x: x != ""), lambda x: F.xxhash64(x)).alias("hashes"),
         )
     )
 
 
-def boilerplate(hashed: DataFrame, sites: int = SITES, margin: float = 0.25) -> DataFrame:
-    """line_hash and spread of each line on `sites` sites or more."""
+def _among(each: DataFrame, known: DataFrame, small: int = SMALL) -> DataFrame:
+    """The rows of each whose line_hash is one of known (line_hash, a stored table)."""
+    if known.count() <= small:
+        return each.join(F.broadcast(known), "line_hash", "left_semi")
+    salt = F.monotonically_increasing_id() % SALTS
+    dealt = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return each.withColumn("salt", salt).join(dealt, ["line_hash", "salt"], "left_semi").drop("salt")
+
+
+def boilerplate(hashed: DataFrame, sites: int = SITES, margin: float = 0.25, small: int = SMALL) -> DataFrame:
+    """line_hash and spread of each line on `sites` sites or more (a sketch's estimate where it is clear of the threshold)."""
     each = hashed.select("site", F.explode("hashes").alias("line_hash"))
-    pairs = materialise(each.groupBy("line_hash", "site").agg(F.count(F.lit(1)).alias("n")))
-    common = pairs.groupBy("line_hash").agg(F.sum("n").alias("n")).where(F.col("n") >= sites).select("line_hash")
-    met = pairs.join(common, "line_hash")
-    part = met.groupBy("line_hash", F.pmod(F.xxhash64("site"), F.lit(SALTS)).alias("salt")).agg(F.hll_sketch_agg("site", F.lit(12)).alias("sketch"))
-    spread = part.groupBy("line_hash").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+    common = materialise(each.groupBy("line_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites).select("line_hash"))
+    sketch = _among(each, common, small).groupBy("line_hash").agg(F.hll_sketch_agg("site", F.lit(12)).alias("sketch"))
+    spread = sketch.select("line_hash", F.hll_sketch_estimate("sketch").alias("estimate"))
     spread = materialise(spread.where(F.col("estimate") >= sites * (1 - margin)))
     near = F.col("estimate") < sites * (1 + margin)
-    exact = pairs.join(spread.where(near).select("line_hash"), "line_hash").groupBy("line_hash").agg(F.count_distinct("site").alias("spread"))
+    close = materialise(spread.where(near).select("line_hash"))
+    exact = _among(each, close, small).groupBy("line_hash", "site").agg(F.lit(1).alias("one")).groupBy("line_hash").agg(F.count(F.lit(1)).alias("spread"))
     sure = spread.where(~near).select("line_hash", F.col("estimate").alias("spread"))
-    return exact.where(F.col("spread") >= sites).unionByName(sure)
+    found = materialise(exact.where(F.col("spread") >= sites).unionByName(sure))
+    for t in (common, spread, close):
+        forget(t)
+    return found
 
 
-def remove_boilerplate(docs: DataFrame, sites: int = SITES, site: str = "source") -> DataFrame:
+def remove_boilerplate(docs: DataFrame, sites: int = SITES, site: str = "source", in_place: int = IN_PLACE, small: int = SMALL) -> DataFrame:
     """docs with clean_text, n_lines and n_removed."""
     names = [c for c in docs.columns if c.lower() not in ("clean_text", "n_lines", "n_removed")]
-    hashed = line_hashes(docs, site)
-    bad = boilerplate(hashed, sites).select("line_hash")
-    has = hashed.select("__id", F.explode(F.array_distinct("hashes")).alias("line_hash"))
-    gone = has.join(bad, "line_hash").groupBy("__id").agg(F.collect_set("line_hash").alias("__gone"))
-    met = docs.select(*names).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    lines, touched = _lines(F.col("text")), F.col("__gone").isNotNull() & F.col("text").isNotNull()
-
-    def out(x: Column) -> Column:
-        return (_key(x) != "") & F.array_contains("__gone", F.xxhash64(_key(x)))
-
+    hashed = line_hashes(docs.select("doc_id", "text", site), site)
+    bad = boilerplate(hashed, sites, small=small).select("line_hash")
+    packed = docs.select(F.struct(*names).alias("row"), F.col("text").alias("text"), _identity().alias("id"))
+    lines = _lines(F.col("text"))
+    if bad.count() <= in_place:
+        gone = sorted(r[0] for r in bad.collect())  # in_place longs at most
+        kept = F.filter(lines, lambda x: (_key(x) == "") | ~F.xxhash64(_key(x)).isin(gone))
+        met = packed.withColumn("kept", kept)
+    else:
+        has = hashed.select("id", F.explode(F.array_distinct("hashes")).alias("line_hash"))
+        gone_of = _among(has, bad, small).groupBy("id").agg(F.collect_set("line_hash").alias("gone"))  # of one text's lines
+        kept = F.filter(lines, lambda x: (_key(x) == "") | ~F.array_contains("gone", F.xxhash64(_key(x))))
+        met = packed.join(gone_of, "id", "left").withColumn("kept", F.when(F.col("gone").isNull(), lines).otherwise(kept))
+    clean = F.array_join("kept", "\n")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    kept = F.filter(lines, lambda x: ~out(x))
-    met = met.withColumn("__kept", F.when(touched, kept))
-    clean = F.when(touched, F.array_join("__kept", "\n")).otherwise(F.col("text"))
-    return met.select(*names, clean.alias("clean_text"), n.alias("n_lines"), F.when(touched, n - F.size("__kept")).otherwise(0).alias("n_removed"))
+    removed = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size("kept"))
+    return met.select("row.*", clean.alias("clean_text"), n.alias("n_lines"), removed.alias("n_removed"))
 
 
 def op9_line_spread(docs: DataFrame) -> DataFrame:
