@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lorewell.llm.base import held_out
+from lorewell.llm.base import add_columns, held_out
 
 SPAN = 1 << 40
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = 2000, max_row_chars: int = 20_000, seed: int = 5, extra: tuple[str, ...] = ()) -> list:
+def labelled_sample(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    per_class: int = 2000,
+    max_row_chars: int = 20_000,
+    seed: int = 5,
+    extra: tuple[str, ...] = (),
+    vector: Callable[[pa.RecordBatch], np.ndarray] | None = None,
+) -> list:
     """Rows (doc_id, text, y, *extra) for fitting: at most per_class documents of each class.
 
     The bound is per_class x 2 documents of at most max_row_chars characters: the rows with the least
     hash of doc_id, of those that held_out() does not mark (a fifth more are drawn by a hash threshold
     that follows from the class counts, so that no task sends more than its share); of repeated ids,
-    one row.
+    one row.  With `vector` (a batch of text and extra -> one row of numbers each) the workers send x, the numbers,
+    in place of text and extra.
     """
     lab = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     n = {bool(r["c"]): r["n"] for r in lab.groupBy((F.col("y") == 1).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
@@ -25,12 +39,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     share = [int(SPAN * min(1.0, 1.2 * per_class / max(1, n.get(c, 0)))) for c in (False, True)]
     ids = lab.withColumn("__u", u).where(F.col("__u") < F.when(F.col("y") == 1, F.lit(share[1])).otherwise(F.lit(share[0])))
     some = docs.where(F.length("text") <= max_row_chars).select("doc_id", "text", *extra).join(F.broadcast(ids), "doc_id")  # about 2.4 x per_class rows
-    one = some.groupBy("doc_id").agg(F.max(F.struct("text", *extra)).alias("r"), F.max("y").alias("y"), F.max("__u").alias("__u"))
-    rows = sorted(one.select("doc_id", "r.*", "y", "__u").collect(), key=lambda r: (r["__u"], r["doc_id"]))
+    one = some.groupBy("doc_id").agg(F.max(F.struct("text", *extra)).alias("r"), F.max("y").alias("y"), F.max("__u").alias("__u")).select("doc_id", "r.*", "y", "__u")
+    if vector is not None:
+        one = with_vector(one, vector, ["doc_id", "y", "__u"])
+    rows = sorted(one.collect(), key=lambda r: (r["__u"], r["doc_id"]))
     own = [[r for r in rows if (r["y"] == 1) == c][:per_class] for c in (False, True)]
     return sorted(own[0] + own[1], key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"]))
 
 
+def with_vector(df: DataFrame, vector: Callable[[pa.RecordBatch], np.ndarray], keep: list[str]) -> DataFrame:
+    """df[keep] with x: the numbers that vector() makes of each row of a batch, as doubles in binary."""
+    return add_columns(df, lambda b: [pa.array([v.tobytes() for v in np.ascontiguousarray(vector(b), np.float64)], pa.binary())], [("x", T.BinaryType())], keep)
+
+
+def stacked(rows: list) -> np.ndarray:
+    """The vectors of rows that with_vector() made."""
+    return np.stack([np.frombuffer(r["x"], np.float64) for r in rows])
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 

@@ -5,8 +5,8 @@ points, of symbols `#*$%&|<>`, of lines equal to an earlier one, of words in rep
 and further shares (capitals, digits, exclamation marks, log of distinct words over log of words).  All are computed with
 numpy on Arrow's buffers; equality of words, lines and windows is equality of 64-bit hashes.
 
-A forest (gbt.fit_forest) is fitted on a bounded labelled sample (labels.quality); the shares of
-symbols, repeats, repeated lines, capitals and exclamation marks are constrained never to raise the
+A forest (gbt.fit_forest) is fitted on the statistics of a bounded labelled sample (labels.quality), which the workers
+compute; the shares of symbols, repeats, repeated lines, capitals and exclamation marks are constrained never to raise the
 score, length and distinct words never to lower it.  Scoring walks flat node arrays for all rows at once.  The verdict keeps a document whose
 score reaches the cut that keeps `keep` of the good documents of a fifth that the fit does not see
 (`max_cut` at most, so that a sharp forest does not drop borderline documents).
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from lorewell.llm.base import SPACE, add_columns, buffers, grams, mix, row_blocks, row_bounds, span_hashes, word_spans
 from lorewell.llm.gbt import Forest, constant, fit_forest
-from lorewell.llm.learning import keep_threshold, labelled_sample
+from lorewell.llm.learning import keep_threshold, labelled_sample, stacked
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["log_words", "word_length", "symbols", "dup_lines", "repeats", "capitals", "digits", "shouts", "distinct"]
@@ -115,12 +115,13 @@ class QualityRules:
     cut: float
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, keep: float = 0.998, max_cut: float = 0.2) -> QualityRules:
-    rows = labelled_sample(docs, labels, "quality", per_class, max_row_chars=100_000)
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, keep: float = 0.998, max_cut: float = 0.2, max_row_chars: int = 1_000_000) -> QualityRules:
+    """Forest and cut from at most per_class labelled documents of each class of max_row_chars at most; workers send nine numbers of each."""
+    rows = labelled_sample(docs, labels, "quality", per_class, max_row_chars, vector=lambda b: statistics(b.column(b.schema.get_field_index("text")))[1])
     y = np.array([r["y"] for r in rows], float)
     if len(rows) < 10 or y.min() == y.max():
         return QualityRules(constant(1.0), 0.0)
-    _, x = statistics(pa.array([r["text"] for r in rows], pa.string()))
+    x = stacked(rows)
     test = np.arange(len(y)) % 5 == 4
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     forest = fit_forest(x[~test], y[~test], weight[~test], MONOTONE)
