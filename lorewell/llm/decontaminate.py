@@ -18,8 +18,10 @@ worker holds is bounded whatever the benchmark's size; all of the corpus is read
 aligned where they are found; only contaminated pairs are shuffled.
 
 Results: null and empty texts and items touch nothing; equal items are reported each; repeated rows
-(equal doc_id) give one row per item with the best score; a null doc_id is not reported; empty
-tables give no rows.  n_seeds is the number of distinct seeds in the passage.
+(equal doc_id) give one row per item with the best score (ties: the first passage); a null doc_id is not reported
+(drop_contaminated() judges such rows by their text); very long texts are read whole, and passages of any
+length aligned in bounded memory; columns of any other name are not read; empty tables give no rows.  n_seeds is the
+number of distinct seeds in the passage.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.base import PUNCT, buffers, grams, materialise, row_blocks, row_bounds, ship, words
+from lorewell.llm.base import PUNCT, buffers, grams, matched, materialise, row_blocks, row_bounds, ship, words
 
 BITMAP = 22
 #: Passages of at most this many bytes of word hashes in all are remembered with their alignments.
@@ -168,10 +170,11 @@ def leaks(docs: DataFrame, items: list[tuple[int, str]], n: int, threshold: floa
         for b in batches:
             got = _found(aligner, b.column(0).to_pylist(), b.column(1), pad)
             if got["doc_id"]:
-                types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32()]
+                types = [b.column(0).type, pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(got.values(), types, strict=True)], names=list(got))
 
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, score double, first_word long, last_word long, n_seeds int")
+    named = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    return named.mapInArrow(run, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, item_id long, score double, first_word long, last_word long, n_seeds int")
 
 
 def _row(item_word: np.uint64, passage: np.ndarray, prev: np.ndarray, ramp: np.ndarray) -> np.ndarray:
@@ -237,9 +240,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: f
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones."""
-    gone = materialise(contaminated(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """docs without the contaminated ones; a row with a null doc_id goes by its text."""
+    key = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), F.md5(F.col("text").cast("binary"))))
+    gone = materialise(contaminated(docs.select(key.alias("doc_id"), "text"), benchmark).select("doc_id").distinct())
+    return matched(docs, F.coalesce(key, F.lit("")), gone, "left_anti")
 
 
 def op7_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
