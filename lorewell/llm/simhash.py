@@ -10,7 +10,7 @@ Two settings of one operator:
 * `wide_fingerprints` + `anchors` blocking, for the pipeline: 256 bits over the set of 5-word
   shingles.  Blocks are keyed by each of `ANCHORS` independent minimum shingle hashes; texts of
   similarity 0.8 miss all of them with probability 0.2^6.  Blocks are compared whole whatever their
-  size.  The fingerprints, within a radius twice the mean distance at 0.8, only
+  size.  The fingerprints, within a radius of over five standard errors beyond the mean distance at 0.8, only
   say which texts are candidates: their shingle sets are then made again, and two texts are linked
   if and only if the sets' Jaccard similarity is 0.8 or more.  A chain of candidates is compared in
   one task, or beyond `HELD` shingles in pieces that meet two by two.
@@ -39,14 +39,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorewell.llm.base import LOWER, SPACE, add_columns, buffers, grams, materialise, mix, row_blocks, row_bounds, ship, words
+from lorewell.llm.base import FEW_IDS, LOWER, SPACE, add_columns, buffers, grams, matched, materialise, mix, row_blocks, row_bounds, ship, words
 from lorewell.llm.bitslice import connect
 from lorewell.llm.components import components
 
 ANCHORS = 6
 #: Differing bits of candidates.  Sets of similarity 0.8 differ in 39 bits on average (48 for 4 of 5
-#: shingles), standard deviation 6; unrelated ones in 128.
-RADIUS_NEAR = 80
+#: shingles), standard deviation 6; sets of similarity 0.4 in 78, unrelated ones in 128.
+RADIUS_NEAR = 72
 HOT = 4096
 #: Members of a last-level block that one task compares at a time (twice as many: two pieces).
 TILE = 1 << 14
@@ -281,33 +281,52 @@ def _connected(parts: list[pa.RecordBatch], width: int, radius: int) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[label[far]])], names=["a", "b"])
 
 
-def _jaccard_08(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets have a Jaccard similarity of 0.8 or more, in whole numbers."""
-    if len(a) > len(b):
-        a, b = b, a
-    if 5 * len(a) < 4 * len(b):
-        return False
-    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-    return 9 * both >= 4 * (len(a) + len(b))
+#: Sets that link_exactly() meets with one set at a time, after the nearest.
+MET = 1 << 14
 
 
 def link_exactly(fps: np.ndarray, sets: list[np.ndarray], radius: int) -> np.ndarray:
     """Label of each text: the least index that chains of pairs of similarity 0.8 reach.
 
-    Every two texts within the radius are compared unless a chain joins them already; near ones first.
+    Every two texts within the radius are compared unless a chain joins them already.  A set is marked in a table over all
+    shingles of the block, so that its common shingles with any others are counted at a few nanoseconds each; the
+    nearest text comes first, as a link to it mostly settles the others.
     """
     label = np.arange(len(sets))
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    edge = np.r_[0, np.cumsum(size)]
+    mark = np.zeros(int(flat.max()) + 1 if len(flat) else 1, np.uint8)
+
+    def in_common(others: np.ndarray) -> np.ndarray:
+        n, top = size[others], int(others.max()) + 1
+        if 4 * int(n.sum()) > edge[top]:  # most of them: count in all sets up to there
+            hit = np.zeros(edge[top] + 1, np.uint8)
+            mark.take(flat[: edge[top]], mode="clip", out=hit[:-1])
+            return np.where(n > 0, np.add.reduceat(hit, edge[:top], dtype=np.int32)[others], 0)
+        first = np.cumsum(n) - n
+        at = np.repeat(edge[others] - first, n) + np.arange(int(n.sum()))
+        total = np.r_[0, np.cumsum(mark[flat[at]], dtype=np.int64)]
+        return total[first + n] - total[first]
+
     for i in range(1, len(sets)):
         gap = np.bitwise_count(fps[:i] ^ fps[i]).sum(1, dtype=np.int64)
-        near = np.flatnonzero(gap <= radius)
-        near = near[np.argsort(gap[near], kind="stable")]
-        near = near[label[near] != label[i]]
+        near = np.flatnonzero((gap <= radius) & (label[:i] != label[i]) & (5 * np.minimum(size[:i], size[i]) >= 4 * np.maximum(size[:i], size[i])))
+        if not len(near):
+            continue
+        k = int(gap[near].argmin())
+        near[[0, k]] = near[[k, 0]]
+        mark[flat[edge[i] : edge[i + 1]]] = 1
+        step = 1
         while len(near):
-            j, near = near[0], near[1:]
-            if _jaccard_08(sets[i], sets[j]):
-                old, new = max(label[i], label[j]), min(label[i], label[j])
-                label[label == old] = new
+            met, near = near[:step], near[step:]
+            linked = met[9 * in_common(met) >= 4 * (size[met] + size[i])]  # a Jaccard similarity of 0.8 in whole numbers
+            if len(linked):
+                own = np.unique(np.r_[label[linked], label[i]])
+                label[np.isin(label, own)] = own[0]
                 near = near[label[near] != label[i]]
+            step = MET
+        mark[flat[edge[i] : edge[i + 1]]] = 0
     return label
 
 
@@ -338,7 +357,7 @@ def near_duplicates(docs: DataFrame, hot: int = HOT, tile: int = TILE) -> DataFr
     return prints.join(found, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
-def similar_documents(docs: DataFrame, radius: int = RADIUS_NEAR, hot: int = TILE, held: int = HELD) -> DataFrame:
+def similar_documents(docs: DataFrame, radius: int = RADIUS_NEAR, hot: int = TILE, held: int = HELD, few: int = FEW_IDS) -> DataFrame:
     """doc_id and component_id over 5-word shingle sets of a Jaccard similarity of 0.8 or more; blocks above `hot` are cut in tiles."""
     texts = docs.select("doc_id", "text")
     prints = materialise(wide_fingerprints(texts, ["doc_id"]))
@@ -348,7 +367,8 @@ def similar_documents(docs: DataFrame, radius: int = RADIUS_NEAR, hot: int = TIL
     chains = near.join(nodes.select("node", "same", "many"), "node").withColumnRenamed("component", "key")
     sizes = chains.groupBy("key").agg(F.sum("many").alias("n"))
     wanted = materialise(chains.join(sizes, "key").select("node", F.col("same").alias("wanted"), _tiles(held).alias("keys")))
-    again = wide_fingerprints(texts.join(wanted, F.col("doc_id") == F.col("node")), ["node", "wanted", "keys"], sets=True)
+    own = matched(texts, F.col("doc_id"), wanted.select("node"), "left_semi", few)  # so that no other text moves
+    again = wide_fingerprints(own.join(wanted, F.col("doc_id") == F.col("node")), ["node", "wanted", "keys"], sets=True)
     sets = materialise(again.where("same = wanted").dropDuplicates(["node", "same"]))
     pairs = sets.select("node", "fp", F.explode("keys").alias("key"), "shingles")
     linked = components(_links(pairs, lambda parts: _exactly(parts, radius)))
@@ -356,20 +376,23 @@ def similar_documents(docs: DataFrame, radius: int = RADIUS_NEAR, hot: int = TIL
     return prints.select("doc_id", "fp", "same").join(found, "same", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS_NEAR) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS_NEAR, few: int = FEW_IDS) -> DataFrame:
     """docs with one document of each group: the least doc_id; rows without a doc_id stay.
 
-    Of several rows with the doc_id that stays, one stays (chosen among equal ids by
-    dropDuplicates; only those few rows are shuffled for it).
+    Of several rows with the doc_id that stays, the first in the order of their JSON form stays; only
+    those rows are shuffled for it.
     """
-    found = materialise(similar_documents(docs, radius))
-    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("__c"), F.count(F.lit(1)).alias("__n"))
-    odd = materialise(ids.where("doc_id <> __c or __n > 1").withColumnRenamed("doc_id", "__id"))
-    marked = docs.join(odd, F.col("doc_id") == F.col("__id"), "left")
-    names = docs.columns
-    single = marked.where("__id is null").select(names)
-    several = marked.where("__id = __c and __n > 1").select(names).dropDuplicates(["doc_id"])
-    return single.unionByName(several)
+    found = materialise(similar_documents(docs, radius, few=few))
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
+    ids = materialise(ids.where("doc_id <> c or n > 1"))
+    gone, twice = ids.where("doc_id <> c").select("doc_id"), ids.where("doc_id = c").select("doc_id")
+    kept = matched(docs, F.col("doc_id"), gone, "left_anti", few)
+    if twice.limit(1).isEmpty():
+        return kept
+    several = matched(kept, F.col("doc_id"), twice, "left_semi", few)
+    packed = several.select("doc_id", F.struct(*docs.columns).alias("row"))
+    one = packed.groupBy("doc_id").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return matched(kept, F.col("doc_id"), twice, "left_anti", few).unionByName(one)
 
 
 def op3_simhash(docs: DataFrame) -> DataFrame:
