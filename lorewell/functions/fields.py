@@ -35,6 +35,12 @@ def normalize_date(c: Column | str) -> Column:
     )
 
 
+def parse_date(c: Column | str) -> Column:
+    """normalize_date(), or the trimmed text itself where no date is found."""
+    found = normalize_date(c)
+    return F.when(found != "", found).otherwise(strip(text_or_empty(c)))
+
+
 def pdf_date(c: Column | str) -> Column:
     """D:YYYYMMDD... of PDF metadata."""
     s = F.regexp_extract(text_or_empty(c), r"(\d{4})(\d{2})(\d{2})", 0)
@@ -93,3 +99,18 @@ def local_due(now: Column, zone: str, at: str, last_run: Column) -> Column:
     """Schedule gate: past the local time of day, and not yet run on this local date."""
     local = F.convert_timezone(F.lit("UTC"), F.lit(zone), now.cast("timestamp_ntz"))
     return (F.date_format(local, "HH:mm") >= at) & (last_run.isNull() | (F.to_date(local) > last_run))
+
+
+def next_local(now: Column, zone: str, at: str) -> Column:
+    """The next time (UTC) at which the zone's clock shows `at`, after now."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), now.cast("timestamp_ntz"))
+    day = F.when(F.date_format(local, "HH:mm") < at, F.to_date(local)).otherwise(F.date_add(F.to_date(local), 1))
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), F.concat_ws(" ", day.cast("string"), F.lit(f"{at}:00")).cast("timestamp_ntz"))
+
+
+def display_name(c: Column | str, names: dict[str, str] | None = None) -> Column:
+    """A source's name for readers: the given one, or its words with capitals."""
+    out = F.initcap(F.regexp_replace(text_or_empty(c), "[_-]+", " "))
+    for k, v in (names or {}).items():
+        out = F.when(F.lower(col(c)) == k, v).otherwise(out)
+    return out

@@ -6,14 +6,27 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.functions.urls import canonical
+from lorewell.functions.fields import clean_authors, normalize_date
+from lorewell.functions.text import as_list, first_text
+from lorewell.functions.urls import canonicalize
 
 BLOCKS = frozenset("p div article section li ul ol table tr h1 h2 h3 h4 h5 h6 br blockquote pre dd dt figure main header footer".split())
 SILENT = frozenset("script style noscript template svg".split())
 FURNITURE = frozenset("nav aside header footer form button".split())
+ROOTS = frozenset("main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Most figures and links of a page, and the labels of its table of details by field.
+FIGURES, LINKS = 30, 300
+DETAILS = {
+    "authors": ("author", "authors", "by", "written by"),
+    "published": ("published", "date", "publication date", "published on"),
+    "updated": ("updated", "last updated", "modified"),
+    "categories": ("category", "categories", "topics", "tags"),
+    "role": ("role", "position", "designation"),
+}
 VOID = frozenset("br img meta link input hr source area base col embed wbr".split())
 PAGE = (
     "page_id long, url string, title string, lang string, description string, headings array<string>, body string, links array<string>, "
@@ -31,6 +44,9 @@ class Page(HTMLParser):
         self.links: list[str] = []
         self.figures: list[str] = []
         self.rows: list[list[str]] = []
+        self.lead = ""
+        self.main = 0
+        self.chosen: list[str] = []
         self.entries: list[tuple[str, str]] = []
         self.out: list[str] = []
         self.inside: list[str] = []
@@ -48,8 +64,13 @@ class Page(HTMLParser):
             self.anchor = [a.get("href", "")]
             if a.get("href"):
                 self.links.append(a["href"])
+        if tag in ROOTS:
+            self.main += 1
         if tag in BLOCKS:
-            self.out.append("\n")
+            self._put("\n")
+            self.lead = f"{'#' * int(tag[1])} " if tag in HEADINGS else "- " if tag == "li" else ""
+        elif tag in ("td", "th") and self.rows and self.rows[-1]:
+            self._put(" | ")
         if tag == "tr":
             self.rows.append([])
         elif tag in ("td", "th") and self.rows:
@@ -68,7 +89,15 @@ class Page(HTMLParser):
                 self.entries.append((" ".join("".join(self.anchor[1:]).split()), self.anchor[0]))
             self.anchor = None
         if tag in BLOCKS:
-            self.out.append("\n")
+            self._put("\n")
+            self.lead = ""
+        if tag in ROOTS and self.main:
+            self.main -= 1
+
+    def _put(self, s: str) -> None:
+        self.out.append(s)
+        if self.main:
+            self.chosen.append(s)
 
     def handle_data(self, data: str) -> None:
         if SILENT.intersection(self.inside):
@@ -83,7 +112,10 @@ class Page(HTMLParser):
         if self.inside and self.inside[-1] in ("td", "th") and self.rows and self.rows[-1]:
             self.rows[-1][-1] += data
         if not FURNITURE.intersection(self.inside):
-            self.out.append(data)
+            if self.lead and data.strip():
+                self._put(self.lead)
+                self.lead = ""
+            self._put(data)
 
 
 def parse(html: str | None) -> Page:
@@ -94,20 +126,24 @@ def parse(html: str | None) -> Page:
 
 
 def body_text(p: Page) -> str:
-    """Visible lines of the main part; equal neighbours collapse."""
-    lines = [" ".join(x.split()) for x in "".join(p.out).split("\n")]
-    lines = [x for x in lines if x]
-    return "\n".join(x for k, x in enumerate(lines) if not k or x != lines[k - 1])
+    """Visible lines of the main part (the page's main or article element, if it has text); equal neighbours collapse.
+
+    Headings start with # by level, list items with "- ", cells of a row are joined by " | ".
+    """
+    for parts in (p.chosen, p.out):
+        lines = [" ".join(x.split()) for x in "".join(parts).split("\n")]
+        lines = [x for x in lines if x]
+        if lines:
+            return "\n".join(x for k, x in enumerate(lines) if not k or x != lines[k - 1])
+    return ""
 
 
 def record(page_id: int, url: str, html: str) -> tuple:
     p = parse(html)
-    links = sorted({c for c in (canonical(x, url or "") for x in p.links) if c})
     details = {" ".join(r[0].split()).rstrip(":"): " ".join(r[1].split()) for r in p.rows if len(r) == 2}
-    entries = [(t, canonical(u, url or "") or "") for t, u in p.entries]
     title = " ".join(p.title.split()) or next((" ".join(h.split()) for h in p.heads if h.strip()), "")
     heads = [" ".join(h.split()) for h in p.heads if h.strip()]
-    return page_id, url, title, p.lang, p.description, heads, body_text(p), links, sorted(set(p.figures))[:30], details, entries
+    return page_id, url, title, p.lang, p.description, heads, body_text(p), p.links, sorted(set(p.figures))[:FIGURES], details, p.entries
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -121,7 +157,30 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             out["entries"] = [[{"title": t, "url": u} for t, u in e] for e in out["entries"]]
             yield out
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, PAGE)
+    raw = pages.select("page_id", "url", "html").mapInPandas(run, PAGE)
+    links = F.array_sort(F.array_distinct(F.array_compact(F.transform("links", lambda x: canonicalize(x, F.col("url"))))))
+    entries = F.transform("entries", lambda e: F.struct(e["title"].alias("title"), F.coalesce(canonicalize(e["url"], F.col("url")), F.lit("")).alias("url")))
+    return raw.withColumn("links", F.slice(links, 1, LINKS)).withColumn("entries", entries)
+
+
+def metadata(records: DataFrame, labels: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """records with authors, published, updated, categories and role from the page's table of details.
+
+    labels: field -> the row labels (lower case) that name it.
+    """
+    known = DETAILS | (labels or {})
+    rows = F.map_from_entries(F.transform(F.map_entries(F.coalesce("details", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+
+    def first(field: str) -> Column:
+        return first_text(*[F.try_element_at(rows, F.lit(name)) for name in known[field]])
+
+    return (
+        records.withColumn("authors", clean_authors(first("authors")))
+        .withColumn("published", normalize_date(first("published")))
+        .withColumn("updated", normalize_date(first("updated")))
+        .withColumn("categories", as_list(first("categories")))
+        .withColumn("role", first("role"))
+    )
 
 
 def listing_entries(records: DataFrame) -> DataFrame:

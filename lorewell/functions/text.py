@@ -33,9 +33,13 @@ def first_text(*cs: Column | str) -> Column:
     return F.coalesce(*[F.nullif(col(c), F.lit("")) for c in cs], F.lit(""))
 
 
+#: Unicode white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column | str) -> Column:
     """Trim all (Unicode) white space, not blanks alone."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(WHITE))
 
 
 def bm25_tokens(c: Column | str) -> Column:
@@ -70,7 +74,7 @@ def normalize_whitespace(c: Column | str) -> Column:
 
 
 def one_line(c: Column | str) -> Column:
-    return strip(F.regexp_replace(text_or_empty(c), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text_or_empty(c), r"(?U)\s+", " "))
 
 
 normalize_query = one_line
@@ -159,8 +163,9 @@ NOISE = (
 )
 
 
-#: Any character beyond printable ASCII and white space: texts without one need no closer look.
-ODD = r"[^\x09-\x0D\x20-\x7E]"
+#: Two characters beyond ASCII that are four apart at most in one token, or noise: garbage_token() holds only for tokens
+#: with this, so texts, lines and tokens without it need no closer look.
+SUSPECT = r"[^\x00-\x7F](?U)\S{0,3}[^\x00-\x7F]|" + NOISE
 
 
 def garbage_token(t: Column) -> Column:
@@ -175,23 +180,27 @@ def garbage_token(t: Column) -> Column:
 def quality_score(c: Column | str) -> Column:
     """1 for clean text, towards 0 as garbage tokens or noise characters take over.
 
-    Only tokens with a character beyond printable ASCII can be garbage, so only those are looked at.
+    The text is cut at white space once and every token is looked at once, so a long token costs its length.
     """
     t = text_or_empty(c)
+    tokens = F.split(t, r"(?U)\s+")
+    bad = F.aggregate(F.filter(tokens, lambda x: x.rlike(SUSPECT) & garbage_token(x)), F.lit(0), lambda a, x: a + F.length(x))
     total = F.length(F.regexp_replace(t, r"(?U)\s+", ""))
-    odd = F.regexp_extract_all(t, F.lit(r"(?U)([^\s]*[^\x21-\x7E\s][^\s]*)"))
-    bad = F.aggregate(F.filter(odd, garbage_token), F.lit(0), lambda a, x: a + F.length(x))
     noise = F.length(t) - F.length(F.regexp_replace(t, NOISE, ""))
     penalty = F.least(F.lit(1.0), noise / F.greatest(F.lit(1), F.length(t)) * 4.0)
-    return F.when(~t.rlike(ODD) | (total == 0), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(1.0 - bad / F.nullif(total, F.lit(0)), 1.0 - penalty)))
+    return F.when(~t.rlike(SUSPECT) | (total == 0), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(1.0 - bad / F.nullif(total, F.lit(0)), 1.0 - penalty)))
+
+
+def _is_bad_line(x: Column) -> Column:
+    return x.rlike(SUSPECT) & (strip(x) != "") & (quality_score(x) < 0.5)
 
 
 def drop_garbage_lines(c: Column | str) -> Column:
     """Text without the lines that are mostly garbage; blank lines stay."""
     t = text_or_empty(c)
-    lines = F.filter(F.split(t, "\n", -1), lambda x: ~x.rlike(ODD) | (strip(x) == "") | (quality_score(x) >= 0.5))
-    return normalize_whitespace(F.when(t.rlike(ODD), F.array_join(lines, "\n")).otherwise(t))
+    lines = F.filter(F.split(t, "\n", -1), lambda x: ~_is_bad_line(x))
+    return normalize_whitespace(F.when(t.rlike(SUSPECT), F.array_join(lines, "\n")).otherwise(t))
 
 
 def dropped_lines(c: Column | str) -> Column:
-    return F.filter(F.split(text_or_empty(c), "\n", -1), lambda x: x.rlike(ODD) & (strip(x) != "") & (quality_score(x) < 0.5))
+    return F.filter(F.split(text_or_empty(c), "\n", -1), _is_bad_line)

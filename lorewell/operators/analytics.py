@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewell.functions import mojibake, text
+from lorewell import schema as C
+from lorewell.functions import fields, mojibake, text
 
 
 def counts(df: DataFrame, *by: str | Column) -> DataFrame:
@@ -50,6 +51,63 @@ def regression_guard(now: DataFrame, before: DataFrame, by: str = "source", drop
     return gone.unionByName(total.select(F.lit("count_dropped").alias("error"), F.lit("all").alias("what"), "was", "now"))
 
 
+def index_stats(chunks: DataFrame, doc: str = "document_id") -> DataFrame:
+    """chunks and distinct documents by source and content type, by source, and in all (nulls mark the totals)."""
+    return chunks.rollup("source", "content_type").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct(doc).alias("documents"))
+
+
+def by_priority(sources: DataFrame, priority: Column, name: str = "source") -> DataFrame:
+    """sources with priority and place: by falling priority, then by name (a table of one row per source)."""
+    ranked = sources.withColumn("priority", priority)
+    return ranked.withColumn("place", F.row_number().over(Window.orderBy(F.desc("priority"), name)))
+
+
+def session_quality(answers: DataFrame, by: str, value: str, score: str) -> DataFrame:
+    """Per session: mean of a value (nulls aside), grounded and ungrounded answers, and answers by confidence."""
+    c = fields.confidence(score)
+    names = [n for n, _ in C.CONFIDENCE]
+    return answers.groupBy(by).agg(
+        F.round(F.avg(value), 6).alias(f"mean_{value}"), F.count_if(F.col(score) >= C.MIN_SCORE).alias("grounded"), F.count_if(F.coalesce(F.col(score), F.lit(0.0)) < C.MIN_SCORE).alias("no_evidence"),
+        *[F.count_if(c == n).alias(n) for n in [*names, "none"]],
+    )
+
+
+def totals(report: DataFrame, counters: list[str]) -> DataFrame:
+    """One row: every counter of the sources of a run added up (an absent one counts 0)."""
+    return report.agg(*[F.coalesce(F.sum(F.coalesce(c, F.lit(0))), F.lit(0)).alias(c) for c in counters])
+
+
+def unique_sorted(df: DataFrame, value: str, dropped: tuple[str, ...] = ("", "unknown", "n/a", "none")) -> DataFrame:
+    """Distinct values for a filter list, without placeholders, in order."""
+    v = F.trim(F.col(value).cast("string"))
+    return df.select(v.alias(value)).where(F.col(value).isNotNull() & ~F.lower(value).isin(*dropped)).distinct().orderBy(value)
+
+
+def explorer_frame(docs: DataFrame) -> DataFrame:
+    """What a table of documents shows: joined lists, length and year."""
+    names = docs.columns
+
+    def own(c: str) -> Column:
+        return text.text_or_empty(c) if c in names else F.lit("")
+
+    def listed(c: str) -> Column:
+        return text.joined(c) if c in names else F.lit("")
+
+    date = text.first_text(own("publication_date"), own("date"))
+    return docs.select(
+        own("document_id").alias("document_id"), own("title").alias("title"), own("source").alias("source"), listed("authors").alias("authors"), own("category").alias("category"), listed("tags").alias("tags"),
+        date.alias("date"), fields.year(date).alias("year"), own("content_type").alias("content_type"), own("url").alias("url"), F.length(own("text")).alias("chars"), F.substring(own("text"), 1, 300).alias("preview"),
+    )
+
+
+def valid_people(docs: DataFrame, least: int = 3) -> DataFrame:
+    """name and n of authors that read like people: no category, tag or content type of the corpus, letters, two words or more."""
+    other = docs.select(F.explode(F.concat(F.array("category", "content_type"), F.coalesce("tags", F.array().cast("array<string>")))).alias("other")).select(F.lower(F.trim("other")).alias("key")).where("key <> ''").distinct()
+    names = docs.select(F.explode("authors").alias("name")).groupBy(F.trim("name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    sound = (F.length("name") >= least) & F.col("name").rlike("\\p{L}") & ~F.col("name").rlike("\\d|@|https?:") & F.contains("name", F.lit(" "))
+    return names.where(sound).withColumn("key", F.lower("name")).join(other, "key", "left_anti").select("name", "n")
+
+
 def _any_has(array: str, value: str) -> Column:
     return F.exists(array, lambda x: F.contains(F.lower(x), F.lit(value.lower())))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import bm25_tokens
@@ -14,7 +14,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 class Index(NamedTuple):
-    """postings(id, term, tf), lengths(id, dl), idf(term, df, idf), stats(n, avgdl): ordinary tables."""
+    """postings(id, term, tf), lengths(id, dl), idf(term, df, idf), stats(n, avgdl): stored tables."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -25,19 +25,48 @@ class Index(NamedTuple):
 def build(docs: DataFrame, id_col: str, text_col: str) -> Index:
     """A text without tokens has the one token "_".
 
-    Texts are tokenised once: postings are written to the shared folder, and lengths, counts and idf
-    are aggregations of them.  Counting (id, term) combines map-side, so only postings are shuffled;
-    negative idf becomes EPSILON x the mean of the raw idf over the vocabulary.
+    Texts are tokenised once: postings are written to the shared folder, lengths, counts and idf are
+    aggregations of them and written too, so that every query reads what it needs of them.  Counting (id, term)
+    combines map-side, so only postings are shuffled; negative idf becomes EPSILON x the mean of the raw idf over the vocabulary.
     """
+    spark = docs.sparkSession
     each = docs.select(F.col(id_col).alias("id"), F.explode_outer(bm25_tokens(text_col)).alias("term"))
     postings = stored(each.groupBy("id", F.coalesce("term", F.lit("_")).alias("term")).agg(F.count(F.lit(1)).alias("tf")))
-    lengths = postings.groupBy("id").agg(F.sum("tf").alias("dl"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n")))  # one row
-    raw = raw.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, lengths, idf, stats)
+    lengths = stored(postings.groupBy("id").agg(F.sum("tf").alias("dl")))
+    n, avgdl = lengths.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = stored(df.select("term", "df", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
+    floor = (raw.agg(F.avg("raw")).first()[0] or 0.0) * EPSILON
+    idf = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf"))
+    return Index(postings, lengths, idf, spark.createDataFrame([(n, avgdl)], "n long, avgdl double"))
+
+
+def save(index: Index, path: str) -> None:
+    """Index tables under path, sorted by their lookup key so that row groups are skipped."""
+    index.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    index.idf.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_idf")
+    index.lengths.write.mode("overwrite").parquet(f"{path}/doc_len")
+    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "doc_len", "term_idf", "stats")])
+
+
+def shared(docs: DataFrame, id_col: str, text_col: str) -> Index:
+    """build() for a table of files, kept for the session: built again only when one of the files is another one."""
+    spark = docs.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    stamps = []
+    for f in sorted(docs.inputFiles()):
+        p = spark._jvm.org.apache.hadoop.fs.Path(f)
+        s = p.getFileSystem(conf).getFileStatus(p)
+        stamps.append((f, s.getLen(), s.getModificationTime()))
+    known = spark.sparkContext.__dict__.setdefault("_lorewell_bm25", {})
+    key = (*stamps, id_col, text_col)
+    if key not in known:
+        known[key] = build(docs, id_col, text_col)
+    return known[key]
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
@@ -47,6 +76,6 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
 
 def score(index: Index, terms: DataFrame) -> DataFrame:
     """query_id, id, score > 0.  Only postings of query terms survive the first join."""
-    hit = terms.join(index.idf, "term").join(index.postings, "term").join(index.lengths, "id").crossJoin(F.broadcast(index.stats))
+    hit = terms.join(index.idf, "term").join(index.postings, "term").join(index.lengths, "id").crossJoin(F.broadcast(index.stats))  # one row
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell import schema as C
 from lorewell.functions import citations as K
-from lorewell.functions import text
+from lorewell.functions import fields, text, urls
 
 
 def claims(answers: DataFrame, sources: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def verify(answers: DataFrame, sources: DataFrame) -> DataFrame:
     cited: kept sources by first appearance.  An answer that cites nothing is attributed to the up to
     three sources that overlap it by 0.25 or more, if it overlaps all of them together by 0.18.
     """
-    norm = answers.select("answer_id", K.normalize_udf("answer").alias("answer"))
+    norm = answers.select("answer_id", K.normalize("answer").alias("answer"))
     checked = claims(norm, sources)
     sent = checked.groupBy("answer_id", "pos").agg(F.bool_or("substantive").alias("s"), F.bool_or("keep").alias("k"))
     totals = sent.groupBy("answer_id").agg(F.count_if("s").alias("claims_total"), F.count_if(F.col("s") & F.col("k")).alias("claims_supported"))
@@ -52,7 +52,7 @@ def verify(answers: DataFrame, sources: DataFrame) -> DataFrame:
     grounded = F.when(F.size(cites) > 0, score >= 0.5).otherwise(by_overlap)
     used = F.when(F.size(cites) > 0, cites).otherwise(F.when(by_overlap, F.coalesce("inferred", none)).otherwise(none))
     how = F.when(F.size(cites) > 0, "cited").when(by_overlap, "inferred").otherwise("none")
-    return out.select("answer_id", F.round(over, 6).alias("overlap"), total.alias("claims_total"), ok.alias("claims_supported"), F.round(score, 3).alias("grounding_score"), used.alias("sources"), grounded.alias("grounded"), how.alias("attribution"), K.renumber_udf("answer", cites).alias("answer"))
+    return out.select("answer_id", F.round(over, 6).alias("overlap"), total.alias("claims_total"), ok.alias("claims_supported"), F.round(score, 3).alias("grounding_score"), used.alias("sources"), grounded.alias("grounded"), how.alias("attribution"), K.renumber("answer", cites).alias("answer"))
 
 
 def filter_evidence(hits: DataFrame, by: str = "answer_id") -> DataFrame:
@@ -80,5 +80,80 @@ def context_budget(blocks: DataFrame, budget: int = C.CONTEXT_CHARS, by: str = "
 
 def citation_records(sources: DataFrame, answers: DataFrame) -> DataFrame:
     """sources(answer_id, n, title, text, ...) with the excerpt that fits the answer's claim."""
-    with_claim = sources.join(answers.select("answer_id", "answer"), "answer_id").withColumn("__c", K.claims_for("answer", F.col("n")))
-    return with_claim.withColumn("excerpt", K.excerpt_udf("text", "__c")).drop("__c", "answer")
+    with_claim = sources.join(answers.select("answer_id", "answer"), "answer_id")
+    return with_claim.withColumn("excerpt", K.excerpt("text", K.claims_for("answer", F.col("n")))).drop("answer")
+
+
+def evidence_text(names: list[str], kinds: dict[str, str]) -> Column:
+    """Everything of a source that can support a claim: title, body, list and scalar metadata, joined by blanks."""
+    parts = [c for c in ("title", "text", "description", "authors", "categories", "tags", "date", "publication_date", "section", "content_type", "source") if c in names]
+    return F.concat_ws(" ", *[text.joined(c, " ") if kinds[c].startswith("array") else F.nullif(F.trim(text.text_or_empty(c)), F.lit("")) for c in parts])
+
+
+def context_header(names: list[str]) -> Column:
+    """First line of a source's block in the context: number, title and what is known of it, joined by " | "."""
+
+    def shown(label: str, c: str) -> Column:
+        v = (text.joined(c) if c == "authors" else F.trim(text.text_or_empty(F.col(c).cast("string")))) if c in names else F.lit("")
+        return F.when(v != "", F.concat(F.lit(label), v))
+
+    number = F.concat(F.lit("[Source "), F.col("n").cast("string"), F.lit("]"))
+    return F.concat_ws(" | ", number, shown("", "title"), shown("Author: ", "authors"), shown("Date: ", "date"), shown("Type: ", "content_type"), shown("Page: ", "page_number"), shown("URL: ", "url"))
+
+
+def context_blocks(sources: DataFrame) -> DataFrame:
+    """sources(answer_id, n, text, ...) with block: header, line break, text."""
+    return sources.withColumn("block", F.concat(context_header(sources.columns), F.lit("\n"), F.trim(text.text_or_empty("text"))))
+
+
+def marker_check(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """answer_id, missing and unused: cited numbers without a source, and sources that nothing cites."""
+    marks = answers.select("answer_id", F.explode(K.cited("answer")).alias("n"))
+    known = sources.select("answer_id", F.col("n").cast("int").alias("n"))
+    missing = marks.join(known, ["answer_id", "n"], "left_anti").groupBy("answer_id").agg(F.sort_array(F.collect_set("n")).alias("missing"))
+    unused = known.join(marks, ["answer_id", "n"], "left_anti").groupBy("answer_id").agg(F.sort_array(F.collect_set("n")).alias("unused"))
+    none = F.array().cast("array<int>")
+    both = answers.select("answer_id").distinct().join(missing, "answer_id", "left").join(unused, "answer_id", "left")
+    return both.select("answer_id", F.coalesce("missing", none).alias("missing"), F.coalesce("unused", none).alias("unused"))
+
+
+def citations(sources: DataFrame, answers: DataFrame) -> DataFrame:
+    """The citation of each source: 1-based n and fifteen fields, with the excerpt that fits the answer's claim.
+
+    sources(answer_id, rank, ...): whatever columns are missing come out empty.
+    """
+    names = sources.columns
+
+    def own(*cs: str) -> Column:
+        have = [F.col(c).cast("string") for c in cs if c in names]
+        return text.first_text(*have) if have else F.lit("")
+
+    numbered = sources.withColumn("n", F.row_number().over(Window.partitionBy("answer_id").orderBy("rank")).cast("int"))
+    joined = numbered.join(answers.select("answer_id", "answer"), "answer_id")
+    listed = text.joined("authors") if "authors" in names else F.lit("")
+    kind = own("content_type")
+    return joined.select(
+        "answer_id", "n", own("document_id").alias("document_id"), own("chunk_id").alias("chunk_id"), F.coalesce(F.nullif(own("title"), F.lit("")), F.lit("Untitled")).alias("title"), own("url").alias("url"), own("pdf_url").alias("pdf_url"),
+        own("source").alias("source"), kind.alias("content_type"), urls.type_label(kind).alias("type_label"), text.first_text(listed, own("author")).alias("authors"), own("publication_date", "date").alias("date"), own("heading_path", "section").alias("section"),
+        (F.col("page_number").cast("int") if "page_number" in names else F.lit(None).cast("int")).alias("page_number"), fields.access("source").alias("access"), (F.round("score", 4) if "score" in names else F.lit(None).cast("double")).alias("score"),
+        K.excerpt("text", K.claims_for("answer", F.col("n"))).alias("excerpt"),
+    )
+
+
+def cited_confidence(answers: DataFrame, hits: DataFrame) -> DataFrame:
+    """answer_id, best and confidence over the hits (answer_id, n, score) that the answer cites."""
+    marks = answers.select("answer_id", F.explode_outer(K.cited("answer")).alias("n"))
+    best = marks.join(hits.select("answer_id", F.col("n").cast("int").alias("n"), "score"), ["answer_id", "n"], "left").groupBy("answer_id").agg(F.max("score").alias("best"))
+    return best.withColumn("confidence", fields.confidence("best"))
+
+
+def opening(chunks: DataFrame, by: str = "document_id", order: str = "chunk_index", n: int = 3, limit: int = 1500) -> DataFrame:
+    """by and text: the first n chunks of a document in order, cut to `limit` characters."""
+    first = chunks.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("__r") <= n)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("__r", "text"))), lambda x: x["text"])
+    return first.groupBy(by).agg(F.substring(F.array_join(parts, "\n\n"), 1, limit).alias("text"))
+
+
+def document_key() -> Column:
+    """One key per document: its id, or else its title and URL."""
+    return F.when(F.trim(text.text_or_empty("document_id")) != "", F.concat(F.lit("id:"), F.trim("document_id"))).otherwise(F.concat_ws("|", F.concat(F.lit("t:"), F.lower(F.trim(text.text_or_empty("title")))), F.lower(F.trim(text.text_or_empty("url")))))

@@ -90,3 +90,23 @@ def pdf_parents(pdfs: DataFrame, links: DataFrame) -> DataFrame:
     """Each PDF with its parent page: one with a title if there is one, then the least URL."""
     best = F.max_by(F.struct("parent_url", "parent_title"), F.struct((text_or_empty("parent_title") != "").cast("int").alias("t"), F.negative(F.xxhash64("parent_url")).alias("u")))
     return pdfs.join(links.groupBy("pdf_url").agg(best.alias("p")), "pdf_url", "left").select("pdf_url", "p.parent_url", "p.parent_title")
+
+
+def reasons(reconciled: DataFrame) -> DataFrame:
+    """reason (without its target) and n."""
+    return reconciled.groupBy(F.trim(F.split_part("reason", F.lit(" →"), F.lit(1))).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def to_delete(removed: DataFrame, replaced: DataFrame) -> DataFrame:
+    """Ids that a merge deletes: removed ones and those that a redirect replaced, once each."""
+    return removed.unionByName(replaced).distinct()
+
+
+def lost(before: DataFrame, now: DataFrame, named: dict[str, str]) -> DataFrame:
+    """kind and value: values of the named columns (kind -> column) that were there and are not now."""
+    out = None
+    for kind, column in named.items():
+        was, still = before.select(F.col(column).cast("string").alias("value")).distinct(), now.select(F.col(column).cast("string").alias("value")).distinct()
+        got = was.join(still, "value", "left_anti").select(F.lit(kind).alias("kind"), "value")
+        out = got if out is None else out.unionByName(got)
+    return out

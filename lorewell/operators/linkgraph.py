@@ -76,6 +76,11 @@ def summary(log: DataFrame) -> DataFrame:
     return r.agg(*[F.count_if(c).alias(k) for k, c in n.items()])
 
 
+def outcomes(log: DataFrame) -> DataFrame:
+    """kind, outcome, n and how many of them are broken."""
+    return rows(log).groupBy("kind", "outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_broken()).alias("broken"))
+
+
 def bfs_depth(edges: DataFrame, seeds: DataFrame, depth: int = 8) -> DataFrame:
     """url and its least number of hops from a seed, up to `depth`: one join a level, written between levels."""
     from lorewell.plans.tables import stored

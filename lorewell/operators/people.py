@@ -57,3 +57,11 @@ def mentions(queries: DataFrame, people: DataFrame, query_id: str, text: str) ->
     q = queries.select(F.col(query_id).alias("query_id"), words.alias("w"))
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda n: F.transform(F.filter(F.sequence(F.lit(0), F.size("w")), lambda i: i + n <= F.size("w")), lambda i: F.array_join(F.slice("w", i + 1, n), " "))))
     return q.select("query_id", F.explode(F.array_distinct(runs)).alias("phrase")).join(phrases(people), "phrase").select("query_id", "key").distinct()
+
+
+def visible(persons: DataFrame, shown: DataFrame, key: str = "key", works: str = "works", doc: str = "document_id") -> DataFrame:
+    """persons with only the works whose document is in `shown`; a person without any keeps an empty list."""
+    each = persons.select(key, F.posexplode(works).alias("__pos", "__w"))
+    kept = each.join(shown.select(F.col(doc).alias("__doc")).distinct(), F.col("__w")[doc] == F.col("__doc"), "left_semi")
+    listed = kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__w"))), lambda x: x["__w"]).alias("__own"))
+    return persons.join(listed, key, "left").withColumn(works, F.coalesce("__own", F.slice(works, 1, 0))).drop("__own")

@@ -92,3 +92,10 @@ def listing_changes(state: DataFrame, entries: DataFrame, parent: str = "listing
 def least_recently_used(uses: DataFrame, key: str, at: str, keep: int = 300) -> DataFrame:
     """The `keep` keys used last: what a cache of that size holds."""
     return uses.groupBy(key).agg(F.max(at).alias("last_used")).orderBy(F.desc("last_used"), key).limit(keep)
+
+
+def source_summary(log: DataFrame, by: str = "source", max_failed: float = 0.2) -> DataFrame:
+    """by, urls, failed, failure_ratio and healthy: what a run reports of each of its sources."""
+    out = log.groupBy(by).agg(F.count(F.lit(1)).alias("urls"), F.count_if(F.col("outcome").isin("failed", "error")).alias("failed"))
+    ratio = F.col("failed") / F.col("urls")
+    return out.select(by, "urls", "failed", F.round(ratio, 6).alias("failure_ratio"), (ratio <= max_failed).alias("healthy"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.functions import fields, text
@@ -135,18 +135,30 @@ def quality_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", F.round(text.quality_score("text"), 6).alias("quality"), F.size(text.dropped_lines("text")).alias("dropped_lines"))
 
 
-@query("mojibake_flag_counts", "select lang, count(*) as n, count(*) filter (contains(text, 'Ã©') or contains(text, 'â€™') or contains(text, chr(65533))) as broken from documents group by lang")
+#: Every fifth text as it looks after one wrong decoding of its accents and apostrophes; DuckDB sees the sound text.
+_TIDY = "trim(regexp_replace(regexp_replace(regexp_replace({t}, '[ \\t\u00a0]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) || ' ')"
+
+
+def _broken(c: Column) -> Column:
+    for sound, bad in (("é", "Ã©"), ("ñ", "Ã±"), ("ä", "Ã¤"), ("’", "â€™")):
+        c = F.replace(c, F.lit(sound), F.lit(bad))
+    return c
+
+
+@query("mojibake_flag_counts", "select lang, count(*) as n, count(*) filter (doc_id % 5 = 0 and regexp_matches(text, '[éñä’]')) as broken from documents group by lang")
 def mojibake_counts(spark: SparkSession, sf: str) -> DataFrame:
-    bad = F.contains("text", F.lit("Ã©")) | F.contains("text", F.lit("â€™")) | F.contains("text", F.lit("�"))
-    return _docs(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("broken"))
+    from lorewell.functions import mojibake
+
+    d = _docs(spark, sf).withColumn("text", F.when(F.col("doc_id") % 5 == 0, _broken(F.col("text"))).otherwise(F.col("text")))
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(mojibake.has_mojibake("text")).alias("broken"))
 
 
-@query("mojibake_repair", "select * from (values (1, 'India’s'), (2, 'Alcântara'), (3, 'a – b'), (4, 'café'), (5, '₹43 “x”')) as t(id, fixed)")
+@query("mojibake_repair", f"select doc_id, md5({_TIDY.format(t='text')}) as fixed_md5 from documents where text is not null")
 def mojibake_repair(spark: SparkSession, sf: str) -> DataFrame:
     from lorewell.functions import mojibake
 
-    rows = [(1, "Indiaâ€™s"), (2, "Alcântara"), (3, "a â b"), (4, "cafÃ©"), (5, "â‚¹43 â€œxâ€")]
-    return mojibake.clean_column(spark.createDataFrame(rows, "id int, fixed string"), "fixed", "id")
+    d = _docs(spark, sf).where("text is not null").select("doc_id", F.when(F.col("doc_id") % 5 == 0, _broken(F.col("text"))).otherwise(F.col("text")).alias("text"))
+    return mojibake.clean_column(d, "text", "doc_id").select("doc_id", F.md5(F.col("text").cast("binary")).alias("fixed_md5"))
 
 
 @query("doc_counts_by_source", "select source, count(*) as n from documents group by source")
@@ -286,62 +298,176 @@ def collapse(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.collapse(d, F.struct("source", "k"), "doc_id").select("doc_id", "source")
 
 
-@query("miss_confirmations", "select * from (values ('a', 1, 0, false), ('a', 2, 1, false), ('a', 3, 2, true), ('a', 4, 0, false), ('b', 1, 1, false), ('b', 2, 2, true), ('b', 3, 3, true)) as t(url, run, missing_count, confirmed)")
+#: Runs are the days of January; a user is seen on the days of their events.
+_RUNS = """d as (select distinct user_id, ts::date as day from events), u as (select distinct user_id from events), c as (select distinct ts::date as day from events),
+g as (select u.user_id, c.day, d.day is not null as seen from u cross join c left join d using (user_id, day)),
+m as (select *, coalesce(max(case when seen then rn end) over (partition by user_id order by day), 0) as last_seen from (select *, row_number() over (partition by user_id order by day) as rn from g)),
+k as (select user_id, day, (rn - last_seen)::int as missing_count from m)"""
+
+
+def _misses(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "events").select("user_id", F.to_date("ts").alias("day")).distinct()
+    days = d.select("day").distinct()
+    grid = d.select("user_id").distinct().crossJoin(F.broadcast(days))  # 30 days
+    runs = grid.join(d.withColumn("seen", F.lit(True)), ["user_id", "day"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    return incremental.misses(runs, "user_id", "day", "seen")
+
+
+@query("miss_confirmations", f"with {_RUNS} select user_id, day, missing_count, missing_count >= 2 as confirmed from k")
 def misses(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [("a", 1, True), ("a", 2, False), ("a", 3, False), ("a", 4, True), ("b", 1, False), ("b", 2, False), ("b", 3, False)]
-    return incremental.misses(spark.createDataFrame(rows, "url string, run int, seen boolean"), "url", "run", "seen")
+    return _misses(spark, sf)
 
 
-@query("removal_decisions", "select * from (values ('a', 'removed'), ('b', 'unlinked_but_live'), ('c', 'deferred'), ('d', 'pending')) as t(url, outcome)")
+@query(
+    "removal_decisions",
+    f"""with {_RUNS}, z as (select user_id, missing_count > 1 as confirmed from k where day = (select max(day) from k) and missing_count > 0)
+select user_id, case when not confirmed then 'pending' when user_id % 4 = 0 then 'removed' when user_id % 4 = 1 then 'unlinked_but_live' else 'deferred' end as outcome from z""",
+)
 def removal(spark: SparkSession, sf: str) -> DataFrame:
-    m = spark.createDataFrame([("a", True), ("b", True), ("c", True), ("d", False)], "url string, confirmed boolean")
-    r = spark.createDataFrame([("a", 404), ("b", 200), ("c", 503)], "url string, status int")
-    return incremental.removals(m, r, True, 1, 10)
+    """Users missing on the last day, rechecked with a status that follows from their number."""
+    m = _misses(spark, sf)
+    last = m.where("missing_count > 0").join(F.broadcast(table(spark, sf, "events").agg(F.to_date(F.max("ts")).alias("day"))), "day")
+    k = F.col("user_id") % 4
+    again = last.select("user_id", F.when(k == 0, 404).when(k == 1, 200).when(k == 2, 503).alias("status"))
+    return incremental.removals(last, again, True, 1, 10, "user_id")
 
 
-@query("redirect_replaced", "select 'a' as url, 'd1' as document_id")
+_MOVED = "case when doc_id % 4 = 1 then doc_id + 1 end"
+
+
+@query("redirect_replaced", f"select a.doc_id as url, a.source as document_id from (select *, {_MOVED} as moved from documents) a join documents b on a.moved = b.doc_id where b.lang = 'en' and a.source <> b.source")
 def redirected(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [("a", "d1", "b", False), ("b", "d2", None, True), ("c", "d2", "b", False)]
-    return incremental.redirected(spark.createDataFrame(rows, "url string, document_id string, redirected_to string, seen boolean"))
+    d = _docs(spark, sf).select(F.col("doc_id").alias("url"), F.col("source").alias("document_id"), F.when(F.col("doc_id") % 4 == 1, F.col("doc_id") + 1).alias("redirected_to"), (F.col("lang") == "en").alias("seen"))
+    return incremental.redirected(d)
+
+
+_WHY = "case when lang <> 'es' then 'kept' when doc_id % 4 = 1 then 'redirected → ' || (doc_id + 1) when doc_id % 4 = 2 then 'removed' else 'not crawled' end"
+
+
+def _reconciled(spark: SparkSession, sf: str) -> DataFrame:
+    d, k = _docs(spark, sf), F.col("doc_id") % 4
+    old = d.select(F.col("doc_id").alias("url"), F.when(k == 1, (F.col("doc_id") + 1).cast("string")).alias("redirected_to"), F.when(k == 2, 404).when(k == 3, 200).alias("status"))
+    return incremental.reconcile(old, d.where("lang <> 'es'").select(F.col("doc_id").alias("url")))
 
 
-@query("reconcile_legacy", "select * from (values ('a', 'kept'), ('b', 'redirected → c'), ('d', 'removed'), ('e', 'not crawled')) as t(url, reason)")
+@query("reconcile_legacy", f"select doc_id as url, {_WHY} as reason from documents")
 def reconcile(spark: SparkSession, sf: str) -> DataFrame:
-    old = spark.createDataFrame([("a", None, 200), ("b", "c", 301), ("d", None, 404), ("e", None, None)], "url string, redirected_to string, status int")
-    return incremental.reconcile(old, spark.createDataFrame([("a",)], "url string"))
+    return _reconciled(spark, sf)
+
+
+@query("reconciliation_reasons", f"select trim(split_part({_WHY}, ' →', 1)) as reason, count(*) as n from documents group by 1")
+def reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return incremental.reasons(_reconciled(spark, sf))
+
+
+@query("removed_or_replaced", f"select doc_id from documents where doc_id % 7 = 3 union select a.doc_id from (select *, {_MOVED} as moved from documents) a join documents b on a.moved = b.doc_id where b.lang = 'en' and a.source <> b.source")
+def gone(spark: SparkSession, sf: str) -> DataFrame:
+    removed = _docs(spark, sf).where("doc_id % 7 = 3").select("doc_id")
+    return incremental.to_delete(removed, redirected(spark, sf).select(F.col("url").alias("doc_id")))
+
+
+@query("lost_sources", "select distinct source as value, 'source' as kind from documents where source not in (select source from documents where doc_id % 40 > 3) union all select doc_id::varchar, 'document' from documents where doc_id % 40 <= 3")
+def lost(spark: SparkSession, sf: str) -> DataFrame:
+    d = _docs(spark, sf)
+    return incremental.lost(d, d.where("doc_id % 40 > 3"), {"source": "source", "document": "doc_id"})
+
+
+@query("cache_pruned", "select vec_id as chunk_hash, label from embeddings where vec_id in (select doc_id from documents where lang <> 'fr')")
+def pruned(spark: SparkSession, sf: str) -> DataFrame:
+    cache = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_hash"), "label")
+    return chunking.prune_cache(cache, _docs(spark, sf).where("lang <> 'fr'").select(F.col("doc_id").alias("chunk_hash")))
 
 
 # ------------------------------------------------------------- fields
-@query("date_normalize", "select * from (values (1, '2024-03-05'), (2, '2024-03-05'), (3, '2024-03-05'), (4, '2024-03'), (5, '2024'), (6, ''), (7, '2023-12-31'), (8, '2024-03-05'), (9, '')) as t(id, d)")
+_FORMS = ["%Y-%m-%dT%H:%M:%SZ", "%B %-d, %Y", "%-d %b %Y", "%B %Y", " %Y ", "on %A", "%d/%m/%Y", "%Y/%-m/%-d"]
+_JAVA = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "MMMM d, yyyy", "d MMM yyyy", "MMMM yyyy", "' 'yyyy' '", "'on 'EEEE", "dd/MM/yyyy", "yyyy/M/d"]
+
+
+def _written(ts: Column, form: Column) -> Column:
+    out = None
+    for k, f in enumerate(_JAVA):
+        v = F.date_format(ts, f)
+        out = F.when(form == k, v) if out is None else out.when(form == k, v)
+    return out
+
+
+@query("date_normalize", "select event_id, case event_id % 8 when 3 then strftime(ts, '%Y-%m') when 4 then strftime(ts, '%Y') when 5 then '' else strftime(ts, '%Y-%m-%d') end as d from events")
 def dates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(1, "2024-03-05T10:00:00Z"), (2, "March 5th, 2024"), (3, "5 Mar 2024"), (4, "March 2024"), (5, " 2024 "), (6, "soon"), (7, "31/12/2023"), (8, "2024/03/05"), (9, None)]
-    return spark.createDataFrame(rows, "id int, raw string").select("id", fields.normalize_date("raw").alias("d"))
+    e = table(spark, sf, "events")
+    return e.select("event_id", fields.normalize_date(_written(F.col("ts"), F.col("event_id") % 8)).alias("d"))
+
+
+@query("date_parse_legacy", "select event_id, case event_id % 8 when 3 then strftime(ts, '%Y-%m') when 4 then strftime(ts, '%Y') when 5 then strftime(ts, 'on %A') else strftime(ts, '%Y-%m-%d') end as d from events")
+def legacy_dates(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    return e.select("event_id", fields.parse_date(_written(F.col("ts"), F.col("event_id") % 8)).alias("d"))
+
+
+#: People: a first name for each nation, with its region's name as family name.
+_PEOPLE = "p as (select n_nationkey as k, chr(65 + n_nationkey) || 'ena ' || upper(r_name[1]) || lower(regexp_replace(r_name[2:], ' .*', '')) as name from nation join region on n_regionkey = r_regionkey)"
 
 
-@query("author_split_clean", "select * from (values (1, 'Meera Rao|Li Wei'), (2, 'Arun K. Rao'), (3, ''), (4, 'Jean de Silva|Élodie'), (5, 'Meera Rao')) as t(id, authors)")
+def _people(spark: SparkSession, sf: str) -> DataFrame:
+    j = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.select(F.col("n_nationkey").alias("k"), F.concat(F.char(65 + F.col("n_nationkey")), F.lit("ena "), F.initcap(F.regexp_replace("r_name", " .*", ""))).alias("name"))
+
+
+def _bylines(spark: SparkSession, sf: str) -> DataFrame:
+    """documents with the two people (a, b) that their number names."""
+    p = _people(spark, sf)
+    a, b = p.select(F.col("k").alias("ka"), F.col("name").alias("a")), p.select(F.col("k").alias("kb"), F.col("name").alias("b"))
+    d = _docs(spark, sf).join(F.broadcast(a), F.col("doc_id") % 25 == F.col("ka"))  # 25 nations
+    return d.join(F.broadcast(b), F.col("doc_id") * 7 % 25 == F.col("kb"))
+
+
+_BYLINES = f"{_PEOPLE}, y as (select d.doc_id, d.source, a.name as a, b.name as b from documents d join p a on doc_id % 25 = a.k join p b on doc_id * 7 % 25 = b.k)"
+
+
+@query(
+    "author_split_clean",
+    f"with {_BYLINES} select doc_id, case when doc_id % 4 = 2 then a when a = b then a else a || '|' || case when doc_id % 4 = 3 then upper(b) else b end end as authors from y",
+)
 def authors(spark: SparkSession, sf: str) -> DataFrame:
-    known = F.create_map(F.lit("élodie"), F.lit("Élodie"))
-    rows = [(1, "Meera Rao and Li Wei"), (2, "Arun K. Rao; Executive Summary"), (3, "Staff, 2024 Report"), (4, "Jean de Silva & élodie"), (5, "Transformation\nMeera Rao, Meera Rao")]
-    return spark.createDataFrame(rows, "id int, raw string").select("id", F.array_join(fields.clean_authors("raw", known), "|").alias("authors"))
+    """Bylines in four spellings; in the fourth a known person's canonical name replaces a small one."""
+    k = F.col("doc_id") % 4
+    raw = F.when(k == 0, F.concat_ws(" and ", "a", "b")).when(k == 1, F.concat_ws("; ", "a", F.lit("Executive Summary"), "b")).when(k == 2, F.concat_ws(", ", "a", F.lit("2024 Report"))).otherwise(F.concat_ws(" & ", "a", F.lower("b")))
+    known = F.when((k == 3) & (F.col("a") != F.col("b")), F.create_map(F.lower("b"), F.upper("b"))).when(k == 3, F.create_map(F.lower("b"), F.col("b"))).otherwise(F.create_map(F.lit(""), F.lit("")))
+    return _bylines(spark, sf).select("doc_id", F.array_join(fields.clean_authors(raw, known), "|").alias("authors"))
 
 
-@query("people_graph", "select * from (values ('arun rao', 'Arun Rao', 1, ''), ('meera rao', 'Meera Rao', 2, 'https://x.example/content/team/meera.html')) as t(key, name, work_count, profile_url)")
+@query(
+    "people_graph",
+    f"""with {_BYLINES}, w as (select distinct doc_id // 3 as work, unnest([a, b]) as name from y where doc_id % 5 <> 0), n as (select name, count(*) as n from w group by name), o as (select distinct a as name from y where doc_id % 5 = 0)
+select lower(name) as key, name, coalesce(n, 0)::int as work_count, case when o.name is null then '' else 'https://x.example/content/team/' || replace(lower(name), ' ', '-') end as profile_url from n full join o using (name)""",
+)
 def people_graph(spark: SparkSession, sf: str) -> DataFrame:
     from lorewell.operators import people
 
-    rows = [
-        (1, "p1", "person", "Meera Rao", "https://x.example/content/team/meera.html", [], [], ""),
-        (2, "d1", "blog", "On rivers", "https://x.example/b1", ["Meera Rao", "Arun Rao"], ["https://x.example/content/team/meera.html", "https://x.example/gone"], "2024-01-02"),
-        (3, "d2", "blog", "On roads", "https://x.example/b2", ["Meera Rao"], [], "2024-02-02"),
-        (4, "d3", "blog", "On roads again", "https://x.example/b2", ["Meera Rao"], [], "2024-02-03"),
-    ]
-    d = spark.createDataFrame(rows, "doc_ord int, document_id string, content_type string, title string, url string, authors array<string>, author_urls array<string>, date string").withColumn("publication_date", F.lit("")).withColumn("role", F.lit(""))
+    own = F.col("doc_id") % 5 == 0
+    page = F.concat(F.lit("https://x.example/content/team/"), F.replace(F.lower("a"), F.lit(" "), F.lit("-")))
+    d = _bylines(spark, sf).select(
+        F.col("doc_id").cast("int").alias("doc_ord"), F.col("doc_id").cast("string").alias("document_id"), F.when(own, "person").otherwise("blog").alias("content_type"), F.when(own, F.col("a")).otherwise("A post").alias("title"),
+        F.when(own, page).otherwise(F.concat(F.lit("https://x.example/b"), F.floor(F.col("doc_id") / 3))).alias("url"), F.when(own, F.array().cast("array<string>")).otherwise(F.array("a", "b")).alias("authors"),
+        F.array().cast("array<string>").alias("author_urls"), F.lit("2024-01-01").alias("date"), F.lit("").alias("publication_date"), F.lit("").alias("role"),
+    )
     return people.graph(d).select("key", "name", "work_count", "profile_url")
 
 
-@query("normalize_documents", "select 'd1' as document_id, 'website' as source, 'https://x.example/content/blogs/a' as url, 'op-ed' as content_type, '2024-03-05' as date, 'Meera Rao' as author, 'public' as access, 2 as word_count")
+@query(
+    "normalize_documents",
+    f"""with {_BYLINES} select doc_id::varchar as document_id, 'website' as source, 3 - 1 as source_priority, 'https://x.example/content/blogs/' || doc_id as url, case when doc_id % 2 = 0 then 'op-ed' else 'blog' end as content_type,
+strftime(date '2024-01-01' + (doc_id % 300)::int, '%Y-%m-%d') as date, a as author, case when a = b then 1 else 2 end as n_authors, 'public' as access, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\r\\n]+'), lambda x: x <> ''))::int as word_count,
+substr(sha256(coalesce(text, '')), 1, 24) as content_hash, case when doc_id % 3 = 0 then 'Untitled' else source end as title, 'text/html' as mime_type, false as is_pdf, case when doc_id % 2 = 0 then 'Op-Ed,Trade' else 'Trade' end as categories
+from y join documents using (doc_id, source)""",
+)
 def normalize(spark: SparkSession, sf: str) -> DataFrame:
     from lorewell.plans import ingest
 
-    raw = spark.createDataFrame([("d1", "Website", "https://X.example//content/blogs/a?utm_source=q#top", "Op-Ed; Trade", "two words", "5 March 2024", "Meera Rao, Staff")], "id string, source string, url string, category string, content string, date string, author string")
-    return ingest.normalize_documents(raw).select("document_id", "source", "url", "content_type", "date", "author", "access", "word_count")
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")), "d MMMM yyyy")
+    raw = _bylines(spark, sf).select(
+        F.col("doc_id").cast("string").alias("id"), F.lit("Website").alias("source"), F.concat(F.lit("https://X.example//content/blogs/"), "doc_id", F.lit("?utm_source=q#top")).alias("url"),
+        F.when(F.col("doc_id") % 2 == 0, "Op-Ed; Trade").otherwise("Trade").alias("category"), F.col("text").alias("content"), day.alias("date"), F.concat_ws(", ", "a", "b", F.lit("Staff")).alias("author"),
+        F.when(F.col("doc_id") % 3 == 0, "  ").otherwise(F.col("source")).alias("title"),
+    )
+    out = ingest.normalize_documents(raw)
+    return out.select("document_id", "source", "source_priority", "url", "content_type", "date", "author", F.size("authors").alias("n_authors"), "access", "word_count", "content_hash", "title", "mime_type", "is_pdf", F.array_join("categories", ",").alias("categories"))

@@ -34,11 +34,23 @@ def anchor(spark: SparkSession, sf: str) -> DataFrame:
     return _conv(spark, sf).select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("text")), True).over(w).alias("anchor"))
 
 
-@query("citation_normalize", "select * from (values (1, 'A [Source 1][Source 3].', '1,3'), (2, 'B [Source 1][Source 2]', '1,2'), (3, 'C [Source 2] d [Source 4]', '2,4'), (4, 'E [Source 5]', '5'), (5, 'F [1](u)', ''), (6, 'G [Source 2] [3]', '2')) as t(id, answer, cited)")
+#: Two numbers of each turn, and six ways to cite them.
+_NUMS = "turn % 9 + 1 as a, conv_id % 7 + 1 as b, (conv_id + turn) % 6 as form"
+
+
+@query(
+    "citation_normalize",
+    f"""with n as (select conv_id, turn, {_NUMS} from conversations)
+select conv_id, turn, case form when 0 then format('A [Source {{}}][Source {{}}].', a, b) when 1 then format('B [Source {{}}][Source {{}}]', a, b) when 2 then format('C [Source {{}}] d [Source {{}}]', a, b)
+when 3 then format('E [Source {{}}]', a) when 4 then format('F [{{}}](u)', a) else format('G [Source {{}}] [{{}}]', a, b) end as answer,
+case when form < 3 and a <> b then format('{{}},{{}}', a, b) when form = 4 then '' else a::varchar end as cited from n""",
+)
 def normalize(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(1, "A [Source 1, 3]."), (2, "B [Sources 1 and 2]"), (3, "C [2] d [4]"), (4, "E 【Source 5】"), (5, "F [1](u)"), (6, "G [ source 2 ] [3]")]
-    d = spark.createDataFrame(rows, "id int, raw string").select("id", K.normalize_udf("raw").alias("answer"))
-    return d.select("id", "answer", F.array_join(K.cited("answer").cast("array<string>"), ",").alias("cited"))
+    a, b, form = (F.col("turn") % 9 + 1).cast("string"), (F.col("conv_id") % 7 + 1).cast("string"), (F.col("conv_id") + F.col("turn")) % 6
+    ways = [("A [Source ", a, ", ", b, "]."), ("B [Sources ", a, " and ", b, "]"), ("C [", a, "] d [", b, "]"), ("E 【Source ", a, "】"), ("F [", a, "](u)"), ("G [ source ", a, " ] [", b, "]")]
+    raw = F.element_at(F.array(*[F.concat(*[F.lit(x) if isinstance(x, str) else x for x in w]) for w in ways]), (form + 1).cast("int"))
+    d = _conv(spark, sf).select("conv_id", "turn", K.normalize(raw).alias("answer"))
+    return d.select("conv_id", "turn", "answer", F.array_join(K.cited("answer").cast("array<string>"), ",").alias("cited"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.CLAIM_STOP)
@@ -69,27 +81,37 @@ def inferred(spark: SparkSession, sf: str) -> DataFrame:
     return logs.latest(some, "answer_id", [F.desc("support"), F.col("n")], 3).withColumnRenamed("rn", "rank")
 
 
-_ANSWERS = [
-    (1, "Rivers flooded northern plains badly [Source 2]. Roads collapsed near capital city [Source 1]."),
-    (2, "Completely invented statement about dragons [Source 1]."),
-    (3, "Rivers flooded northern plains."),
-    (4, "Yes [Source 1]."),
-    (5, "Rivers flooded northern plains badly [Source 9]."),
-]
-_SOURCES = [(1, "Roads collapsed near the capital city after rain."), (2, "In June rivers flooded the northern plains badly.")]
+#: Answers: assistant turns as one sentence of letters, citing source `mark`, or a source that is not there, or nothing.
+_PLAIN = "trim(regexp_replace(regexp_replace({t}, '[^A-Za-z ]', ' ', 'g'), ' +', ' ', 'g'))"
+_VERIFY = f"""s as (select conv_id, row_number() over (partition by conv_id order by turn) as n, {_TOK.format(t="text")} as have from conversations where role = 'user'),
+a as (select conv_id * 1000 + turn as answer_id, conv_id, {_PLAIN.format(t="text")} as body, {_TOK.format(t=_PLAIN.format(t="text"))} as claim, turn % 3 as how from conversations where role = 'assistant'),
+c as (select answer_id, n, round(case when len(claim) = 0 then 1.0 else len(list_intersect(claim, have)) / len(claim)::double end, 6) as sup, len(claim) >= 3 as sub, how from a join s using (conv_id)),
+k as (select answer_id, n, sup, sub, (not sub or sup >= 0.25) as keep from c where how = 1 and n = 1),
+i as (select answer_id, list(n order by sup desc, n) as ns from (select *, row_number() over (partition by answer_id order by sup desc, n) as r from c where sup >= 0.25) where r <= 3 group by answer_id),
+u as (select conv_id, list_distinct(flatten(list(have))) as ctx from s group by conv_id),
+v as (select answer_id, body, claim, how, coalesce(sub, false) as sub, coalesce(keep, false) as keep, ns,
+  case when len(claim) = 0 then case when body = '' and how <> 1 and how <> 2 then 0.0 else 1.0 end else len(list_intersect(claim, coalesce(ctx, []))) / len(claim)::double end as over
+  from a left join k using (answer_id) left join i using (answer_id) left join u using (conv_id)),
+w as (select *, over >= 0.18 and not (sub and not keep) and coalesce(len(ns), 0) > 0 as infer from v)"""
 
 
 @query(
     "citation_renumber",
-    """select * from (values (1, 2, 2, 1.0, 'cited', true, '2,1', 'Rivers flooded northern plains badly [Source 1]. Roads collapsed near capital city [Source 2].'),
-(2, 1, 0, 0.0, 'none', false, '', 'Completely invented statement about dragons .'), (3, 0, 0, 0.0, 'inferred', true, '2', 'Rivers flooded northern plains.'), (4, 0, 0, 1.0, 'cited', true, '1', 'Yes [Source 1].'),
-(5, 0, 0, 0.0, 'inferred', true, '2', 'Rivers flooded northern plains badly .')) as t(answer_id, claims_total, claims_supported, grounding_score, attribution, grounded, sources, answer)""",
+    f"""with {_VERIFY} select answer_id, sub::int as claims_total, (sub and keep)::int as claims_supported, case when sub then keep::int::double else keep::int::double end as grounding_score,
+case when keep then 'cited' when infer then 'inferred' else 'none' end as attribution, case when keep then true else infer end as grounded,
+case when keep then '1' when infer then array_to_string(ns, ',') else '' end as sources, body || case when how = 1 and keep then ' [Source 1]' when how > 0 then ' ' else '' end as answer from w""",
 )
 def renumber(spark: SparkSession, sf: str) -> DataFrame:
-    a = spark.createDataFrame(_ANSWERS, "answer_id int, answer string")
-    s = a.select("answer_id").crossJoin(spark.createDataFrame(_SOURCES, "n int, evidence string"))  # 5 x 2 fixture rows
-    v = grounding.verify(a, s)
-    return v.select("answer_id", F.col("claims_total").cast("int"), F.col("claims_supported").cast("int"), F.col("grounding_score").cast("decimal(2,1)").alias("grounding_score"), "attribution", "grounded", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"), "answer")
+    from pyspark.sql import Window
+
+    c = _conv(spark, sf)
+    body = F.trim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z ]", " "), " +", " "))
+    how = F.col("turn") % 3
+    mark = F.when(how == 1, " [1]").when(how == 2, " [Source 99]").otherwise("")
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.concat(body, mark).alias("answer"))
+    s = c.where("role = 'user'").select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("n"), F.col("text").alias("evidence"))
+    v = grounding.verify(a.drop("conv_id"), a.select("answer_id", "conv_id").join(s, "conv_id").drop("conv_id"))
+    return v.select("answer_id", F.col("claims_total").cast("int"), F.col("claims_supported").cast("int"), F.col("grounding_score").cast("double"), "attribution", "grounded", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"), "answer")
 
 
 @query(
@@ -107,21 +129,132 @@ def merge_docs(spark: SparkSession, sf: str) -> DataFrame:
     return grounding.merge_by_document(_conv(spark, sf).select(F.col("conv_id").alias("answer_id"), F.col("role").alias("document_id"), F.col("turn").alias("rank"), "text"))
 
 
-@query("filter_evidence", "select * from (values (1, 1), (1, 3), (2, 1), (2, 2)) as t(answer_id, n)")
+@query(
+    "filter_evidence",
+    """with h as (select user_id as answer_id, event_id as n, value > 0 and value < 0.35 or event_type = 'click' as weak from (select user_id, event_id, event_type, round(value / 100, 6) as value from events))
+select answer_id, n from (select *, max((not weak)::int) over (partition by answer_id) as strong from h) where not weak or strong = 0""",
+)
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(1, 1, 0.5, False), (1, 2, 0.2, False), (1, 3, 0.0, False), (1, 4, 0.9, True), (2, 1, 0.1, False), (2, 2, 0.9, True)]
-    return grounding.filter_evidence(spark.createDataFrame(rows, "answer_id int, n int, score double, low_value boolean")).select("answer_id", "n")
+    e = table(spark, sf, "events").select(F.col("user_id").alias("answer_id"), F.col("event_id").alias("n"), F.round(F.col("value") / 100, 6).alias("score"), (F.col("event_type") == "click").alias("low_value"))
+    return grounding.filter_evidence(e).select("answer_id", "n")
+
 
+_ONE = "trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))"
 
-@query("citation_records", "select * from (values (1, 1, 'Short text about rivers.'), (1, 2, '…Roads collapsed near the capital.')) as t(answer_id, n, excerpt)")
+
+@query(
+    "citation_records",
+    f"""with d as (select doc_id, {_ONE} as t, list_distinct(regexp_extract_all(lower({_ONE}[-60:]), '([a-z0-9]+)', 1)) as wanted from documents where text is not null),
+p as (select *, string_split(regexp_replace(t, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)) as parts from d),
+k as (select *, list_transform(parts, lambda p: len(list_intersect(list_distinct(regexp_extract_all(lower(p), '([a-z0-9]+)', 1)), wanted))) as score from p),
+b as (select *, list_position(score, list_max(score)) as b0 from k),
+m as (select *, len(list_filter(range(1, len(parts) - b0 + 1), lambda j: length(array_to_string(parts[b0:(b0 + j - 1)], ' ')) + length(parts[b0 + j]) <= 300)) as more from b),
+w as (select *, array_to_string(parts[b0:(b0 + more)], ' ') as win from m)
+select doc_id as answer_id, 1 as n, case when length(t) <= 300 then t when len(wanted) = 0 then regexp_replace(t[1:300], ' [^ ]*$', '') || '…'
+else case when b0 > 1 then '…' else '' end || case when length(win) > 300 then regexp_replace(win[1:300], ' [^ ]*$', '') || '…' else win end end as excerpt from w""",
+)
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    long = "Filler sentence number one goes here. " * 9 + "Roads collapsed near the capital."
-    s = spark.createDataFrame([(1, 1, "Short text  about rivers."), (1, 2, long)], "answer_id int, n int, text string")
-    a = spark.createDataFrame([(1, "Rivers rose [Source 1]. Roads collapsed [Source 2].")], "answer_id int, answer string")
-    return grounding.citation_records(s, a).select("answer_id", "n", "excerpt")
+    """Every document as the source of an answer that repeats its last words."""
+    d = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("answer_id"), F.lit(1).alias("n"), "text")
+    tail = F.regexp_replace(F.regexp_replace(F.substring(text.one_line("text"), -60, 60), r"[.!?\n\[\]]", " "), "$", " [Source 1].")
+    return grounding.citation_records(d, d.select("answer_id", tail.alias("answer"))).select("answer_id", "n", "excerpt")
 
 
-@query("answer_linkify", "select 'See [[1]](https://x.example/a) and [Source 2].' as answer, 'a|b' as bullets")
+@query(
+    "answer_linkify",
+    """select page_id, format('See {} and {}.', case when n = 1 then format('[[1]]({})', url) else '[Source 2]' end, case when n = 1 then '[Source 2]' else format('[[1]]({})', url) end) as answer,
+format('{}|{}', regexp_extract(url, '^[^?]*'), n) as bullets from (select page_id, url, page_id % 2 + 1 as n from pages)""",
+)
 def linkify(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.createDataFrame([("See [Source 1] and [Source 2].", ["https://x.example/a", ""], "text\n- a\n* b\n")], "answer string, urls array<string>, md string")
-    return d.select(K.linkify_udf("answer", "urls").alias("answer"), F.array_join(K.bullets("md"), "|").alias("bullets"))
+    n = (F.col("page_id") % 2 + 1).cast("string")
+    answer = F.concat(F.lit("See [Source "), n, F.lit("] and [Source "), (2 - F.col("page_id") % 2).cast("string"), F.lit("]."))
+    md = F.concat(F.lit("text\n- "), F.regexp_extract("url", "^[^?]*", 0), F.lit("\n* "), n, F.lit("\n"))
+    return table(spark, sf, "pages").select("page_id", K.linkify(answer, F.array("url", F.lit(""))).alias("answer"), F.array_join(K.bullets(md), "|").alias("bullets"))
+
+
+#: The documents of a conversation: those whose number leaves the same remainder, as ranked sources of its first answer.
+_HITS = "h as (select c.conv_id as answer_id, d.doc_id, row_number() over (partition by c.conv_id order by d.doc_id) as n, d.source, d.lang, d.text, (d.doc_id % 100) / 100.0::double as score from (select distinct conv_id from conversations) c join documents d on d.doc_id % 97 = c.conv_id % 97 and d.doc_id < 388)"
+
+
+def _hits(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    c = _conv(spark, sf).select(F.col("conv_id").alias("answer_id")).distinct()
+    d = table(spark, sf, "documents").where("doc_id < 388").withColumn("k", F.col("doc_id") % 97)  # four at most for each conversation
+    j = c.withColumn("k", F.col("answer_id") % 97).join(d, "k")
+    n = F.row_number().over(Window.partitionBy("answer_id").orderBy("doc_id"))
+    return j.select("answer_id", "doc_id", n.alias("n"), "source", "lang", "text", (F.col("doc_id") % 100 / 100).alias("score"))
+
+
+@query(
+    "context_headers",
+    f"""with {_HITS} select answer_id, n, md5('[Source ' || n || '] | ' || upper(source) || ' | Author: ' || lang || ', ' || source || case when doc_id % 2 = 0 then ' | Date: 2024-01-0' || (doc_id % 9 + 1) else '' end || ' | Type: blog | URL: https://x.example/' || doc_id || chr(10) || trim(coalesce(text, ''), ' ')) as block_md5 from h""",
+)
+def headers(spark: SparkSession, sf: str) -> DataFrame:
+    h = _hits(spark, sf)
+    date = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("2024-01-0"), F.col("doc_id") % 9 + 1)).otherwise("")
+    s = h.select("answer_id", "n", "text", F.upper("source").alias("title"), F.array("lang", "source").alias("authors"), date.alias("date"), F.lit("blog").alias("content_type"), F.concat(F.lit("https://x.example/"), "doc_id").alias("url"))
+    return grounding.context_blocks(s).select("answer_id", "n", F.md5(F.col("block").cast("binary")).alias("block_md5"))
+
+
+@query(
+    "source_evidence",
+    f"""with {_HITS} select answer_id, n, md5(concat_ws(' ', upper(source), nullif(trim(coalesce(text, ''), ' '), ''), lang || ' ' || source, 'blog')) as evidence_md5 from h""",
+)
+def evidence_texts(spark: SparkSession, sf: str) -> DataFrame:
+    s = _hits(spark, sf).select("answer_id", "n", "text", F.upper("source").alias("title"), F.array("lang", "source").alias("authors"), F.lit(" ").alias("date"), F.lit("blog").alias("content_type"))
+    return s.select("answer_id", "n", F.md5(grounding.evidence_text(s.columns, dict(s.dtypes)).cast("binary")).alias("evidence_md5"))
+
+
+@query(
+    "citations_full",
+    f"""with {_HITS} select answer_id, n::int as n, doc_id::varchar as document_id, '' as chunk_id, case when doc_id % 3 = 0 then 'Untitled' else upper(source) end as title, 'https://x.example/' || doc_id as url, '' as pdf_url, source, 'op-ed' as content_type, 'Op-ed' as type_label,
+lang || ', ' || source as authors, '2024-02-03' as date, '' as section, null::int as page_number, 'public' as access, round(score, 4) as score,
+case when length({_ONE}) <= 300 then {_ONE} else regexp_replace(({_ONE})[1:300], ' [^ ]*$', '') || '…' end as excerpt from h""",
+)
+def citations_full(spark: SparkSession, sf: str) -> DataFrame:
+    """All fields; the answers cite nothing, so excerpts are openings (`citation_records` tests the others)."""
+    h = _hits(spark, sf)
+    s = h.select("answer_id", F.col("n").alias("rank"), F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 3 != 0, F.upper("source")).alias("title"), F.concat(F.lit("https://x.example/"), "doc_id").alias("url"), "source", F.lit("op-ed").alias("content_type"), F.array("lang", "source").alias("authors"), F.lit("2024-02-03").alias("date"), "score", "text")
+    return grounding.citations(s, h.select("answer_id", F.lit("Nothing is cited here.").alias("answer")).distinct())
+
+
+_MARKED = "k as (select distinct answer_id, unnest([answer_id % 5 + 1, answer_id % 3 + 1]) as n from h)"
+
+
+@query(
+    "marker_check",
+    f"""with {_HITS}, {_MARKED}, m as (select answer_id, list(n order by n) as missing from k where (answer_id, n) not in (select (answer_id, n) from h) group by 1), u as (select answer_id, list(n order by n) as unused from h where (answer_id, n) not in (select (answer_id, n) from k) group by 1)
+select answer_id, array_to_string(coalesce(missing, []), ',') as missing, array_to_string(coalesce(unused, []), ',') as unused from (select distinct answer_id from h) left join m using (answer_id) left join u using (answer_id)""",
+)
+def marker_check(spark: SparkSession, sf: str) -> DataFrame:
+    h, k = _hits(spark, sf), F.col("answer_id")
+    a = h.select("answer_id").distinct().withColumn("answer", F.concat(F.lit("A [Source "), k % 5 + 1, F.lit("] and [Source "), k % 3 + 1, F.lit("].")))
+    got = grounding.marker_check(a, h)
+    return got.select("answer_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("missing", "unused")])
+
+
+@query(
+    "confidence_of_cited",
+    f"""with {_HITS}, {_MARKED}, b as (select k.answer_id, max(score) as best from k left join h using (answer_id, n) group by 1)
+select answer_id, best, case when best >= 0.62 then 'high' when best >= 0.48 then 'medium' when best >= 0.35 then 'low' else 'none' end as confidence from b""",
+)
+def cited_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    h, k = _hits(spark, sf), F.col("answer_id")
+    a = h.select("answer_id").distinct().withColumn("answer", F.concat(F.lit("A [Source "), k % 5 + 1, F.lit("] and [Source "), k % 3 + 1, F.lit("].")))
+    return grounding.cited_confidence(a, h.select("answer_id", "n", "score"))
+
+
+@query(
+    "document_opening",
+    "select conv_id as document_id, md5(substr(string_agg(text, chr(10) || chr(10) order by turn), 1, 1500)) as text_md5 from (select *, row_number() over (partition by conv_id order by turn) as r from conversations) where r <= 3 group by conv_id",
+)
+def document_opening(spark: SparkSession, sf: str) -> DataFrame:
+    c = _conv(spark, sf).select(F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), "text")
+    return grounding.opening(c).select("document_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("document_keys", f"with {_HITS} select answer_id, n, case when doc_id % 2 = 0 then 'id:' || doc_id else 't:' || lower(source) || '|https://x.example/' || lang end as key from h")
+def document_keys(spark: SparkSession, sf: str) -> DataFrame:
+    h = _hits(spark, sf).withColumn("document_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string"))).withColumn("title", F.upper("source")).withColumn("url", F.concat(F.lit("HTTPS://x.example/"), "lang"))
+    return h.select("answer_id", "n", grounding.document_key().alias("key"))

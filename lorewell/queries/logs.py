@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.functions import text
 from lorewell.operators import analytics, logs
+from lorewell.plans.tables import shared_dir
 from lorewell.queries.registry import query
+from lorewell.sources import sinks
 from lorewell.sources.readers import table
 from lorewell.streaming import streams
 
@@ -56,20 +60,61 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return logs.page(_ev(spark, sf).select("event_id", "ts"), [F.desc("ts"), F.col("event_id")], 2).select("event_id", "rn")
 
 
-@query("release_retention", "select * from (values ('r1', 4), ('f1', 3)) as t(version, rn)")
+@query(
+    "release_retention",
+    """with r as (select strftime(ts, '%Y%m%d') as version, bool_or(event_type = 'purchase' and value > 95) as bad from events group by 1),
+k as (select *, row_number() over (partition by bad order by version desc) as rn from r) select version, case when bad then 'failed' else 'good' end as status, rn::int as rn from k where rn > case when bad then 2 else 3 end""",
+)
 def retention(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [("r1", "good"), ("r2", "good"), ("r3", "good"), ("r4", "good"), ("f1", "failed"), ("f2", "failed"), ("f3", "failed")]
-    d = spark.createDataFrame(rows, "version string, status string")
-    return logs.stale(d, [F.desc("version")], 3).unionByName(logs.stale(d.where("status = 'failed'"), [F.desc("version")], 2)).select("version", "rn").distinct()
+    """Each day a release: those beyond the newest three good and two failed ones."""
+    bad = F.bool_or((F.col("event_type") == "purchase") & (F.col("value") > 95))
+    d = _ev(spark, sf).groupBy(F.date_format("ts", "yyyyMMdd").alias("version")).agg(F.when(bad, "failed").otherwise("good").alias("status"))
+    good, failed = d.where("status = 'good'"), d.where("status = 'failed'")
+    return logs.stale(good, [F.desc("version")], 3).unionByName(logs.stale(failed, [F.desc("version")], 2)).select("version", "status", "rn")
 
 
-@query("schedule_due", "select * from (values (1, true), (2, false), (3, false), (4, true)) as t(id, due)")
+_LOCAL = "(ts + interval 330 minute)"
+
+
+@query("schedule_due", f"select event_id, strftime({_LOCAL}, '%H:%M') >= '02:00' and (event_id % 5 = 0 or {_LOCAL}::date > (ts::date - (event_id % 3)::int + 1)) as due from events")
 def due(spark: SparkSession, sf: str) -> DataFrame:
     from lorewell.functions.fields import local_due
 
-    rows = [(1, "2024-03-05 22:00:00", "2024-03-05"), (2, "2024-03-04 10:00:00", "2024-03-04"), (3, "2024-03-05 22:00:00", "2024-03-06"), (4, "2024-03-05 21:00:00", None)]
-    d = spark.createDataFrame(rows, "id int, now string, last string")
-    return d.select("id", local_due(F.col("now").cast("timestamp_ntz"), "Asia/Kolkata", "02:00", F.col("last").cast("date")).alias("due"))
+    last = F.when(F.col("event_id") % 5 != 0, F.date_add(F.to_date("ts"), (1 - F.col("event_id") % 3).cast("int")))
+    return _ev(spark, sf).select("event_id", local_due(F.col("ts").cast("timestamp_ntz"), "Asia/Kolkata", "02:00", last).alias("due"))
+
+
+@query(
+    "schedule_next",
+    f"select event_id, (case when strftime({_LOCAL}, '%H:%M') < '02:00' then {_LOCAL}::date else {_LOCAL}::date + 1 end + interval 2 hour - interval 330 minute)::timestamp as next_run from events",
+)
+def next_run(spark: SparkSession, sf: str) -> DataFrame:
+    from lorewell.functions.fields import next_local
+
+    return _ev(spark, sf).select("event_id", next_local(F.col("ts").cast("timestamp_ntz"), "Asia/Kolkata", "02:00").alias("next_run"))
+
+
+@query(
+    "feedback_log",
+    """select conv_id, turn, case when length(trim(text)) > 500 then substr(trim(text), 1, 500) else trim(text) end as question, case when turn % 2 = 0 then 'up' else 'down' end as vote from conversations where role = 'user' and trim(text) <> ''""",
+)
+def feedback(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations").where("role = 'user'")
+    votes = c.select("conv_id", "turn", F.col("text").alias("question"), F.when(F.col("turn") % 2 == 0, "up").otherwise("down").alias("vote"))
+    path = f"{shared_dir(spark)}/feedback-{uuid.uuid4().hex}"
+    sinks.append_feedback(votes, path)
+    return spark.read.schema("conv_id long, turn long, question string, vote string").json(path)
+
+
+@query(
+    "session_quality",
+    """with s as (select user_id, round(avg(value), 6) as mean_value, count(*) filter (value >= 35) as grounded, count(*) filter (value < 35) as no_evidence from events group by user_id)
+select s.*, coalesce(high, 0) as high, coalesce(medium, 0) as medium, coalesce(low, 0) as low, coalesce(none, 0) as none from s left join (select user_id, count(*) filter (value >= 62) as high, count(*) filter (value >= 48 and value < 62) as medium,
+count(*) filter (value >= 35 and value < 48) as low, count(*) filter (value < 35) as none from events group by user_id) using (user_id)""",
+)
+def session_quality(spark: SparkSession, sf: str) -> DataFrame:
+    e = _ev(spark, sf).withColumn("score", F.col("value") / 100)
+    return analytics.session_quality(e, "user_id", "value", "score")
 
 
 # ------------------------------------------------------------- streams: the final state equals the batch result
@@ -79,10 +124,21 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return streams.dedup(d, "content_hash")
 
 
-@query("stream_change_detect", "select doc_id::varchar as doc_id, 'new' as change from documents")
+@query(
+    "stream_change_detect",
+    """select doc_id::varchar as doc_id, 'new' as change from documents union all select doc_id::varchar, 'modified' from documents where lang = 'fr' and text is not null""",
+)
 def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
-    d = streams.read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), text.content_hash("text").alias("content_hash"))
-    return streams.detect_changes(d, "doc_id", "content_hash").log().select("doc_id", "change")
+    """Two batches: all but the Spanish documents, then all of them, the French ones with another text."""
+    d = table(spark, sf, "documents")
+    path = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    first = d.where("lang <> 'es'").select(F.col("doc_id").cast("string").alias("doc_id"), text.content_hash("text").alias("content_hash"))
+    first.coalesce(1).write.mode("append").parquet(path)
+    detector = streams.detect_changes(spark.readStream.schema(first.schema).parquet(path), "doc_id", "content_hash")
+    now = F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    d.select(F.col("doc_id").cast("string").alias("doc_id"), text.content_hash(now).alias("content_hash")).coalesce(1).write.mode("append").parquet(path)
+    detector.run(spark.readStream.schema(first.schema).parquet(path))
+    return detector.log().select("doc_id", "change")
 
 
 @query("stream_rate_limit", "select user_id, sum(n)::bigint as requests, sum(greatest(n - 1, 0))::bigint as refused from (select user_id, floor(epoch(ts) / 60) as slot, count(*) as n from events group by all) group by user_id")
@@ -90,6 +146,19 @@ def stream_rate(spark: SparkSession, sf: str) -> DataFrame:
     return streams.limited(streams.read(spark, sf, "events"), "user_id", "ts", 1)
 
 
+@query(
+    "stream_sliding_limit",
+    """with recursive e as (select event_id, user_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as k from events),
+a(user_id, k, event_id, allowed, held) as (select user_id, k, event_id, true, [t] from e where k = 1
+ union all select e.user_id, e.k, e.event_id, len(list_filter(held, lambda x: x > t - 3600000000)) < 2, case when len(list_filter(held, lambda x: x > t - 3600000000)) < 2 then list_append(list_filter(held, lambda x: x > t - 3600000000), t) else list_filter(held, lambda x: x > t - 3600000000) end
+ from a join e on e.user_id = a.user_id and e.k = a.k + 1)
+select event_id, user_id, allowed from a""",
+)
+def stream_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    """Two requests an hour for each user, in a window that slides."""
+    return streams.sliding_limit(streams.read(spark, sf, "events"), "user_id", "event_id", "ts", 2, 3600)
+
+
 @query("stream_windowed_counts", "select date_trunc('hour', ts) as window_start, event_type, count(*) as n from events group by all")
 def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     return streams.windowed_counts(streams.read(spark, sf, "events"), "ts", "event_type")

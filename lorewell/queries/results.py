@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.operators import presentation
+from lorewell.functions import fields
+from lorewell.operators import analytics, bm25, people, presentation
+from lorewell.plans.tables import shared_dir
 from lorewell.queries.registry import query
+from lorewell.queries.retrieval import STOP
+from lorewell.sources import readers, sinks
 from lorewell.sources.readers import table
 
 #: All turns of a conversation as its sources, assistant turns as its answers, each citing two of them or none.
@@ -120,3 +126,87 @@ def listing(spark: SparkSession, sf: str) -> DataFrame:
 @query("lru_answers", "select user_id, max(ts) as last_used from events group by user_id order by last_used desc, user_id limit 300")
 def lru(spark: SparkSession, sf: str) -> DataFrame:
     return presentation.least_recently_used(table(spark, sf, "events"), "user_id", "ts")
+
+
+_FRAME = "doc_id::varchar as document_id, upper(source) as title, source, lang || ', ' || source as authors, lang as category, source as tags, '20' || (10 + doc_id % 15) || '-01-02' as date, '20' || (10 + doc_id % 15) as year, 'blog' as content_type, 'https://x.example/' || doc_id as url, length(coalesce(text, ''))::int as chars, substr(coalesce(text, ''), 1, 300) as preview"
+
+
+def _frame(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("document_id"), F.upper("source").alias("title"), "source", F.array("lang", "source").alias("authors"), F.col("lang").alias("category"), F.array("source").alias("tags"), F.concat(F.lit("20"), 10 + F.col("doc_id") % 15, F.lit("-01-02")).alias("date"), F.lit("blog").alias("content_type"), F.concat(F.lit("https://x.example/"), "doc_id").alias("url"), "text")
+
+
+@query("explorer_frame", f"select {_FRAME} from documents")
+def explorer_frame(spark: SparkSession, sf: str) -> DataFrame:
+    return analytics.explorer_frame(_frame(spark, sf))
+
+
+@query("explorer_all_filters", "select doc_id::varchar as document_id from documents where lang = 'en' and contains(source, 'rc1') and doc_id % 15 in (3, 4, 5, 6, 7, 8) and regexp_matches(text, '(?i)th[aeiou]') and '20' || (10 + doc_id % 15) = '2015'")
+def explorer_all(spark: SparkSession, sf: str) -> DataFrame:
+    d = _frame(spark, sf).withColumn("year", F.substring("date", 1, 4))
+    return analytics.explorer(d, q="th[aeiou]", category="en", author="RC1", tag="rc1", year="2015", content_type="blog").select("document_id")
+
+
+@query("valid_people", "select name, count(*) as n from (select case doc_id % 6 when 0 then 'Anna ' || source when 1 then lang when 2 then source || ' 2024' when 3 then 'Li Wei' when 4 then 'Meera' else upper(lang) || ' Blog' end as name from documents) where not regexp_matches(name, '[0-9]') and contains(name, ' ') and lower(name) not in (select lower(lang) || ' blog' from documents where doc_id % 2 = 0) group by name")
+def valid_people(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("doc_id") % 6
+    name = F.when(k == 0, F.concat(F.lit("Anna "), "source")).when(k == 1, F.col("lang")).when(k == 2, F.concat("source", F.lit(" 2024"))).when(k == 3, "Li Wei").when(k == 4, "Meera").otherwise(F.concat(F.upper("lang"), F.lit(" Blog")))
+    d = table(spark, sf, "documents").select(F.array(name).alias("authors"), F.lit("x").alias("category"), F.lit("").alias("content_type"), F.when(F.col("doc_id") % 2 == 0, F.array(F.concat("lang", F.lit(" blog")))).alias("tags"))
+    return analytics.valid_people(d)
+
+
+@query("unique_values", "select distinct trim(source) as source from documents where source is not null and lower(source) not in ('src3', '') order by source")
+def unique_values(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select(F.when(F.col("source") == "src3", " Unknown ").otherwise(F.concat("source", F.lit(" "))).alias("source"))
+    return analytics.unique_sorted(d, "source")
+
+
+@query("run_totals", "select count(*) filter (event_type = 'click') as new, count(*) filter (event_type = 'view') as changed, coalesce(sum(value::int) filter (user_id % 2 = 0), 0)::bigint as chunks from events")
+def run_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters of each user's events, added up over the users."""
+    e = table(spark, sf, "events")
+    per = e.groupBy("user_id").agg(F.nullif(F.count_if(F.col("event_type") == "click"), F.lit(0)).alias("new"), F.count_if(F.col("event_type") == "view").alias("changed"), F.sum(F.when(F.col("user_id") % 2 == 0, F.rint("value").cast("long"))).alias("chunks"))
+    return analytics.totals(per, ["new", "changed", "chunks"])
+
+
+@query("run_summary", "select event_type as source, count(*) as urls, count(*) filter (value < 20) as failed, round(count(*) filter (value < 20) / count(*)::double, 6) as failure_ratio, count(*) filter (value < 20) / count(*)::double <= 0.2 as healthy from events group by event_type")
+def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select(F.col("event_type").alias("source"), F.when(F.col("value") < 20, "failed").otherwise("new").alias("outcome"))
+    return presentation.source_summary(e)
+
+
+@query("index_summary", "select source, lang as content_type, count(*) as chunks, count(distinct n_chars) as documents from documents group by rollup (source, lang)")
+def index_summary(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("source", F.col("lang").alias("content_type"), F.col("n_chars").alias("document_id"))
+    return analytics.index_stats(d)
+
+
+@query("sources_by_priority", "select source, count(*) as n, case when source in ('src1', 'src2') then 3 else 1 end as priority, row_number() over (order by case when source in ('src1', 'src2') then 3 else 1 end desc, source)::int as place from documents group by source")
+def by_priority(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return analytics.by_priority(d, F.when(F.col("source").isin("src1", "src2"), 3).otherwise(1))
+
+
+@query("display_names", "select source, case when source = 'src1' then 'First' else upper(source[1]) || source[2:] || ' Desk' end as name from (select distinct source from documents where source is not null)")
+def display_names(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").where("source is not null").select("source").distinct()
+    key = F.when(F.col("source") == "src1", "src1").otherwise(F.concat("source", F.lit("_desk")))
+    return d.select("source", fields.display_name(key, {"src1": "First"}).alias("name"))
+
+
+@query("visible_works", "select doc_id, n_works::int as n_works from (select d.doc_id, count(l.doc_id) as n_works from documents d left join labels l on l.doc_id between d.doc_id and d.doc_id + 3 and l.toxic = 0 where d.doc_id % 4 = 0 group by d.doc_id)")
+def visible_works(spark: SparkSession, sf: str) -> DataFrame:
+    """A document and the next three as the works of a person; only labelled clean ones may be shown."""
+    d = table(spark, sf, "documents").where("doc_id % 4 = 0").select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct((F.col("doc_id") + i).alias("document_id"))).alias("works"))
+    shown = table(spark, sf, "labels").where("toxic = 0").select(F.col("doc_id").alias("document_id"))
+    return people.visible(d, shown, "doc_id").select("doc_id", F.size("works").alias("n_works"))
+
+
+@query("state_round_trip", "select count(*) as n, (select count(*) from (select distinct doc_id, unnest(case when len(k) = 0 then ['_'] else k end) as term from (select doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9À-ɏऀ-ॿ]+)', 1), lambda t: not list_contains([" + STOP + "], t)) as k from documents join embeddings on doc_id = vec_id))) as postings from documents join embeddings on doc_id = vec_id")
+def state(spark: SparkSession, sf: str) -> DataFrame:
+    """Index, chunks and vectors written, and opened again with their sizes compared."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    path = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    sinks.write_state(bm25.build(d, "doc_id", "text"), d.select(F.col("doc_id").alias("id"), "text"), d.select(F.col("doc_id").alias("id"), "embedding"), path)
+    index, chunks, _ = readers.open_state(spark, path)
+    return chunks.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(index.postings.agg(F.count(F.lit(1)).alias("postings"))))  # one row each

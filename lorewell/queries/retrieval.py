@@ -10,7 +10,8 @@ from lorewell.operators import bm25, hybrid, vector
 from lorewell.queries.registry import query
 from lorewell.sources.readers import table
 
-WORDS = "the ofan heation thereri onandst"
+#: The question of the single-query checks: the first benchmark item, whose words the corpus has at every scale.
+ASKED = "(select text from benchmark order by item_id limit 1)"
 STOP = ", ".join(f"'{w}'" for w in text.BM25_STOP)
 #: Tokens of an SQL text expression.
 TOK = "list_filter(regexp_extract_all(lower({t}), '([a-z0-9À-ɏऀ-ॿ]+)', 1), lambda t: not list_contains([" + STOP + "], t))"
@@ -19,8 +20,10 @@ tok as (select doc_id as id, case when len(k) = 0 then ['_'] else k end as k fro
 dl as (select id, len(k) as dl from tok),
 post as (select id, term, count(*) as tf from (select id, unnest(k) as term from tok) group by all),
 st as (select count(*) as n, avg(dl) as avgdl from dl),
-raw as (select term, count(*) as df, ln((select n from st) - count(*) + 0.5) - ln(count(*) + 0.5) as raw from post group by term),
-idf as (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw)"""
+fr as (select term, count(*) as df from post group by term),
+raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from fr cross join st),
+low as (select 0.25 * avg(raw) as f from raw),
+idf as (select term, df, case when raw < 0 then f else raw end as idf from raw cross join low)"""
 _SCORE = """
 sc as (select query_id, post.id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score
   from qt join idf using (term) join post using (term) join dl using (id) cross join st group by query_id, post.id having round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) > 0)"""
@@ -30,17 +33,24 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
+def _index(spark: SparkSession, sf: str) -> bm25.Index:
+    return bm25.shared(_docs(spark, sf), "doc_id", "text")
+
+
 def _one(spark: SparkSession, q: str) -> DataFrame:
     return bm25.query_terms(spark.createDataFrame([(0, q)], "qid int, q string"), "qid", "q")
 
 
-_QT = f"qt as (select 0 as query_id, term, count(*) as qf from (select unnest({TOK.format(t=repr(WORDS))}) as term) group by term)"
+def asked(spark: SparkSession, sf: str) -> str:
+    return table(spark, sf, "benchmark").orderBy("item_id").select("text").first()[0]
+
+
+_QT = f"qt as (select 0 as query_id, term, count(*) as qf from (select unnest({TOK.format(t=ASKED)}) as term) group by term)"
 
 
 @query("bm25_topk", f"with {_INDEX}, {_QT}, {_SCORE} select id as doc_id, score from sc order by score desc, id limit 10")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    idx = bm25.build(_docs(spark, sf), "doc_id", "text")
-    return bm25.score(idx, _one(spark, WORDS)).orderBy(F.desc("score"), "id").limit(10).select(F.col("id").alias("doc_id"), "score")
+    return bm25.score(_index(spark, sf), _one(spark, asked(spark, sf))).orderBy(F.desc("score"), "id").limit(10).select(F.col("id").alias("doc_id"), "score")
 
 
 @query(
@@ -50,19 +60,19 @@ r as (select *, row_number() over (partition by query_id order by score desc, id
 select query_id, id as doc_id, score, rank::int as rank from r where rank <= 5""",
 )
 def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
-    idx = bm25.build(_docs(spark, sf), "doc_id", "text")
-    got = bm25.score(idx, bm25.query_terms(table(spark, sf, "benchmark"), "item_id", "text"))
+    got = bm25.score(_index(spark, sf), bm25.query_terms(table(spark, sf, "benchmark"), "item_id", "text"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return got.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", F.col("id").alias("doc_id"), "score", "rank")
 
 
 @query("bm25_term_idf", f"with {_INDEX} select term, df, round(idf, 6) as idf from idf")
 def bm25_idf(spark: SparkSession, sf: str) -> DataFrame:
-    return bm25.build(_docs(spark, sf), "doc_id", "text").idf.withColumn("idf", F.round("idf", 6))
+    return _index(spark, sf).idf.withColumn("idf", F.round("idf", 6))
 
 
 @query("bm25_postings_stats", f"with {_INDEX} select (select n from st) as n_docs, round((select avgdl from st), 6) as avgdl, (select count(*) from post) as n_postings, (select count(*) from idf) as n_terms")
 def bm25_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Always builds the index anew: its time is the index's."""
     idx = bm25.build(_docs(spark, sf), "doc_id", "text")
     p = idx.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).agg(F.sum("df").alias("n_postings"), F.count(F.lit(1)).alias("n_terms"))
     return idx.stats.crossJoin(p).select(F.col("n").alias("n_docs"), F.round("avgdl", 6).alias("avgdl"), "n_postings", "n_terms")
@@ -168,7 +178,7 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
 def _lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     _, q = _vec(spark, sf)
     cos = vector.score(_chunks(spark, sf), q).withColumnRenamed("score", "cosine")
-    lex = bm25.score(bm25.build(_docs(spark, sf), "doc_id", "text"), _one(spark, WORDS)).select("id", F.col("score").alias("lex"))
+    lex = bm25.score(_index(spark, sf), _one(spark, asked(spark, sf))).select("id", F.col("score").alias("lex"))
     lists = [hybrid.ranked(cos, 180, "cosine"), hybrid.ranked(cos.join(lex, "id"), 15, "lex")]
     return hybrid.fuse(lists), cos
 
@@ -178,24 +188,30 @@ def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
     return _lists(spark, sf)[0].select("id", F.round("rrf", 9).alias("rrf"))
 
 
-_ASK = f"{WORDS} reports"  # "reports" means the types publication and pdf; it is no token of the corpus
+MEANT = " reports"  # means the types publication and pdf; it is no token of the corpus
 
 
 @query("hybrid_per_source_cap", f"{_BOOSTED} select id, source, fused, cosine, position::int as position from fin")
 def hybrid_cap(spark: SparkSession, sf: str) -> DataFrame:
     fused, cos = _lists(spark, sf)
     low = urls.is_low_value("url", "title", "text", "content_type")
-    meant = hybrid.wanted_types(_ASK)
-    cand = fused.join(cos, "id").withColumn("low_value", low).withColumn("fused", F.round(F.col("rrf") * hybrid.boost(_ASK, (), meant), 9)).drop("embedding", "rrf")
+    ask = asked(spark, sf) + MEANT
+    cand = fused.join(cos, "id").withColumn("low_value", low).withColumn("fused", F.round(F.col("rrf") * hybrid.boost(ask, (), hybrid.wanted_types(ask)), 9)).drop("embedding", "rrf")
     return hybrid.select(cand, 5).select("id", "source", "fused", "cosine", "position")
 
 
-@query("hybrid_rrf_boosted")
+#: retrieve(): the main lists, and those of the meant types.
+_RETRIEVED = _BOOSTED.replace("fu as (", """vt as (select id, row_number() over (order by cosine desc, id) as rank from cos where content_type in ('publication', 'pdf') qualify rank <= 120),
+lt as (select id, row_number() over (order by score desc, id) as rank from sc join cos using (id) where content_type in ('publication', 'pdf') qualify rank <= 10),
+fu as (""").replace("select * from ll)", "select * from ll union all select * from vt union all select * from lt)")
+
+
+@query("hybrid_rrf_boosted", f"""{_RETRIEVED} select id, source, content_type, cosine, fused, position::int as position,
+case when cosine >= 0.62 then 'high' when cosine >= 0.48 then 'medium' when cosine >= 0.35 then 'low' else 'none' end as confidence from fin""")
 def hybrid_boosted(spark: SparkSession, sf: str) -> DataFrame:
     """The whole of retrieve(): scope, three kinds of lists, boosts, cap, diversity."""
     _, q = _vec(spark, sf)
-    idx = bm25.build(_docs(spark, sf), "doc_id", "text")
-    out = hybrid.retrieve(_chunks(spark, sf), idx, _ASK, q, hybrid.Filters(allowed=None))
+    out = hybrid.retrieve(_chunks(spark, sf), _index(spark, sf), asked(spark, sf) + MEANT, q, hybrid.Filters(allowed=None))
     return out.select("id", "source", "content_type", "cosine", "fused", "position", fields.confidence("cosine").alias("confidence"))
 
 
@@ -208,15 +224,25 @@ def hybrid_tier(spark: SparkSession, sf: str) -> DataFrame:
     return hybrid_cap(spark, sf).agg(F.round(best, 6).alias("best"), fields.confidence(best).alias("confidence"), (F.coalesce(best, F.lit(0.0)) >= 0.35).alias("sufficient"))
 
 
+_POOL = "c as (select doc_id as id, doc_id // 2 as document_id, case when doc_id % 40 = 7 then 's2' else 's1' end as source, doc_id % 11 = 5 as low_value, (n_chars % 100) / 100.0::double as cosine, case when doc_id % 40 = 7 then 0.001 * doc_id else 1.0 + n_chars % 997 end::double as fused from documents)"
+
+
 @query(
     "hybrid_diversity_slot",
-    """with f(id, document_id, source, low_value, cosine, fused) as (values (1, 'a', 's1', false, 0.9, 5.0), (2, 'b', 's1', false, 0.8, 4.0), (3, 'b', 's1', false, 0.7, 3.5), (4, 'b', 's1', false, 0.7, 3.2), (5, 'c', 's2', false, 0.4, 1.0), (6, 'd', 's3', true, 0.9, 0.5))
-select * from (values (1, 's1', 1), (2, 's1', 2), (5, 's2', 3)) as r(id, source, position)""",
+    f"""with {_POOL}, p as (select * from (select *, row_number() over (partition by low_value, document_id order by fused desc, id) as d from c) where d <= 2 and not low_value),
+f as (select id, source, cosine, row_number() over (order by fused desc, id) as position from p qualify position <= 6),
+o as (select id, source, cosine, 6 as position from c where not low_value and source <> (select min(source) from f) order by fused desc, id limit 1)
+select id, source, position::int as position from f where position < 6 or not (select count(distinct source) = 1 from f) or (select cosine from o) < 0.35
+union all select id, source, position from o where cosine >= 0.35 and (select count(distinct source) = 1 from f)""",
 )
 def hybrid_diversity(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(1, "a", "s1", False, 0.9, 5.0), (2, "b", "s1", False, 0.8, 4.0), (3, "b", "s1", False, 0.7, 3.5), (4, "b", "s1", False, 0.7, 3.2), (5, "c", "s2", False, 0.4, 1.0), (6, "d", "s3", True, 0.9, 0.5)]
-    c = spark.createDataFrame(rows, "id int, document_id string, source string, low_value boolean, cosine double, fused double")
-    return hybrid.select(c, 3).select("id", "source", "position")
+    """Nearly all candidates are of one source; the best of the other may take the last place."""
+    k = F.col("doc_id") % 40 == 7
+    c = _docs(spark, sf).select(
+        F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 2).alias("document_id"), F.when(k, "s2").otherwise("s1").alias("source"), (F.col("doc_id") % 11 == 5).alias("low_value"), (F.col("n_chars") % 100 / 100).alias("cosine"),
+        F.when(k, 0.001 * F.col("doc_id")).otherwise(1.0 + F.col("n_chars") % 997).cast("double").alias("fused"),
+    )
+    return hybrid.select(c, 6).select("id", "source", "position")
 
 
 @query("scope_filter_retrieval", f"with {_CHUNKS} select e.id, e.source, {_COS} as score from ch e, {_Q} q where source in ('src1', 'src2', 'src3') and source = 'src2' order by score desc, id limit 10")
@@ -233,13 +259,17 @@ def category_filter(spark: SparkSession, sf: str) -> DataFrame:
     return c.where(hybrid.Filters(allowed=None, category="BL", content_type="blog, publication").condition(c.columns)).select("id", "content_type")
 
 
-@query(
-    "query_intent_types",
-    """select * from (values (1, 'blog'), (2, 'op-ed'), (3, 'pdf'), (3, 'publication'), (4, 'career'), (5, 'course')) as t(id, intent)""",
-)
+#: Questions and the types they mean, one of them put before each benchmark text.
+_QUESTIONS = [
+    ("latest blog posts:", ["blog"]), ("Op-eds on", ["op-ed"]), ("papers about", ["pdf", "publication"]), ("are you hiring", ["career"]), ("the certificate", ["course"]), ("subpapers and teamwork", []),
+    ("our policies on", ["decision", "idea", "insight", "kb", "note", "playbook"]), ("focus areas, bulletins", ["newsletter", "programme", "research_area", "tracker"]), ("who works here", ["people_index", "person"]),
+]
+
+
+@query("query_intent_types", "select item_id, unnest(case item_id % 9 " + " ".join(f"when {k} then {t}::varchar[]" for k, (_, t) in enumerate(_QUESTIONS)) + " end) as intent from benchmark")
 def intents(spark: SparkSession, sf: str) -> DataFrame:
-    q = spark.createDataFrame([(1, "latest blog posts"), (2, "Op-eds on trade"), (3, "papers about rivers"), (4, "are you hiring"), (5, "the certificate"), (6, "monsoon")], "id int, q string")
-    return q.select("id", F.explode(hybrid.intent_types("q")).alias("intent"))
+    lead = F.element_at(F.array(*[F.lit(q) for q, _ in _QUESTIONS]), (F.col("item_id") % len(_QUESTIONS) + 1).cast("int"))
+    return table(spark, sf, "benchmark").select("item_id", F.explode(hybrid.intent_types(F.concat_ws(" ", lead, "text"))).alias("intent"))
 
 
 @query(
@@ -256,19 +286,17 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
     return people.mentions(q, p, "id", "t")
 
 
+_LEAD = "array_to_string(list_slice(string_split(trim(regexp_replace(regexp_replace(lower({t}), '[ \\t\\r\\n]+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')), ' '), {a}, {z}), ' ')"
+
+
 @query(
     "title_containment_boost",
-    """with t as (select doc_id, trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[ \\t\\r]+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')) as title from documents),
-q as (select item_id, trim(regexp_replace(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')) as q from benchmark)
-select item_id, doc_id from q join t on length(title) >= 12 and contains(q, title)""",
+    f"""with q as (select item_id, {_LEAD.format(t="text", a=1, z=1000)} as q from benchmark), t as (select item_id as title_of, {_LEAD.format(t="text", a=3, z=5)} as title from benchmark)
+select item_id, title_of from q join t on length(title) >= 12 and contains(q, title)""",
 )
 def title_boost(spark: SparkSession, sf: str) -> DataFrame:
-    """Titles contained in queries: the queries are broadcast in counted blocks, so documents stay where they are."""
-    t = _docs(spark, sf).select("doc_id", text.norm_title(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title")).where(F.length("title") >= 12)
-    q = table(spark, sf, "benchmark").select("item_id", text.norm_title("text").alias("q"))
-    parts, out = -(-q.count() // 5000) or 1, None
-    for p in range(parts):
-        own = q.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p)
-        got = t.join(F.broadcast(own), F.contains("q", "title")).select("item_id", "doc_id")
-        out = got if out is None else out.unionByName(got)
-    return out
+    """Titles (words 3 to 5 of each item) contained in queries (all items)."""
+    b = table(spark, sf, "benchmark")
+    words = F.split(text.norm_title("text"), " ")
+    titles = b.select(F.col("item_id").alias("title_of"), F.array_join(F.slice(words, 3, 3), " ").alias("title"))
+    return hybrid.contained_titles(b.select("item_id", text.norm_title("text").alias("q")), titles)

@@ -36,38 +36,64 @@ def content_type(spark: SparkSession, sf: str) -> DataFrame:
     return _pages(spark, sf).select("page_id", urls.content_type("url").alias("content_type"))
 
 
-@query(
-    "url_content_type_rules",
-    "select * from (values (1, 'publication'), (2, 'op-ed'), (3, 'blog'), (4, 'person'), (5, 'about'), (6, 'listing'), (7, 'pdf'), (8, 'decision'), (9, 'kb'), (10, 'page'), (11, 'people_index')) as t(id, content_type)",
-)
+#: Folders of a site and of its internal base, and the types of pages there.
+_FOLDERS = [
+    ("content/publications/", "website", "", "publication"), ("content/blogs/", "website", "Op-Ed", "op-ed"), ("content/blogs/", "website", "Trade", "blog"), ("content/team/", "website", "", "person"),
+    ("pages/mission.html?", "website", "", "about"), ("?", "website", "", "listing"), ("content/publications/x.PDF?", "website", "", "pdf"), ("decisions/", "commit_kb", "", "decision"),
+    ("other/", "commit_kb", "", "kb"), ("else/", "website", "", "page"), ("pages/team?", "website", "", "people_index"),
+]
+_FOLDER_ROWS = ", ".join(str((k, *r)) for k, r in enumerate(_FOLDERS))
+
+
+@query("url_content_type_rules", f"select page_id, kind as content_type from pages join (values {_FOLDER_ROWS}) as f(k, folder, source, cat, kind) on page_id % {len(_FOLDERS)} = k")
 def type_rules(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [
-        (1, "https://x.example/content/publications/a.html", "website", ""), (2, "https://x.example/content/blogs/a.html", "website", "Op-Ed"), (3, "https://x.example/content/blogs/a.html", "website", "Trade"),
-        (4, "https://x.example/content/team/m.html", "website", ""), (5, "https://x.example/pages/mission.html", "website", ""), (6, "https://x.example/", "website", ""), (7, "https://x.example/content/publications/a.PDF", "website", ""),
-        (8, "https://kb.example/decisions/1", "commit_kb", ""), (9, "https://kb.example/other", "commit_kb", ""), (10, "https://x.example/else", "website", ""), (11, "https://x.example/pages/team", "website", ""),
-    ]
-    d = spark.createDataFrame(rows, "id int, url string, source string, cat string")
-    return d.select("id", urls.content_type("url", "source", F.array("cat")).alias("content_type"))
+    rule = F.element_at(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("folder", "source", "cat"), r[:3], strict=True)]) for r in _FOLDERS]), (F.col("page_id") % len(_FOLDERS) + 1).cast("int"))
+    d = _pages(spark, sf).select("page_id", rule.alias("r")).select("page_id", F.concat(F.lit("https://x.example/"), "r.folder", F.col("page_id").cast("string")).alias("url"), "r.source", "r.cat")
+    return d.select("page_id", urls.content_type("url", "source", F.array("cat")).alias("content_type"))
+
+
+_NAME = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 
 
 @query(
     "url_canonical",
-    """select * from (values (1, 'https://x.example/a/'), (2, 'http://x.example/a%20b?a=1&b=2'), (3, null), (4, 'https://x.example/b'), (5, 'https://x.example:8443/'), (6, 'https://y.example/c'), (7, null)) as t(id, url)""",
+    f"""with h as (select page_id, {_NAME} as h, page_id % 7 as form, page_id::varchar as p from pages)
+select page_id, case form when 0 then 'https://' || h || '/a/' || p || '/' when 1 then 'http://' || h || '/a%20' || p || '?a=1&b=' || p when 2 then null when 3 then 'https://x.example/a/c/' || p when 4 then 'https://' || h || ':8443/?q=%C3%A9'
+when 5 then 'https://' || h || '/c/' || p else 'https://x.example/a/b/?z=' || p end as url from h""",
 )
 def canonical(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(1, "HTTPS://X.example:443//a/index.html#t"), (2, "http://x.example/a b?b=2&utm_source=z&a=1"), (3, "mailto:a@b.example"), (4, "../b"), (5, "https://x.example:8443"), (6, "//y.example/./d/../c"), (7, "")]
-    d = spark.createDataFrame(rows, "id int, u string")
-    return d.select("id", urls.canonicalize("u", F.lit("https://x.example/a/")).alias("url"))
+    """Hosts of the pages in spellings that mean the same page."""
+    h, p = urls.host("url"), F.col("page_id").cast("string")
+    ways = [
+        F.concat(F.lit("HTTPS://"), F.upper(h), F.lit(":443//a/./"), p, F.lit("/index.html?utm_source=q#t")), F.concat(F.lit(" http://"), h, F.lit("/a "), p, F.lit("?b="), p, F.lit("&utm_source=z&a=1")), F.concat(F.lit("mailto:x@"), h),
+        F.concat(F.lit("../c/"), p), F.concat(F.lit("https://user@"), h, F.lit(":8443?q=é&fbclid=1")), F.concat(F.lit("//"), h, F.lit("/./d/../c/"), p), F.concat(F.lit("?z="), p),
+    ]
+    raw = F.element_at(F.array(*ways), (F.col("page_id") % 7 + 1).cast("int"))
+    return _pages(spark, sf).select("page_id", urls.canonicalize(raw, F.lit("https://x.example/a/b/")).alias("url"))
+
+
+@query(
+    "url_compared",
+    f"with h as (select page_id, {_NAME} as h from pages) select page_id, case when page_id % 3 = 0 then 'https://' || h || '/' else 'https://' || h || '/p' end as url from h",
+)
+def compared(spark: SparkSession, sf: str) -> DataFrame:
+    h, k = urls.host("url"), F.col("page_id") % 3
+    raw = F.when(k == 0, F.concat(F.lit("https://"), h)).when(k == 1, F.concat(F.lit("https://"), h, F.lit("/p/"))).otherwise(F.concat(F.lit("https://"), h, F.lit("/p#x")))
+    return _pages(spark, sf).select("page_id", urls.compared(raw).alias("url"))
 
 
 @query(
     "url_predicates",
-    "select * from (values (1, true, false, false, false), (2, true, true, false, true), (3, true, false, true, false), (4, false, false, false, true), (5, false, false, false, false)) as t(id, same_site, malformed, asset, low_value)",
+    f"""with h as (select page_id, regexp_replace({_NAME}, '^www[.]', '') as h, page_id % 6 as form from pages)
+select page_id, form in (0, 2, 5) and h = (select h from h where page_id = (select min(page_id) from pages)) as same_site, form = 1 as malformed, form = 2 as asset, form in (1, 3, 5) as low_value from h""",
 )
 def predicates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(1, "https://www.x.example/blogs/some-post"), (2, "htps://x.example"), (3, "https://x.example/logo.PNG"), (4, "https://y.example/tag/rivers/"), (5, "mailto:a@x.example")]
-    d = spark.createDataFrame(rows, "id int, u string").withColumn("t", F.lit("x" * 60))
-    return d.select("id", urls.same_site("u", "x.example").alias("same_site"), urls.is_malformed("u").alias("malformed"), urls.is_asset("u").alias("asset"), urls.is_low_value("u", F.lit("A title"), "t", F.lit("page")).alias("low_value"))
+    p = _pages(spark, sf)
+    site = p.orderBy("page_id").select(urls.host("url")).first()[0]
+    h, form = urls.host("url"), F.col("page_id") % 6
+    ways = [F.concat(F.lit("https://"), h, F.lit("/blogs/some-post")), F.concat(F.lit("htps://"), h), F.concat(F.lit("https://www."), F.regexp_replace(h, "^www[.]", ""), F.lit("/logo.PNG?x=1")), F.lit("https://else.example/tag/rivers/"), F.concat(F.lit("mailto:a@"), h), F.concat(F.lit("http://"), h, F.lit("/pages/reports/"))]
+    d = p.select("page_id", F.element_at(F.array(*ways), (form + 1).cast("int")).alias("u"), F.lit("x" * 60).alias("t"))
+    return d.select("page_id", urls.same_site("u", site).alias("same_site"), urls.is_malformed("u").alias("malformed"), urls.is_asset("u").alias("asset"), urls.is_low_value("u", F.lit("A title"), "t", F.lit("page")).alias("low_value"))
 
 
 @query("page_title", f"select page_id, {_TITLE} as title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) as lang from pages")
@@ -131,42 +157,71 @@ def duplicate_titles(spark: SparkSession, sf: str) -> DataFrame:
     return linkgraph.duplicate_groups(t, F.lower("title"), "page_id").select("key", "n", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
-def _log(spark: SparkSession) -> DataFrame:
-    base = {f.name: None for f in C.CRAWL.fields}
-    rows = [
-        {"url": "https://x.example/", "status": 200, "discovery": ["seed"], "outlinks": ["a", "b"], "title": "Home", "text_len": 500, "text_hash": "h0", "outcome": "new", "depth": 0, "malformed_links": ["htps:x"], "external_links": ["https://y.example/"]},
-        {"url": "https://x.example/content/blogs/a", "status": 200, "discovery": ["sitemap", "links"], "inlinks": ["https://x.example/"], "title": "A", "text_len": 50, "text_hash": "h1", "outcome": "new", "has_author": True, "has_date": False},
-        {"url": "https://x.example/content/blogs/b", "status": 404, "discovery": ["links"], "inlinks": ["https://x.example/", "https://x.example/content/blogs/a"], "error_type": "", "outcome": "failed"},
-        {"url": "https://x.example/c", "status": 200, "discovery": ["sitemap"], "title": "a", "text_len": 0, "text_hash": "h1", "outcome": "unchanged", "redirect_chain": ["https://x.example/old", "https://x.example/older"]},
-        {"url": "https://x.example/d.pdf", "status": None, "discovery": ["links"], "error_type": "timeout", "outcome": "failed", "discovered_from": "https://x.example/c"},
-    ]
-    return spark.createDataFrame([tuple((base | r)[f.name] for f in C.CRAWL.fields) for r in rows], C.CRAWL)
+#: A crawl log made of the pages: who links to each is read from their links, the rest from the page's number.
+_LOG = f"""e as (select distinct regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || '/' || page_id % 13 as dst, url as src from pages),
+g as (select dst, list(src order by src) as inlinks from e group by dst),
+l as (select page_id, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || case when page_id % 9 = 0 then '/' when page_id % 9 = 1 then '/content/blogs/' || page_id when page_id % 9 = 2 then '/x' || page_id || '.pdf' else '/' || page_id % 26 end as url,
+  case when page_id % 11 = 3 then 404 when page_id % 11 = 5 then 503 when page_id % 11 = 7 then null else 200 end as status, case when page_id % 11 = 7 then case when page_id % 2 = 0 then 'timeout' else 'dns' end when page_id % 17 = 4 then 'redirect_loop' else '' end as error_type,
+  page_id % 3 <> 1 as in_sitemap, page_id % 3 <> 0 as via_links, page_id % 5 as hops, page_id % 23 * 30 as text_len, page_id % 4 = 0 as has_author, page_id % 4 = 1 as has_date,
+  case when page_id % 6 = 0 then '' else 'T' || page_id % 40 end as title, case when page_id % 7 = 0 then 'failed' else 'new' end as outcome, page_id % 10 = 2 as bad_link from pages),
+r as (select l.*, coalesce(inlinks, []) as inlinks, case when url like '%.pdf' then 'pdf' else 'page' end as kind,
+  coalesce(status in (403, 404, 410) or status >= 500, false) or error_type in ('timeout', 'dns', 'redirect_loop') as broken, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path from l left join g on dst = url)"""
+
+
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    p, k = _pages(spark, sf), F.col("page_id")
+    root = F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0)
+    e = p.select(F.concat(root, F.lit("/"), (k % 13).cast("string")).alias("dst"), F.col("url").alias("src")).distinct()
+    g = e.groupBy("dst").agg(F.sort_array(F.collect_list("src")).alias("inlinks"))
+    own = F.concat(root, F.when(k % 9 == 0, "/").when(k % 9 == 1, F.concat(F.lit("/content/blogs/"), k)).when(k % 9 == 2, F.concat(F.lit("/x"), k, F.lit(".pdf"))).otherwise(F.concat(F.lit("/"), k % 26)))
+    facts = {
+        "url": own, "status": F.when(k % 11 == 3, 404).when(k % 11 == 5, 503).when(k % 11 == 7, None).otherwise(200),
+        "error_type": F.when(k % 11 == 7, F.when(k % 2 == 0, "timeout").otherwise("dns")).when(k % 17 == 4, "redirect_loop").otherwise(""),
+        "discovery": F.array_compact(F.array(F.when(k % 3 != 1, "sitemap"), F.when(k % 3 != 0, "links"))), "redirect_chain": F.transform(F.sequence(F.lit(1), k % 5), lambda i: F.concat(own, F.lit("?"), i)),
+        "text_len": k % 23 * 30, "has_author": k % 4 == 0, "has_date": k % 4 == 1, "title": F.when(k % 6 == 0, "").otherwise(F.concat(F.lit("T"), k % 40)), "outcome": F.when(k % 7 == 0, "failed").otherwise("new"),
+        "malformed_links": F.when(k % 10 == 2, F.array(F.lit("htps:x"))), "external_links": F.when(k % 8 == 1, F.array(F.concat(F.lit("https://far.example/"), k % 5))),
+    }
+    facts["redirect_chain"] = F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(facts["redirect_chain"])
+    log = p.select(*[facts.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in C.CRAWL.fields if f.name != "inlinks"])
+    return log.join(g, F.col("url") == F.col("dst"), "left").drop("dst").select(*[f.name for f in C.CRAWL.fields])
 
 
 @query(
     "audit_broken_links",
-    """select * from (values ('https://x.example/', 'https://x.example/content/blogs/b', 404, '', 'internal'), ('https://x.example/content/blogs/a', 'https://x.example/content/blogs/b', 404, '', 'internal'),
-('https://x.example/c', 'https://x.example/d.pdf', null, 'timeout', 'internal'), ('https://x.example/', 'htps:x', null, 'malformed', 'internal'), ('https://x.example/', 'https://y.example/', 500, 'external', 'external')) as t(source_page, link_url, status, error_type, scope)""",
+    f"""with {_LOG}, x as (select 'https://far.example/' || k as url, k, case when k % 2 = 0 then 500 else 200 end as status from range(5) as t(k))
+select unnest(case when len(inlinks) > 0 then inlinks else ['(sitemap/seed)'] end) as source_page, url as link_url, status, error_type, 'internal' as scope from r where broken
+union all select url, 'htps:x', null, 'malformed', 'internal' from r where bad_link
+union all select coalesce(r.url, '(document metadata)'), x.url, x.status, 'external', 'external' from x left join (select distinct url, page_id % 5 as far from r where page_id % 8 = 1) r on far = k where x.status >= 400""",
 )
 def audit_broken(spark: SparkSession, sf: str) -> DataFrame:
-    ext = spark.createDataFrame([("https://y.example/", 500, "")], "url string, status int, error string")
-    return linkgraph.broken_links(_log(spark), ext)
+    ext = spark.range(5).select(F.concat(F.lit("https://far.example/"), "id").alias("url"), F.when(F.col("id") % 2 == 0, 500).otherwise(200).alias("status"), F.lit("").alias("error"))
+    return linkgraph.broken_links(_log(spark, sf), ext)
 
 
-@query(
-    "audit_summary",
-    """select 5::bigint as urls_total, 4::bigint as pages, 1::bigint as pdfs, 2::bigint as broken_internal, 1::bigint as timeouts, 1::bigint as redirects, 1::bigint as multi_hop_redirects, 1::bigint as orphan_pages,
-1::bigint as sitemap_only_pages, 1::bigint as links_only_pages, 1::bigint as no_text_pages, 1::bigint as short_text_pages, 1::bigint as articles_missing_date, 0::bigint as articles_missing_author, 2::bigint as failed_fetches""",
-)
+_OK = "kind = 'page' and status = 200"
+_COUNTERS = {
+    "urls_total": "true", "pages": "kind = 'page'", "pdfs": "kind = 'pdf'", "broken_internal": "broken", "timeouts": "error_type = 'timeout'", "dns_failures": "error_type = 'dns'", "redirects": "hops > 0 or error_type = 'redirect_loop'",
+    "redirect_loops": "error_type = 'redirect_loop'", "multi_hop_redirects": "hops > 1", "orphan_pages": "in_sitemap and len(inlinks) = 0 and kind = 'page' and path not in ('', '/')", "sitemap_only_pages": "in_sitemap and not via_links and kind = 'page'",
+    "links_only_pages": "via_links and not in_sitemap and kind = 'page'", "no_text_pages": f"{_OK} and text_len = 0", "short_text_pages": f"{_OK} and text_len between 1 and 299", "missing_title": f"{_OK} and title = ''",
+    "articles_missing_author": f"{_OK} and path like '/content/blogs/%' and not has_author", "articles_missing_date": f"{_OK} and path like '/content/blogs/%' and not has_date", "failed_fetches": "outcome = 'failed'",
+}
+
+
+@query("audit_summary", f"with {_LOG} select " + ", ".join(f"count(*) filter ({c}) as {k}" for k, c in _COUNTERS.items()) + " from r")
 def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return linkgraph.summary(_log(spark)).drop("dns_failures", "redirect_loops", "missing_title")
+    return linkgraph.summary(_log(spark, sf)).select(*_COUNTERS)
 
 
-@query("audit_redirects", "select 'https://x.example/c' as url, 2 as hops, false as loop")
+@query("audit_redirects", f"with {_LOG} select url, hops::int as hops, error_type = 'redirect_loop' as loop from r where hops > 0 or error_type = 'redirect_loop'")
 def audit_redirects(spark: SparkSession, sf: str) -> DataFrame:
-    return linkgraph.redirects(_log(spark)).select("url", "hops", "loop")
+    return linkgraph.redirects(_log(spark, sf)).select("url", "hops", "loop")
 
 
-@query("audit_orphans", "select 'https://x.example/c' as url")
+@query("audit_orphans", f"with {_LOG} select url from r where in_sitemap and len(inlinks) = 0 and kind = 'page' and path not in ('', '/')")
 def audit_orphans(spark: SparkSession, sf: str) -> DataFrame:
-    return linkgraph.orphans(_log(spark)).select("url")
+    return linkgraph.orphans(_log(spark, sf)).select("url")
+
+
+@query("crawl_outcomes", f"with {_LOG} select kind, outcome, count(*) as n, count(*) filter (broken) as broken from r group by all")
+def outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return linkgraph.outcomes(_log(spark, sf))

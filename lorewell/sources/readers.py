@@ -138,3 +138,22 @@ class PageReader(DataSourceReader):
         for u in self.urls[partition.lo : partition.hi]:
             status, final, body, error = fetch(u)
             yield u, status, final, body, error
+
+
+def open_state(spark: SparkSession, path: str) -> tuple[object, DataFrame, DataFrame]:
+    """(index, chunks, vectors) that write_state() left; they must have the same number of rows."""
+    from lorewell.operators import bm25
+
+    index = bm25.load(spark, path)
+    chunks, vectors = (spark.read.parquet(f"{path}/{t}") for t in ("chunks", "vectors"))
+    sizes = [index.lengths.count(), chunks.count(), vectors.count()]
+    if len(set(sizes)) != 1:
+        raise ValueError(f"index, chunks and vectors differ in rows: {sizes}")
+    return index, chunks, vectors
+
+
+def newest_runs(spark: SparkSession, root: str, n: int = 10) -> DataFrame:
+    """Reports of the last n runs, newest first by run name."""
+    runs = spark.read.json(f"{root}/runs")
+    last = runs.select("run_id").distinct().orderBy(F.desc("run_id")).limit(n)
+    return runs.join(F.broadcast(last), "run_id").orderBy(F.desc("run_id"))  # n names

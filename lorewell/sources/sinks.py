@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorewell.operators import bm25
 from lorewell.sources.readers import exists
 
 
@@ -23,11 +24,33 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     flat(df, columns).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
-def write_index(postings: DataFrame, idf: DataFrame, lengths: DataFrame, path: str) -> None:
-    """Index tables, sorted by their lookup key so that row groups are skipped."""
-    postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    idf.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_idf")
-    lengths.write.mode("overwrite").parquet(f"{path}/doc_len")
+def append_feedback(votes: DataFrame, path: str, limit: int = 500) -> None:
+    """Appends (question, vote, ...) rows with a question, trimmed and cut to `limit` characters."""
+    q = F.trim(F.coalesce("question", F.lit("")))
+    votes.withColumn("question", F.substring(q, 1, limit)).where("question <> ''").write.mode("append").json(path)
+
+
+def write_manifest(summary: DataFrame, version: str, path: str) -> None:
+    """One JSON row: the counts of a release and its version."""
+    summary.withColumn("version", F.lit(version)).coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_run_report(report: DataFrame, run_id: str, root: str) -> None:
+    """A run's report under its own name, and the same as the rolling status."""
+    report.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").json(f"{root}/runs/run_id={run_id}")
+    report.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").json(f"{root}/status")
+
+
+def public_status(status: DataFrame, keys: tuple[str, ...] = ("version", "documents", "chunks", "run_id", "finished_at")) -> DataFrame:
+    """The columns of a status that anyone may see."""
+    return status.select(*[c for c in keys if c in status.columns])
+
+
+def write_state(index: bm25.Index, chunks: DataFrame, vectors: DataFrame, path: str) -> None:
+    """All that retrieval reads: index tables, chunk rows (id, ...) and vectors (id, embedding)."""
+    bm25.save(index, path)
+    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
 
 
 class Releases:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lorewell.operators import incremental
 from lorewell.plans.tables import shared_dir
@@ -61,30 +63,49 @@ def dedup(rows: DataFrame, key: str) -> DataFrame:
 
 
 class ChangeTable:
-    """Keyed state (url -> hash) merged batch by batch; the change log is append-only.
+    """Keyed state (key -> hash) merged batch by batch; the change log is append-only.
 
-    Each batch writes a new version of the state table and then moves on to it, so a batch that is
-    tried again after a failure overwrites its own version and nothing else.
+    Every batch writes a new version of the state, named by its place and by what wrote it, in the shared folder; the newest one is
+    found there, so a restart goes on from it.  A batch that is tried again after a failure starts from the version before its own.
     """
 
-    def __init__(self, spark: SparkSession, key: str, hash_col: str) -> None:
+    def __init__(self, spark: SparkSession, key: str, hash_col: str, where: str | None = None) -> None:
         self.spark, self.key, self.hash_col = spark, key, hash_col
-        self.where = f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}"
-        self.version = -1
+        self.where = where or f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}"
         self.schema = T.StructType([T.StructField(key, T.StringType()), T.StructField(hash_col, T.StringType())])
 
-    def state(self) -> DataFrame:
-        if self.version < 0:
+    def versions(self) -> list[str]:
+        """Finished versions, oldest first."""
+        base = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.where}/state")
+        fs = base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(base):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(base)]
+        return sorted(n for n in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.where}/state/{n}/_SUCCESS")))
+
+    def _read(self, version: str | None) -> DataFrame:
+        if version is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.where}/state/{self.version}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.where}/state/{version}")
+
+    def state(self) -> DataFrame:
+        known = self.versions()
+        return self._read(known[-1] if known else None)
 
-    def apply(self, batch: DataFrame, n: int) -> None:
+    def apply(self, batch: DataFrame, tag: str) -> None:
+        """Merge a batch; tag: what names it again when it is tried again."""
+        before = [v for v in self.versions() if not v.endswith(f"-{tag}")]
+        old = self._read(before[-1] if before else None)
         seen = batch.select(F.col(self.key).cast("string").alias(self.key), self.hash_col).dropDuplicates([self.key])
-        old = self.state()
         change = incremental.classify(old, seen, self.key, self.hash_col).where("change in ('new', 'modified')")
-        change.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{self.where}/log/batch={n}")
-        incremental.merge(old, seen, self.spark.createDataFrame([], self.schema), self.key).write.mode("overwrite").parquet(f"{self.where}/state/{n}")
-        self.version = n
+        change.write.mode("overwrite").parquet(f"{self.where}/log/batch={len(before):08d}-{tag}")
+        merged = incremental.merge(old, seen, self.spark.createDataFrame([], self.schema), self.key)
+        merged.write.mode("overwrite").parquet(f"{self.where}/state/{len(before):08d}-{tag}")
+
+    def run(self, rows: DataFrame) -> None:
+        """Drain a stream of (key, hash) rows into the table."""
+        name = uuid.uuid4().hex
+        run(rows, "append", lambda batch, n: self.apply(batch, f"{name}.{n}"))
 
     def log(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.where}/log")
@@ -92,10 +113,40 @@ class ChangeTable:
 
 def detect_changes(rows: DataFrame, key: str, hash_col: str) -> ChangeTable:
     table = ChangeTable(rows.sparkSession, key, hash_col)
-    run(rows, "append", table.apply)
+    table.run(rows)
     return table
 
 
+def sliding_limit(events: DataFrame, key: str, event: str, ts: str, limit: int, seconds: int = 60, late: str = "1 day") -> DataFrame:
+    """event, key, allowed: a request passes if fewer than `limit` of its key passed in the `seconds` before it.
+
+    The state of a key is the times of its last `limit` passed requests; a key that stays silent for two windows beyond the watermark
+    is forgotten, so the state is bounded by the keys of that time.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    width = seconds * 1_000_000
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        passed = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["__t", event])
+        ok = []
+        for t in rows["__t"]:
+            passed = [x for x in passed if x > t - width]
+            ok.append(len(passed) < limit)
+            if ok[-1]:
+                passed.append(int(t))
+        state.update((passed,))
+        state.setTimeoutTimestamp(max(passed[-1] // 1000 + 2000 * seconds, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({event: rows[event], key: k[0], "allowed": ok})
+
+    timed = events.select(event, key, F.col(ts).cast("timestamp").alias("__ts")).withWatermark("__ts", late).withColumn("__t", F.unix_micros("__ts"))
+    out = timed.groupBy(key).applyInPandasWithState(step, f"{event} {kinds[event]}, {key} {kinds[key]}, allowed boolean", "passed array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return run(out, "append")
+
+
 def limited(events: DataFrame, key: str, ts: str, limit: int, seconds: int = 60) -> DataFrame:
     """Per key the requests and those refused by a fixed-window limit, as a complete-mode aggregate."""
     slot = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / seconds)

@@ -103,3 +103,46 @@ def test_filters_reach_the_scan(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
     plan = vector.top_k(v, [0.0] * 64, 3, where=F.col("label") == 1)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(label,1)" in plan and "TakeOrderedAndProject" in plan
+
+
+def test_intents_and_questions_about_works():
+    for q, types in {"latest blog posts": {"blog"}, "papers, please": {"publication", "pdf"}, "subpapers": set(), "Op-Eds on trade": {"op-ed"}, "our policies": {"playbook", "decision", "insight", "idea", "note", "kb"}, "staffing": set(), "": set()}.items():
+        assert hybrid.wanted_types(q) == types
+    assert hybrid.wanted_types("the harbour desk", {"note": ("harbour desk",)}) >= {"note", "kb"}
+    for q in ("what has Meera written", "papers by Meera", "op-eds on trade by her", "authored by him", "Works on rivers and roads by X"):
+        assert hybrid.asks_for_works(q)
+    for q in ("by papers", "published by", "rivers", "has Meera spoken"):
+        assert not hybrid.asks_for_works(q)
+
+
+def test_intent_column_equals_the_driver_rule(spark):
+    qs = ["latest blog posts", "Op-eds on trade", "papers about rivers", "are you hiring", "the certificate", "monsoon", None, "research areas; newsletters"]
+    d = spark.createDataFrame([(k, q) for k, q in enumerate(qs)], "k int, q string").select("k", hybrid.intent_types("q").alias("t")).collect()
+    assert all(set(r["t"]) == hybrid.wanted_types(qs[r["k"]]) for r in d)
+
+
+def test_works_slot_is_an_extra_row(spark):
+    c = chunks(spark).withColumn("heading_path", F.lit(""))
+    own = spark.createDataFrame([(900, "p1", "website", "Meera Rao", "https://x.example/content/team/m", "person", "A list of works " * 9, [0.0, -1.0], [], "", "", "Meera Rao > Publications")], c.schema)
+    got = hybrid.retrieve(c.unionByName(own), bm25.build(c, "id", "text"), "papers by Meera Rao", [1.0, 0.0], hybrid.Filters(None), people=("meera rao",)).collect()
+    assert len(got) == 6 and got[-1]["id"] == 900 and got[-1]["fused"] == 0.0 and got[-1]["position"] == 6
+    closed = hybrid.retrieve(c.unionByName(own), bm25.build(c, "id", "text"), "papers by Meera Rao", [1.0, 0.0], hybrid.Filters(("commit_kb",)), people=("meera rao",)).collect()
+    assert all(r["source"] == "commit_kb" for r in closed)
+
+
+def test_lists_are_not_empty(spark, sf):
+    from lorewell.queries import retrieval
+
+    q = retrieval.asked(spark, sf)
+    lex = bm25.score(retrieval._index(spark, sf), retrieval._one(spark, q))
+    assert lex.count() > 15 and lex.join(retrieval._chunks(spark, sf), "id").count() > 15
+
+
+def test_index_is_kept_and_opened_again(spark, sf, tmp_path):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    first = bm25.shared(d, "doc_id", "text")
+    assert bm25.shared(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text") is first
+    bm25.save(first, str(tmp_path / "i"))
+    terms = bm25.query_terms(spark.createDataFrame([(1, "the that and of")], "q int, t string"), "q", "t")
+    again = bm25.load(spark, str(tmp_path / "i"))
+    assert sorted(map(tuple, bm25.score(first, terms).collect())) == sorted(map(tuple, bm25.score(again, terms).collect()))

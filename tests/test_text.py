@@ -1,10 +1,11 @@
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lorewell.functions import citations, mojibake, text, urls
+from lorewell.functions import citations, html, mojibake, text, urls
 from lorewell.operators import chunking
 
 
@@ -34,29 +35,103 @@ def test_mojibake_round_trip(s):
     assert mojibake.repair(fixed) == fixed
 
 
-def test_canonical_urls():
-    c = urls.canonical
-    assert c("HTTPS://X.example:443//a/./b/../index.html?utm_x=1&b=2&a=1#f") == "https://x.example/a/?a=1&b=2"
-    assert c("http://x.example") == "http://x.example/"
-    assert c("/c", "https://x.example/a/b") == "https://x.example/c"
-    assert c("http://x.example/a b’.html") == c("http://x.example/a%20b%E2%80%99.html")
-    for bad in (None, "", "mailto:a@b", "javascript:void(0)", "relative", "http://"):
-        assert c(bad) is None
+def many(spark, rows, names, expr):
+    """The value of a column expression for each row, in order."""
+    d = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, " + ", ".join(f"{n} string" for n in names))
+    return [r["x"] for r in d.select("k", expr.alias("x")).orderBy("k").collect()]
+
+
+def test_canonical_urls(spark):
+    cases = {
+        ("HTTPS://X.example:443//a/./b/../index.html?utm_x=1&b=2&a=1#f", ""): "https://x.example/a/?a=1&b=2", ("http://x.example", ""): "http://x.example/", ("/c", "https://x.example/a/b"): "https://x.example/c",
+        ("http://x.example/a b’.html", ""): "http://x.example/a%20b%E2%80%99.html", ("http://x.example/a%20b%E2%80%99.html", ""): "http://x.example/a%20b%E2%80%99.html", ("?q=1", "https://x.example/a/b?z=2"): "https://x.example/a/b?q=1",
+        ("#top", "https://x.example/a/b?z=2"): "https://x.example/a/b?z=2", ("../../../c/", "https://x.example/a/b"): "https://x.example/c/", ("..", "https://x.example/a/b/c"): "https://x.example/a/", ("http://u:p@x.example:8080/~m?k&a=b=c", ""): "http://x.example:8080/~m?a=b%3Dc&k=",
+        ("https://x.example/%zz/a+b", ""): "https://x.example/%25zz/a+b", ("//y.example", "http://x.example"): "https://y.example/", ("https://x.example/INDEX.HTM", ""): "https://x.example/",
+    }
+    cases |= {(bad, ""): None for bad in (None, "", "mailto:a@b", "javascript:void(0)", "relative", "http://", "foo:bar", "https://x.example:99999/")}
+    got = many(spark, list(cases), ("u", "b"), urls.canonicalize("u", "b"))
+    assert dict(zip(cases, got, strict=True)) == cases
+    again = many(spark, [(u,) for u in got if u], ("u",), urls.canonicalize("u"))
+    assert again == [u for u in got if u]
+
+
+def test_listing_and_navigation_pages(spark):
+    rows = [("https://x.example/pages/reports/", ""), ("https://x.example/a/all-content", ""), ("https://x.example/index.html", ""), ("https://x.example/", ""), ("", "Blogs"), ("https://x.example/reports/one", "A report"), ("https://x.example/a/index.html", "A"), ("", "Home")]
+    assert many(spark, rows, ("u", "t"), urls.is_listing("u", "t")) == [True, True, True, True, True, False, False, True]
+    rows = [("https://x.example/tag/rivers/", ""), ("https://x.example/tag", ""), ("", "Author: Meera"), ("", "Search results – rivers"), ("", "Topical – rivers"), ("https://x.example/a", "A: b")]
+    assert many(spark, rows, ("u", "t"), urls.is_navigation("u", "t")) == [True, False, True, True, False, False]
+
+
+def test_citation_forms(spark):
+    cases = {
+        "x [Sources 1 and 2] [3]": "x [Source 1][Source 2] [3]", "x [3] y": "x [Source 3] y", "x 【Source 4】": "x [Source 4]", None: "", "[1, 2; source 3 & 4]": "[Source 1][Source 2][Source 3][Source 4]",
+        "【3】": "[Source 3]", "［1、2］ [5](u)": "[Source 1][Source 2] [5](u)", "[12](u) [123]": "[12](u) [123]", "[not 1] [ source 2 ]": "[not 1] [Source 2]", "[1] 【2】": "[Source 1] [Source 2]",
+    }
+    assert dict(zip(cases, many(spark, [(c,) for c in cases], ("a",), citations.normalize("a")), strict=True)) == cases
+
+
+def test_renumbering_and_links(spark):
+    order, urls_ = text.F.array(text.F.lit(3), text.F.lit(1)), text.F.array(text.F.lit("u1"), text.F.lit(""), text.F.lit("u3"))
+    rows = [("a [Source 1] b [ source 3 ]c [Source 2].",), ("none",), (None,)]
+    assert many(spark, rows, ("a",), citations.renumber("a", order)) == ["a [Source 2] b [Source 1]c .", "none", ""]
+    assert many(spark, rows, ("a",), citations.linkify("a", urls_)) == ["a [[1]](u1) b [[3]](u3)c [Source 2].", "none", ""]
+
+
+def plain_excerpt(t, claim, limit=300):
+    t = " ".join((t or "").split())
+    if len(t) <= limit:
+        return t
+    want = set(re.findall("[a-z0-9]+", (claim or "").lower()))
+    short = lambda s: s[:limit].rsplit(" ", 1)[0] + "…"
+    if not want:
+        return short(t)
+    parts = re.split(r"(?<=[.!?])\s+", t)
+    at = max(range(len(parts)), key=lambda k: (len(want & set(re.findall("[a-z0-9]+", parts[k].lower()))), -k))
+    end = at + 1
+    while end < len(parts) and len(" ".join(parts[at:end])) + len(parts[end]) <= limit:
+        end += 1
+    out = " ".join(parts[at:end])
+    return ("…" if at else "") + (short(out) if len(out) > limit else out)
+
+
+def test_excerpts_against_the_plain_rule(spark):
+    rng, rows = random.Random(2), [("short", "x"), (None, None), ("word " * 100, "")]
+    for _ in range(60):
+        parts = [" ".join(rng.choice(["rivers", "rose", "in", "June", "roads", "x" * 40]) for _ in range(rng.choice([2, 6, 20]))) + rng.choice(".!?") for _ in range(rng.randint(1, 12))]
+        rows.append((rng.choice([" ", "\n"]).join(parts), rng.choice(["rivers rose", "roads", "nothing", ""])))
+    assert many(spark, rows, ("t", "c"), citations.excerpt("t", "c")) == [plain_excerpt(*r) for r in rows]
+    t = "Filler sentence that says nothing much at all. " * 10 + "Rivers rose in June. " + "More filler follows here. " * 10
+    assert many(spark, [(t, "rivers rose")], ("t", "c"), citations.excerpt("t", "c"))[0].startswith("…Rivers rose in June.")
 
 
-def test_citation_forms():
-    n = citations.normalize
-    assert n("x [Sources 1 and 2] [3]") == "x [Source 1][Source 2] [3]"
-    assert n("x [3] y") == "x [Source 3] y"
-    assert n("x 【Source 4】") == "x [Source 4]"
-    assert n(None) == ""
+def plain_quality(t):
+    total = len(re.sub(r"\s+", "", t))
+    if not total:
+        return 1.0
+    noise = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x80-\x9f\u0250-\u02af\u0300-\u036f\u0370-\u03ff\u0400-\u04ff\u0530-\u05ff\u0600-\u06ff\u2500-\u259f\ue000-\uf8ff\ufffd]")
+    bad = 0
+    for w in t.split():
+        n, f = len(w), sum(ord(c) > 127 for c in w)
+        letters = any(c.isalpha() for c in w)
+        run = any(all(c.isalpha() and ord(c) > 127 for c in w[k : k + 4]) for k in range(n - 3))
+        if noise.search(w) or (letters and (run or (n >= 5 and f / n >= 0.4 and not re.search("[aeiouAEIOU]", w)) or (n >= 6 and f / n >= 0.5))):
+            bad += n
+    return max(0.0, min(1 - bad / total, 1 - min(1.0, len(noise.findall(t)) / max(1, len(t)) * 4)))
 
 
-def test_excerpt_prefers_the_claimed_sentence():
-    t = "Filler sentence that says nothing much at all. " * 10 + "Rivers rose in June. " + "More filler follows here. " * 10
-    e = citations.excerpt(t, "rivers rose")
-    assert e.startswith("…Rivers rose in June.") and len(e) <= 302
-    assert citations.excerpt("short", "x") == "short"
+def test_quality_against_the_plain_rule(spark):
+    rng = random.Random(7)
+    rows = [("".join(rng.choice("aebcé ØÙ─нß ") for _ in range(rng.randint(0, 40))),) for _ in range(300)]
+    got = many(spark, rows, ("t",), text.quality_score("t"))
+    assert all(abs(g - plain_quality(t)) < 1e-9 for g, (t,) in zip(got, rows, strict=True))
+
+
+def test_a_long_token_costs_its_length(spark):
+    t = "é " + "A9z" * 350_000 + " é é"
+    began = time.perf_counter()
+    assert many(spark, [(t,)], ("t",), text.quality_score("t")) == [1.0]
+    assert many(spark, [(t,)], ("t",), text.drop_garbage_lines("t")) == [t]
+    assert time.perf_counter() - began < 20
 
 
 def plain_pack(sents, size, overlap, least):
@@ -107,6 +182,26 @@ def test_pack_against_the_plain_rule():
         assert chunking.pack(sents, 200, 50, 20) == plain_pack(sents, 200, 50, 20)
 
 
+def test_pieces_of_a_long_sentence():
+    assert chunking.pieces("aa bb cc", 5) == ["aa bb", "cc"]
+    assert chunking.pieces("a" * 9 + " b", 5) == ["a" * 9, "b"]
+
+
+PAGE = """<html lang="en"><head><title> A  page </title><meta name="description" content="About it"></head><body><nav><a href="/n">N</a></nav>
+<main><h1>Rivers</h1><p>They rose.</p><h2>Where</h2><ul><li>North<li>South</ul><table><tr><th>Author</th><td>Meera Rao, Li Wei</td></tr><tr><th>Published:</th><td>5 March 2024</td></tr><tr><th>Topics</th><td>Water; Land</td></tr></table>
+<a href="../x?utm_source=q">X</a><img src="f.png"></main><footer>Foot</footer></body></html>"""
+
+
+def test_pages_become_sections_and_metadata(spark):
+    d = spark.createDataFrame([(1, "https://x.example/a/b", PAGE), (2, "https://x.example/", None)], "page_id long, url string, html string")
+    r = {x["page_id"]: x for x in html.metadata(html.extract_pages(d)).collect()}
+    assert r[1]["body"] == "# Rivers\nThey rose.\n## Where\n- North\n- South\nAuthor | Meera Rao, Li Wei\nPublished: | 5 March 2024\nTopics | Water; Land\nX"
+    assert (r[1]["title"], r[1]["description"], r[1]["links"], r[1]["figures"]) == ("A page", "About it", ["https://x.example/n", "https://x.example/x"], ["f.png"])
+    assert (r[1]["authors"], r[1]["published"], r[1]["categories"]) == (["Meera Rao", "Li Wei"], "2024-03-05", ["Water", "Land"])
+    assert r[2]["body"] == "" and r[2]["authors"] == []
+    assert chunking.split_sections(r[1]["body"])[1][0] == "Rivers > Where"
+
+
 def test_sections():
     got = chunking.split_sections("intro\n# A\none\n## B\ntwo\n# C\n\nthree")
     assert got == [("", "intro"), ("A", "one"), ("A > B", "two"), ("C", "three")]
