@@ -5,8 +5,7 @@ curve through that grid, rows are put in curve order, and the order is cut into
 written by (shard, slot) then hold small boxes of the metadata space, so a filter on any of the
 dimensions skips most of them by their min/max statistics.
 
-Cut points of a dimension come from a bounded sample (rows are drawn by a hash of their keys so that
-about `sample` are expected); every row is placed.  The law is `rows`: shard sizes differ by one row at most.  Positions are exact without a
+Cut points of a dimension are its distinct values or the quantiles of all rows.  The law is `rows`: shard sizes differ by one row at most.  Positions are exact without a
 global sort: curve cells are split by a hash of doc_id into runs of about `run` rows, so a cell that
 holds a third of all rows is many runs; row numbers within runs, plus running totals of the run
 sizes (cells are bounded by 2^(bits x dimensions)), give each row's place.  Only ids, sizes and
@@ -52,20 +51,34 @@ def hilbert(coords: tuple[int, ...], bits: int) -> int:
     return out
 
 
-def _cuts(values: list, bins: int) -> list:
-    """At most bins - 1 ascending cut points: all distinct values if they are few, else quantiles."""
-    known = sorted(v for v in values if v is not None)
-    distinct = sorted(set(known))
-    if len(distinct) <= bins - 1:
-        return distinct
-    return sorted({known[len(known) * k // bins] for k in range(1, bins)})
+def _cuts(facts: DataFrame, dim: str, bins: int) -> list:
+    """At most bins - 1 ascending cut points of all rows: every distinct value if they are few, else quantiles.
 
-
-def _bin(c: Column, cuts: list) -> Column:
+    Values are counted first (map-side), then summed up in ranges of values, so that no task sees more than its range;
+    `bins` values at most are collected.
+    """
+    counts = facts.where(F.col(dim).isNotNull()).groupBy(F.col(dim).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts)
+    few = counts.limit(bins).collect()
+    if len(few) < bins:
+        return sorted(r["v"] for r in few)
+    ranged = materialise(counts.repartitionByRange("v").withColumn("p", F.spark_partition_id()))
+    start, below = {}, 0
+    for r in ranged.groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect():  # a row for each range
+        start[r["p"]], below = below, below + r["n"]
+    offset = F.element_at(F.create_map(*[F.lit(x) for kv in start.items() for x in kv]), F.col("p"))
+    upto = ranged.withColumn("c", offset + F.sum("n").over(Window.partitionBy("p").orderBy("v")))
+    # the k-th cut is the value at place (rows x k) div bins
+    last, first = F.ceil(F.col("c") * bins / F.lit(below)) - 1, F.ceil((F.col("c") - F.col("n")) * bins / F.lit(below))
+    return sorted(r["v"] for r in upto.where(last >= F.greatest(F.lit(1), first)).select("v").collect())
+
+
+def _bin(c: Column, cuts: list, bits: int) -> Column:
+    """The cell of a value, 0 for null: the cells in use are spread over the whole grid, so that dimensions weigh alike."""
     out = F.lit(0)
     for v in cuts:
         out = out + F.coalesce((c >= F.lit(v)).cast("int"), F.lit(0))
-    return out
+    return F.floor(out * (1 << bits) / F.lit(len(cuts) + 1)).cast("int")
 
 
 def _on_curve(rows: DataFrame, cuts: list[list], dims: list[str], order: list[str], bits: int, parts: int) -> DataFrame:
@@ -77,24 +90,21 @@ def _on_curve(rows: DataFrame, cuts: list[list], dims: list[str], order: list[st
     curve = spark.createDataFrame(cells, "__code int, __cell int")
     code = F.lit(0)
     for k, d in enumerate(dims):
-        code = code + F.shiftleft(_bin(F.col(d), cuts[k]), bits * k)
+        code = code + F.shiftleft(_bin(F.col(d), cuts[k], bits), bits * k)
     placed = rows.withColumn("__code", code).join(F.broadcast(curve), "__code").drop("__code")  # 2^16 rows at most
     return placed.withColumn("__sub", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
 
 
-def curve_shards(rows: DataFrame, facts: DataFrame, dims: list[str], order: list[str], shards: int, bits: int = 4, sample: int = 8192, run: int = 50_000) -> DataFrame:
+def curve_shards(rows: DataFrame, facts: DataFrame, dims: list[str], order: list[str], shards: int, bits: int = 4, run: int = 50_000) -> DataFrame:
     """rows with curve (Hilbert index), shard and slot.
 
-    facts: the columns dims and order of the same rows, as a stored table; the sample, the total and
+    facts: the columns dims and order of the same rows, as a stored table; the cuts, the total and
     the run sizes are taken from it, so that rows itself is read and moved once.
     """
     if bits * len(dims) > 16:
         raise ValueError("the grid is bounded to 2^16 cells")
     total = max(1, facts.count())
-    span = 1 << 40
-    drawn = F.pmod(F.xxhash64(F.lit(3), *order), F.lit(span)) < F.lit(min(span, span * sample // total))
-    seen = facts.where(drawn).select(*dims).collect()  # about `sample` rows
-    cuts = [_cuts([r[k] for r in seen], 1 << bits) for k in range(len(dims))]
+    cuts = [_cuts(facts, d, 1 << bits) for d in dims]
     parts = -(-total // run)
     w = Window.partitionBy("__cell", "__sub").orderBy(*order)
     numbered = _on_curve(rows, cuts, dims, order, bits, parts).withColumn("__rn", F.row_number().over(w) - 1)

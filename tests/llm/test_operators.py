@@ -283,6 +283,37 @@ def test_shards_are_even_and_gapless(spark, sf):
     assert all([s for s, _ in sorted(v)] == list(range(len(v))) for v in by.values())
 
 
+def test_positions_against_a_plain_sort(spark):
+    """Cells by plain quantisation and curve; rows of a cell in the order of its runs; ids null and rows repeated."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(40)]), "x" * rng.randint(0, 60), rng.choice([None, "de", "en", "fr"]), rng.choice([None, "s1", "s2", "s3"]), 1) for _ in range(400)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    got = sharding.shard_documents(d, shards=7).collect()
+    assert sorted(map(str, [tuple(r)[:5] for r in got])) == sorted(map(str, rows))
+    cut = {"lang": ["de", "en", "fr"], "source": ["s1", "s2", "s3"]}
+    sizes = sorted(len(t) + 1 for _, t, *_ in rows)
+    assert len(set(sizes)) > 15
+    size_cuts = sorted({sizes[len(sizes) * k // 16] for k in range(1, 16)})
+    for r in got:
+        at = [sum(r[c] is not None and r[c] >= v for v in cut[c]) * 16 // 4 for c in ("lang", "source")]
+        at = (*at, sum(len(r["text"]) + 1 >= v for v in size_cuts) * 16 // (len(size_cuts) + 1))
+        assert r["curve"] == sharding.hilbert(at, 4)
+    order = sorted(got, key=lambda r: (r["shard"], r["slot"]))
+    assert [r["curve"] for r in order] == sorted(r["curve"] for r in got)
+    counts = [sum(r["shard"] == k for r in got) for k in range(7)]
+    assert max(counts) - min(counts) <= 1
+
+
+def test_shards_prune_every_dimension(spark, sf):
+    """Min/max boxes of the shards: a filter on either dimension skips most of them, unlike shards by hash."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    boxes = sharding.shard_documents(d).groupBy("shard").agg(*[f(c).alias(f"{n}_{c}") for c in ("source", "lang") for n, f in (("lo", F.min), ("hi", F.max))]).collect()
+    for c in ("source", "lang"):
+        values = [r[0] for r in d.select(c).distinct().collect()]
+        read = sum(b[f"lo_{c}"] <= v <= b[f"hi_{c}"] for v in values for b in boxes) / (len(values) * len(boxes))
+        assert read < {"source": 0.5, "lang": 0.7}[c]
+
+
 # ---------------------------------------------------------------- 5
 def counts(t):
     t = t or ""
@@ -689,6 +720,50 @@ def test_words_in_common_bound_the_alignment():
         assert decontaminate.Aligner(seeds, 0.5).score(1, passage)[0] == (s / (2 * len(a)) if 2 * seeds.in_common(1, passage) >= len(a) else 0)
 
 
+def split_words(t):
+    return re.findall("[a-z0-9]+", t.lower())
+
+
+def test_decontamination_against_every_document_and_item(spark):
+    """Plain Smith-Waterman of every document and item; copies with random edits, cuts and stock phrases."""
+    rng, rows = random.Random(11), []
+    items = [(k, prose(2500 + k, rng.choice([12, 25, 40]))) for k in range(6)] + [(6, "of the usual terms that apply " + prose(2600, 20)), (7, "one two")]
+    for k in range(90):
+        w = prose(3500 + k, rng.randint(5, 60)).split() + "of the usual terms that apply".split() * (k % 3 == 0)
+        if k % 2:
+            copy = items[rng.randrange(8)][1].split()[rng.randint(0, 3) :]
+            w[5:5] = [x if rng.random() > rng.choice([0, 0.1, 0.25]) else f"new{k}" for x in copy]
+        rows.append((k, " ".join(w)))
+    rows.append((None, items[0][1]))
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in decontaminate.contaminated(d, b).collect()}
+    for i, t in rows[:-1]:
+        for j, x in items:
+            a, z = split_words(x), split_words(t)
+            score = round(plain_align(a, z) / (2 * len(a)), 9)
+            seeds = {tuple(a[k : k + 4]) for k in range(len(a) - 3)} or {tuple(a)}
+            n = min(4, len(a))
+            seeded = any(tuple(z[k : k + n]) in seeds for k in range(len(z)))
+            assert got.get((i, j)) == (score if score >= 0.5 and seeded else None), (i, j)
+    kept = decontaminate.drop_contaminated(d, b).collect()
+    assert {r["doc_id"] for r in kept} == {i for i, _ in rows[:-1]} - {i for i, _ in got}
+
+
+def test_seed_recall_by_edit_rate():
+    """Share of edited copies of score 0.5 or more that keep a seed: nearly all but of short items."""
+    rng, seen = random.Random(1), {}
+    for size in (12, 40):
+        for rate in (0.1, 0.2):
+            hit = n = 0
+            for _ in range(400):
+                keep = [rng.random() > rate for _ in range(size)]
+                if plain_align(list(range(size)), [k if x else -1 - k for k, x in enumerate(keep)]) >= size:
+                    n += 1
+                    hit += any(all(keep[k : k + 4]) for k in range(size - 3))
+            seen[size, rate] = hit / n
+    assert seen[12, 0.1] > 0.97 and seen[40, 0.2] > 0.99 and seen[12, 0.2] > 0.85
+
+
 def test_line_spread_near_the_threshold(spark):
     rows = []
     for n in range(1, 12):
