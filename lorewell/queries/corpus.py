@@ -130,7 +130,20 @@ def quality_labels(spark: SparkSession, sf: str) -> DataFrame:
     return ascii_ratio(spark, sf).join(table(spark, sf, "labels"), "doc_id").groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("letters"), 6).alias("letters"))
 
 
-@query("quality_score_docs")
+_NOISE = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{80}-\\x{9F}\\x{250}-\\x{2AF}\\x{300}-\\x{36F}\\x{370}-\\x{3FF}\\x{400}-\\x{4FF}\\x{530}-\\x{5FF}\\x{600}-\\x{6FF}\\x{2500}-\\x{259F}\\x{E000}-\\x{F8FF}\\x{FFFD}]"
+
+
+@query(
+    "quality_score_docs",
+    f"""with u as (select doc_id, 0 as line, coalesce(text, '') as t from documents union all select doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1), unnest(string_split(coalesce(text, ''), chr(10))) from documents),
+k as (select doc_id, line, unnest(regexp_split_to_array(t, '\\s+')) as w from u),
+f as (select *, length(w) as n, length(regexp_replace(w, '[\\x00-\\x7F]', '', 'g')) as far from k),
+g as (select doc_id, line, sum(n) as bad from f where regexp_matches(w, '{_NOISE}') or (regexp_matches(w, '\\pL') and (regexp_matches(regexp_replace(w, '[\\x00-\\x7F]', ' ', 'g'), '\\pL{{4}}')
+  or (n >= 5 and far / n >= 0.4::double and not regexp_matches(w, '[aeiouAEIOU]')) or (n >= 6 and far / n >= 0.5::double))) group by all),
+q as (select u.*, length(regexp_replace(t, '\\s+', '', 'g')) as total, coalesce(bad, 0) as bad, length(t) - length(regexp_replace(t, '{_NOISE}', '', 'g')) as noise from u left join g using (doc_id, line)),
+s as (select doc_id, line, t, case when total = 0 then 1.0::double else greatest(0.0::double, least(1 - bad / total::double, 1 - least(1.0::double, noise / greatest(1, length(t))::double * 4))) end as quality from q)
+select doc_id, round(max(quality) filter (line = 0), 6) as quality, (count(*) filter (line > 0 and quality < 0.5 and trim(t) <> ''))::int as dropped_lines from s group by doc_id""",
+)
 def quality_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", F.round(text.quality_score("text"), 6).alias("quality"), F.size(text.dropped_lines("text")).alias("dropped_lines"))
 

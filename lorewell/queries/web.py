@@ -111,7 +111,16 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return _pages(spark, sf).select("page_id", F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).cast("long").alias("n_links"))
 
 
-@query("page_body_text")
+_MAIN = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
+_FLAT = f"regexp_replace(regexp_replace(regexp_replace({_MAIN}, '<h1[^>]*>', chr(10) || '# ', 'g'), '</?(p|br|div|h1|article)[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+_LINES = f"list_filter(list_transform(string_split(regexp_replace(replace({_FLAT}, '&quot;', '\"'), '&amp;?', '&', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x <> '')"
+
+
+@query(
+    "page_body_text",
+    f"""with l as (select page_id, html, {_LINES} as l from pages), b as (select page_id, html, array_to_string(list_filter(l, lambda x, i: i = 1 or x <> l[i - 1]), chr(10)) as body from l)
+select page_id, length(body)::int as body_chars, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1)))::int as n_links, len(regexp_extract_all(html, '<h[1-3]'))::int as n_headings, substr(sha256(body), 1, 24) as body_hash from b""",
+)
 def page_body(spark: SparkSession, sf: str) -> DataFrame:
     r = html.extract_pages(_pages(spark, sf))
     return r.select("page_id", F.length("body").alias("body_chars"), F.size("links").alias("n_links"), F.size("headings").alias("n_headings"), text.content_hash("body").alias("body_hash"))

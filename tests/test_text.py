@@ -1,10 +1,13 @@
+import hashlib
 import random
 import re
 import time
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lorewell import catalog
 from lorewell.functions import citations, html, mojibake, text, urls
 from lorewell.operators import chunking
 
@@ -220,6 +223,48 @@ def test_chunks_are_unique_and_numbered(spark):
     assert max(len(r["text"]) for r in rows) <= 1200
 
 
+def plain_chunks(t, least=60):
+    """Sections, sentences, packing and quality of one text, restated."""
+    t = re.sub(r"[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", (t or "").replace("\r\n", "\n"))).strip()
+    lines = [x for x in t.split("\n") if not x.strip() or plain_quality(x) >= 0.5]
+    t = re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *", "\n", re.sub("[ \t\u00a0]+", " ", "\n".join(lines)))).strip()
+    path, parts = {}, [("", [])]
+    for x in t.split("\n"):
+        m = re.match(r"(#{1,6})\s+(.+)$", x.strip())
+        if m:
+            path = {k: v for k, v in path.items() if k < len(m[1])} | {len(m[1]): m[2].strip()}
+            parts.append((" > ".join(v for _, v in sorted(path.items())), []))
+        else:
+            parts[-1][1].append(x)
+    parts = [(h, "\n".join(b).strip()) for h, b in parts]
+    out = []
+    for h, b in [p for p in parts if p[1]] or [("", t)]:
+        sents = [x.strip() for x in re.split(r"\n+|(?<=[.!?])\s+", re.sub(r"[ \t]+", " ", b)) if x.strip()]
+        out += [(h, c) for c in plain_pack(sents, 1000, 200, least) if plain_quality(c) >= 0.5]
+    return out
+
+
+def test_chunk_queries_against_the_plain_rules(spark, sf):
+    d = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {}
+    for r in catalog.QUERIES["chunk_pack_overlap"](spark, sf).collect():
+        got.setdefault(r["doc_id"], []).append((r["chunk_index"], r["heading_path"], r["n_chars"], r["chunk_md5"], r["chunk_id"]))
+    for i, r in d.items():
+        want = [(k, h, len(c), hashlib.md5(c.encode()).hexdigest(), f"{i}_c{k}") for k, (h, c) in enumerate(plain_chunks(r["text"]))]
+        assert sorted(got.get(str(i), [])) == want
+    norm = lambda x: " ".join(x.split()).lower()
+    count = Counter(n for r in d.values() for n in {norm(x) for x in (r["text"] or "").split("\n")} if len(n) >= 40)
+    first = {}
+    for i in sorted(map(str, d)):
+        r = d[int(i)]
+        body = "\n".join(x for x in (r["text"] or "").split("\n") if count[norm(x)] < 12)
+        for k, (h, c) in enumerate(plain_chunks(body)):
+            head = "\n".join(f"{label}: {v}" for label, v in (("Title", r["source"].capitalize()), ("Category", r["lang"]), ("Section", h)) if v)
+            first.setdefault(hashlib.sha256(f"{head}\n\n{c}".encode()).hexdigest()[:24], (i, f"{i}_c{k}", k, len(head)))
+    got = {r["chunk_hash"]: (r["document_id"], r["chunk_id"], r["chunk_index"], r["header_chars"]) for r in catalog.QUERIES["chunk_ids_hashes"](spark, sf).collect()}
+    assert got == first
+
+
 def test_pdf_pages_keep_their_numbers(spark):
     page = " ".join(f"Words of line {k} are here." for k in range(10))
     d = spark.createDataFrame([("p", "x", [(1, page), (2, page + " More.")])], "document_id string, text string, pdf_pages array<struct<page_number:int,text:string>>")
