@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -157,38 +159,60 @@ def search_text(header: Column | str, body: Column | str) -> Column:
 
 
 # Characters that clean text does not hold (controls, IPA, stray marks, Greek to Arabic, boxes, private use).
-NOISE = (
+_NOISE = (
     "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x80-\\x9F\\u0250-\\u02AF\\u0300-\\u036F\\u0370-\\u03FF\\u0400-\\u04FF"
     "\\u0530-\\u05FF\\u0600-\\u06FF\\u2500-\\u259F\\uE000-\\uF8FF\\uFFFD]"
 )
+#: The same, reached only from characters that are not plain ASCII text, so that such text is passed over at the speed of one test.
+NOISE = r"[^\x09\x0A\x0D\x20-\x7E](?<=" + _NOISE + ")"
 
 
+_GAP = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"  # WHITE as a class
+_INK = "[^" + _GAP[1:]
 #: Two characters beyond ASCII that are four apart at most in one token, or noise: garbage_token() holds only for tokens
 #: with this, so texts, lines and tokens without it need no closer look.
-SUSPECT = r"[^\x00-\x7F](?U)\S{0,3}[^\x00-\x7F]|" + NOISE
+SUSPECT = r"[^\x00-\x7F]" + _INK + r"{0,3}[^\x00-\x7F]|" + NOISE
 
 
-def garbage_token(t: Column) -> Column:
-    """Whether a token is unrecoverable extraction noise."""
+def _odd_letters(t: Column) -> Column:
+    """Four letters beyond ASCII in a row, or a large share of characters beyond ASCII."""
     n, foreign = F.length(t), F.length(F.regexp_replace(t, r"[\x00-\x7F]", ""))
     long_run = t.rlike(r"[\p{L}&&[^\x00-\x7F]]{4}")
     no_vowel = (n >= 5) & (foreign / n >= 0.4) & ~t.rlike("[aeiouAEIOU]")
     mostly = (n >= 6) & (foreign / n >= 0.5)
-    return t.rlike(NOISE) | (t.rlike(r"\p{L}") & (long_run | no_vowel | mostly))
+    return t.rlike(r"\p{L}") & (long_run | no_vowel | mostly)
+
+
+def garbage_token(t: Column) -> Column:
+    """Whether a token is unrecoverable extraction noise."""
+    return t.rlike(NOISE) | _odd_letters(t)
+
+
+def _may_be_odd(t: Column) -> Column:
+    """What _odd_letters() needs, from sizes alone: a character beyond ASCII has at least one byte more."""
+    more = F.octet_length(t) - F.length(t)
+    return (more >= 4) | ((more >= 2) & (more >= 0.4 * F.length(t)))
 
 
 def quality_score(c: Column | str) -> Column:
     """1 for clean text, towards 0 as garbage tokens or noise characters take over.
 
-    The text is cut at white space once and every token is looked at once, so a long token costs its length.
+    The text is cut at white space once and every token is looked at once, so a long token costs its length; where the
+    text has no noise characters, most tokens are settled by their sizes.
     """
     t = text_or_empty(c)
-    tokens = F.split(t, r"(?U)\s+")
-    bad = F.aggregate(F.filter(tokens, lambda x: x.rlike(SUSPECT) & garbage_token(x)), F.lit(0), lambda a, x: a + F.length(x))
-    total = F.length(F.regexp_replace(t, r"(?U)\s+", ""))
+    tokens = F.split(t, _GAP + "+")
+
+    def size(which: Callable[[Column], Column]) -> Column:
+        return F.aggregate(F.filter(tokens, which), F.lit(0), lambda a, x: a + F.length(x))
+
+    total = F.length(F.translate(t, WHITE, ""))
+    odd = size(lambda x: _may_be_odd(x) & _odd_letters(x))
+    clean = F.greatest(F.lit(0.0), 1.0 - odd / F.nullif(total, F.lit(0)))
     noise = F.length(t) - F.length(F.regexp_replace(t, NOISE, ""))
     penalty = F.least(F.lit(1.0), noise / F.greatest(F.lit(1), F.length(t)) * 4.0)
-    return F.when(~t.rlike(SUSPECT) | (total == 0), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(1.0 - bad / F.nullif(total, F.lit(0)), 1.0 - penalty)))
+    noisy = F.greatest(F.lit(0.0), F.least(1.0 - size(garbage_token) / F.nullif(total, F.lit(0)), 1.0 - penalty))
+    return F.when(~t.rlike(SUSPECT) | (total == 0), 1.0).when(t.rlike(NOISE), noisy).otherwise(clean)
 
 
 def _is_bad_line(x: Column) -> Column:
