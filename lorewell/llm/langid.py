@@ -16,8 +16,9 @@ once, as dense tables over the bytes that a language has, and runs many texts th
 Python code runs per character.
 
 Whole texts are parsed.  A text longer than SEGMENT bytes is parsed in segments side by side: greedy
-parses that start at different places soon end a phrase at the same one, so each segment is parsed from its first
-byte, then again from where the segment before really ended, until no end moves.  The result is the
+parses that start at different places soon end a phrase at the same one, so a parse that starts WARM bytes before
+a segment mostly tells where its first phrase begins.  Segments that do not begin where the one before
+really ended are parsed again from there, until none is left, so the result is always the
 parse of the whole text (tested against a plain loop).
 
 `score` is the winner's share of 2^(-cost / SPREAD): phrases of one text are not independent draws, so bits are
@@ -41,7 +42,9 @@ from pyspark.sql import types as T
 
 from lorewell.llm.base import add_columns, buffers, held_out, row_blocks
 
-SEGMENT = 512
+SEGMENT = 1024
+#: Bytes before a segment at which a parse starts that finds out where the segment's first phrase begins.
+WARM = 64
 LANES = 4096
 SPREAD = 8
 TABLE_BYTES = 256 << 20
@@ -241,6 +244,8 @@ def phrase_counts(model: LanguageModel, data: np.ndarray, off: np.ndarray) -> tu
     for k, a in enumerate(_tables(model)):
         coded = a.code[text]
         start = first.copy()
+        early = np.maximum(edge[owner[follows]], first[follows] - WARM)
+        start[follows] = _run(a.flat, coded, early, first[follows], stop[follows])[1]
         count, leave = _run(a.flat, coded, start, end, stop)
         while True:
             moved = follows[start[follows] != leave[follows - 1]]
