@@ -174,6 +174,36 @@ def mojibake_repair(spark: SparkSession, sf: str) -> DataFrame:
     return mojibake.clean_column(d, "text", "doc_id").select("doc_id", F.md5(F.col("text").cast("binary")).alias("fixed_md5"))
 
 
+@query(
+    "clean_records",
+    """select doc_id, md5(coalesce(text, '')) as text_md5, lang || ' café' as note, 'https://x.example/é' || doc_id as url, lang || '|é|' || source as tags from (select * replace (trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ') as text) from documents)""",
+)
+def clean_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Broken text, URLs and list items; a third of the texts is sound."""
+    from lorewell.functions import mojibake
+
+    d = _docs(spark, sf).select(
+        "doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(_broken(F.col("text"))).alias("text"), F.concat("lang", F.lit(" cafÃ©")).alias("note"),
+        F.concat(F.lit(" https://x.example/Ã©"), "doc_id", F.lit(" ")).alias("url"), F.array("lang", F.lit("Ã©"), "source").alias("tags"),
+    )
+    return mojibake.clean_records(d).select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "note", "url", F.array_join("tags", "|").alias("tags"))
+
+
+@query(
+    "chunk_base_metadata",
+    """select doc_id::varchar as document_id, case when doc_id % 2 = 0 then 'Untitled' else upper(source) end as title, case when doc_id % 5 = 0 then 'local' else source end as source, substr(coalesce(text, ''), 1, 400) as description, lang || '|' || source as authors, lang as author, 'Website' as source_name,
+'2024-01-02' as date, 'blog' as document_type, 'public' as access, 'editor' as role, case when doc_id % 2 = 0 then '' else 'Title: ' || upper(source) || chr(10) end || 'Author: ' || lang || ', ' || source || chr(10) || 'Published: 2024-01-02' || chr(10) || 'Type: blog' || chr(10) || 'Source: Website' as meta_header from documents""",
+)
+def base_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("doc_id")
+    d = _docs(spark, sf).select(
+        k.cast("string").alias("id"), F.when(k % 2 == 1, F.upper("source")).alias("title"), F.when(k % 5 != 0, F.col("source")).otherwise("").alias("source"), F.col("text").alias("description"), F.array("lang", "source").alias("authors"),
+        F.lit("Website").alias("source_name"), F.lit("2024-01-02").alias("publication_date"), F.lit("blog").alias("content_type"), F.lit("editor").alias("role"),
+    )
+    out = chunking.base_metadata(d)
+    return out.select("document_id", "title", "source", "description", F.array_join("authors", "|").alias("authors"), "author", "source_name", "date", "document_type", "access", "role", "meta_header")
+
+
 @query("doc_counts_by_source", "select source, count(*) as n from documents group by source")
 def by_source(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.counts(_docs(spark, sf), "source")

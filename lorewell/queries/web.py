@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorewell import schema as C
 from lorewell.functions import html, text, urls
 from lorewell.operators import linkgraph
+from lorewell.plans import crawl
 from lorewell.queries.registry import query
 from lorewell.sources.readers import table
 
@@ -234,3 +235,39 @@ def audit_orphans(spark: SparkSession, sf: str) -> DataFrame:
 @query("crawl_outcomes", f"with {_LOG} select kind, outcome, count(*) as n, count(*) filter (broken) as broken from r group by all")
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return linkgraph.outcomes(_log(spark, sf))
+
+
+_RULES = crawl.Site("x.example", never_follow=("/draft",), never_keep=("/old/",), only_keep=("/en/", "/blogs"), oped_listings=("/pages/news/",), min_text=900)
+_LINK = "'https://' || case when page_id % 5 = 0 then 'y.example' else 'www.x.example' end || case page_id % 7 when 0 then '/en/a' when 1 then '/Draft/en/' when 2 then '/blogs/old/p' when 3 then '/en/logo.png' when 4 then '/en/doc.pdf' when 5 then '/en/reports/' else '/pages/news' end"
+
+
+def _links(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("page_id")
+    tail = F.element_at(F.array(*map(F.lit, ("/en/a", "/Draft/en/", "/blogs/old/p", "/en/logo.png", "/en/doc.pdf", "/en/reports/", "/pages/news"))), (k % 7 + 1).cast("int"))
+    return _pages(spark, sf).select("page_id", F.concat(F.lit("https://"), F.when(k % 5 == 0, "y.example").otherwise("www.x.example"), tail).alias("link"))
+
+
+@query("crawl_rules", f"select page_id, {_LINK} as link, page_id % 5 <> 0 and page_id % 7 in (0, 2, 5, 6) as follow, page_id % 7 in (0, 1, 3, 4) as keep, page_id % 7 = 6 as oped_listing from pages")
+def crawl_rules(spark: SparkSession, sf: str) -> DataFrame:
+    d, u = _links(spark, sf), F.col("link")
+    return d.select("page_id", "link", crawl.follow(u, _RULES).alias("follow"), crawl.keep(u, F.lit("A page"), _RULES).alias("keep"), crawl.is_oped_listing(u, _RULES).alias("oped_listing"))
+
+
+@query("page_outcomes", f"select page_id, case when page_id % 7 not in (0, 1, 3, 4) then 'navigation_page' when length(html) < 900 and page_id % 4 <> 1 then 'too_short' else 'document' end as outcome, length(html)::int as chars from pages")
+def page_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    p = _pages(spark, sf).select("page_id", F.concat("html", F.lit("\n Download Document ")).alias("body")).join(_links(spark, sf), "page_id")
+    d = p.select("page_id", F.col("link").alias("url"), F.lit("A page").alias("title"), "body", F.when(F.col("page_id") % 4 == 1, "person").otherwise("page").alias("content_type"))
+    return crawl.page_outcomes(d, _RULES).select("page_id", "outcome", F.length("body").alias("chars"))
+
+
+_OPED = "'Op-ed / media article: ' || 'T' || page_id || chr(10) || 'Authors: Meera Rao' || case when page_id % 2 = 0 then ', Li Wei' else '' end || case when page_id % 3 = 0 then chr(10) || 'Published in: The Paper' else '' end || chr(10) || 'Date: 2024-01-02' || case when page_id % 4 = 0 then '' else chr(10) || 'Topics: Trade' end || chr(10) || 'Listed on: https://x.example/pages/news'"
+
+
+@query("oped_documents", f"select 'website_oped_' || substr(sha256(url), 1, 16) as document_id, url, md5({_OPED}) as text_md5, substr(sha256({_OPED} || chr(10) || url), 1, 24) as content_hash from pages where page_id % 6 <> 5")
+def oped_documents(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("page_id")
+    e = _pages(spark, sf).select(
+        F.when(k % 6 != 5, F.concat(F.lit("T"), k)).alias("title"), "url", F.when(k % 2 == 0, F.array(F.lit("Meera Rao"), F.lit("Li Wei"))).otherwise(F.array(F.lit("Meera Rao"))).alias("authors"), F.when(k % 3 == 0, "The Paper").alias("outlet"),
+        F.lit("2024-01-02").alias("date"), F.when(k % 4 != 0, F.array(F.lit("Trade"))).alias("categories"), F.lit("https://x.example/pages/news").alias("listing"),
+    )
+    return crawl.oped_documents(e, _RULES).select("document_id", "url", F.md5(F.col("text").cast("binary")).alias("text_md5"), "content_hash")
