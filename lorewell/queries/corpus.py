@@ -259,10 +259,10 @@ def header(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "explorer_filter",
-    "select doc_id from documents where regexp_matches(text, '(?i)heation') and source = 'src3'",
+    "select doc_id from documents where regexp_matches(text, '(?i)th[aeiou]') and source = 'src3'",
 )
 def explorer(spark: SparkSession, sf: str) -> DataFrame:
-    return analytics.explorer(_docs(spark, sf).withColumn("title", F.lit("")), q="heation", source="src3").select("doc_id")
+    return analytics.explorer(_docs(spark, sf).withColumn("title", F.lit("")), q="th[aeiou]", source="src3").select("doc_id")
 
 
 # ------------------------------------------------------------- validation
