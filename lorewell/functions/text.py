@@ -56,6 +56,11 @@ def claim_token_set(c: Column | str) -> Column:
     return F.array_distinct(claim_tokens(c))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body uses it (also inside lambdas)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def url_hash(c: Column | str) -> Column:
     return F.substring(F.sha2(F.trim(col(c)), 256), 1, 16)
 
