@@ -169,7 +169,7 @@ def gradients(params: list[np.ndarray], idx: np.ndarray, start: np.ndarray, size
 
 
 def train(bucket: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 8, steps: int = 240, batch: int = 64, rate: float = 0.01, drop: float = 0.2, decay: float = 1e-3, seed: int = 1) -> ToxicModel:
-    """Adam on the convolutional classifier, for `epochs` rounds and `steps` batches at least; both classes weigh the same."""
+    """Adam on the convolutional classifier, for `epochs` rounds and about `steps` batches more; both classes weigh the same."""
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (V + 1, DIM))
     emb[PAD] = 0
@@ -180,7 +180,7 @@ def train(bucket: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 8, st
     mean, var = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     step = 0
-    for _ in range(max(epochs, -(-steps * batch // len(y)))):
+    for _ in range(epochs + -(-steps * batch // len(y))):
         order = rng.permutation(len(y))
         for lo in range(0, len(order), batch):
             rows = order[lo : lo + batch]
@@ -220,12 +220,11 @@ def cuts_of(score: np.ndarray, group: np.ndarray, y: np.ndarray) -> dict[str, fl
     return cuts
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, epochs: int = 8, cross_below: int = 2000) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, epochs: int = 8) -> ToxicModel:
     """The classifier, fitted on a bounded labelled sample, and its cuts.
 
-    The cuts come from rows that the model which scores them has not seen: a fifth of the sample that
-    the fit leaves out, or with fewer than `cross_below` rows all of them, each scored by one of five models that leave its fifth
-    out (the classifier itself is then fitted on all).
+    At every size the cuts come from all rows of the sample, each scored by one of five models that leave its fifth
+    out; the classifier itself is fitted on all.
     """
     rows = labelled_sample(docs, labels, "toxic", per_class)
     y = np.array([r["y"] for r in rows], float)
@@ -242,15 +241,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, epochs: int =
         return own, np.r_[0, np.cumsum([at[i + 1] - at[i] for i in which])].astype(np.int64)
 
     fold, score = np.arange(len(y)) % 5, np.full(len(y), np.nan)
-    cross = len(y) < cross_below
-    for k in range(5) if cross else [4]:
+    for k in range(5):
         mine, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
         if len(mine) and len(rest):
-            model = train(*part(rest), y[rest], epochs)
-            score[mine] = raw_score(model, *part(mine))
-    if cross:
-        model = train(bucket, at, y, epochs)
-    seen = ~np.isnan(score)
+            score[mine] = raw_score(train(*part(rest), y[rest], epochs), *part(mine))
+    model, seen = train(bucket, at, y, epochs), ~np.isnan(score)
     model.cuts = cuts_of(score[seen], group[seen], y[seen])
     return model
 

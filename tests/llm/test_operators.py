@@ -481,6 +481,20 @@ def test_toxicity_on_few_labelled_rows(spark):
     assert got[1][0] / got[1][1] > 0.6 and got[0][0] / got[0][1] < 0.1
 
 
+def test_toxicity_cuts_come_from_all_rows_at_every_size(spark, monkeypatch):
+    seen, rounds = {}, []
+    train, cuts = toxicity.train, toxicity.cuts_of
+    monkeypatch.setattr(toxicity, "train", lambda bucket, at, y, epochs: rounds.append(len(y)) or train(bucket, at, y, epochs, steps=1))
+    monkeypatch.setattr(toxicity, "cuts_of", lambda score, group, y: seen.update({len(score): len(y)}) or cuts(score, group, y))
+    for n in (60, 3000):  # about a quarter is held out
+        rows = [(k, "the vile one" if k % 2 else "the kind one", "en", "s", 1) for k in range(n)]
+        d, l = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(k, 1, k % 2) for k in range(n)], "doc_id long, quality int, toxic int")
+        learned = n - d.where(held_out()).count()
+        rounds.clear()
+        toxicity.fit(d, l, epochs=0)
+        assert learned in seen and rounds == [learned - len(range(k, learned, 5)) for k in range(5)] + [learned]
+
+
 def test_cotraining_on_held_out_rows(spark):
     d, l = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     m = cotraining.fit(d, l)
