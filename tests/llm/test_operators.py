@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import compare
-from lorewell.llm import bitslice, catalog, components, cotraining, decontaminate, gbt, langid, licenses, linedup, mixing, quality_rules, sharding, simhash, toxicity
+from lorewell.llm import bitslice, catalog, components, cotraining, decontaminate, gbt, langid, learning, licenses, linedup, mixing, quality_rules, sharding, simhash, toxicity
 from lorewell.llm.base import held_out
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -558,6 +558,46 @@ def test_quality_verdict_against_plain_python(spark):
         assert got[r["doc_id"]]["kept"] == (not failed and got[r["doc_id"]]["quality_score"] >= rules.cut)
 
 
+def test_quality_rules_learn_from_all_labelled_rows(spark, monkeypatch):
+    """More rows of a class than any sample held, an id with two texts, a very long text: forest and cut of plain numpy over all of them."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice(WORDS) + rng.choice(["", "", "!", "7"]) for _ in range(rng.randint(1, 90))), "en", "s", 1) for k in range(6500)]
+    rows += [(0, "another text of the same id", "en", "s", 1), (0, "another text of the same id", "en", "s", 1), (1, None, "en", "s", 1), (6500, "long " * 210_000, "en", "s", 1)]
+    lab = [(k, 0 if k % 9 == 0 or rng.random() < 0.02 else 1, 0) for k in range(6501)]
+    d, l = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(lab, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality_rules, "boost", lambda *a: gbt.boost(*a, trees=4), raising=False)
+    rules = quality_rules.fit(d.repartition(5), l)
+
+    ids = {r["doc_id"]: r["test"] for r in l.where(~held_out()).select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 4).alias("test")).collect()}
+    own = sorted({(r[0], r[1] or "") for r in rows if r[0] in ids})
+    x = quality_rules.statistics(pa.array([t for _, t in own]))[1]
+    y, test = np.array([lab[k][1] for k, _ in own], float), np.array([ids[k] for k, _ in own])
+    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * len(y)
+    plain = gbt.fit_forest(x[~test], y[~test], weight[~test], quality_rules.MONOTONE, trees=4)
+    assert (y == 1).sum() > 4200 and np.array_equal(rules.forest.feature, plain.feature) and np.array_equal(rules.forest.left, plain.left)
+    assert np.allclose(rules.forest.cut, plain.cut, rtol=1e-12) and np.allclose(rules.forest.value, plain.value, rtol=1e-9, atol=1e-12)
+    good = np.sort(plain.score(x[test & (y == 1)]))
+    assert abs(rules.cut - min(0.2, good[int(len(good) * 0.002)])) < 1e-9
+
+
+def test_quality_rules_learn_from_very_long_texts(spark, monkeypatch):
+    """All bad texts have more than a million characters."""
+    monkeypatch.setattr(quality_rules, "boost", lambda *a: gbt.boost(*a, trees=4), raising=False)
+    d = spark.range(100).select(F.col("id").alias("doc_id"), F.expr("if(id % 2 = 0, repeat('bad! word ', 100001), 'a good text of seven words here')").alias("text"))
+    rules = quality_rules.fit(d, spark.range(100).selectExpr("id as doc_id", "cast(id % 2 as int) as quality"))
+    bad, good = rules.forest.score(quality_rules.statistics(pa.array(["bad! word " * 100_001, "a good text of seven words here"]))[1])
+    assert bad < 0.5 < good
+
+
+def test_order_statistics_against_sorting(spark):
+    rng = np.random.default_rng(4)
+    x = np.stack([rng.normal(0, 1, 700).round(2), 10.0 ** rng.integers(-300, 300, 700) * rng.choice([-1, 1], 700), np.where(rng.random(700) < 0.9, 0.0, -0.0)], axis=1)
+    df = spark.createDataFrame([(r.tobytes(),) for r in x], "x binary").repartition(3)
+    ranks, q = np.array([0, 1, 350, 698, 699]), np.linspace(0, 1, 13)
+    assert np.array_equal(learning.order_statistics(df, quality_rules._x, 3, ranks), np.sort(x, axis=0)[ranks].T)
+    assert np.allclose(learning.quantiles(df, quality_rules._x, 3, 700, q), np.quantile(x, q, axis=0).T, rtol=1e-12)
+
+
 # ---------------------------------------------------------------- 4, 6, 7, 9
 def test_licenses(spark):
     t = [
