@@ -9,9 +9,10 @@ from lorewell.functions.text import first_text, text_or_empty
 
 
 def classify(state: DataFrame, seen: DataFrame, key: str = "url", hash_col: str = "content_hash") -> DataFrame:
-    """key and change: new, unchanged, modified, or missing from this run."""
-    a, b = state.select(key, F.col(hash_col).alias("old")), seen.select(key, F.col(hash_col).alias("new"))
-    change = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "missing").when(F.col("old") == F.col("new"), "unchanged").otherwise("modified")
+    """key and change: new, unchanged, modified, or missing from this run; a row without a hash is there, but equals none."""
+    there = F.lit(True)
+    a, b = state.select(key, F.col(hash_col).alias("old"), there.alias("was")), seen.select(key, F.col(hash_col).alias("new"), there.alias("is"))
+    change = F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "missing").when(F.col("old") == F.col("new"), "unchanged").otherwise("modified")
     return b.join(a, key, "full").select(key, change.alias("change"))
 
 

@@ -133,11 +133,11 @@ def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     path = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
     first = d.where("lang <> 'es'").select(F.col("doc_id").cast("string").alias("doc_id"), text.content_hash("text").alias("content_hash"))
-    first.coalesce(1).write.mode("append").parquet(path)
-    detector = streams.detect_changes(spark.readStream.schema(first.schema).parquet(path), "doc_id", "content_hash")
+    first.write.mode("append").parquet(path)
+    detector = streams.detect_changes(spark.readStream.schema(first.schema).parquet(path), "doc_id", "content_hash", "versions")
     now = F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    d.select(F.col("doc_id").cast("string").alias("doc_id"), text.content_hash(now).alias("content_hash")).coalesce(1).write.mode("append").parquet(path)
-    detector.run(spark.readStream.schema(first.schema).parquet(path))
+    d.select(F.col("doc_id").cast("string").alias("doc_id"), text.content_hash(now).alias("content_hash")).write.mode("append").parquet(path)
+    detector.run(spark.readStream.schema(first.schema).parquet(path), "versions")
     return detector.log().select("doc_id", "change")
 
 

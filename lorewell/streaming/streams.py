@@ -24,10 +24,13 @@ def read(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | Non
     return r.parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def run(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
-    """Drains a stream; without a sink, appends to a table in the shared folder and returns it."""
+def run(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None] | None = None, where: str | None = None) -> DataFrame | None:
+    """Drains a stream; without a sink, appends to a table in the shared folder and returns it.
+
+    where: the folder of an earlier run of the same stream, which goes on with what is new since.
+    """
     spark = stream.sparkSession
-    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    where = where or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/state").trigger(availableNow=True)
     if sink is not None:
         w.foreachBatch(sink).start().awaitTermination()
@@ -65,6 +68,8 @@ def dedup(rows: DataFrame, key: str) -> DataFrame:
 class ChangeTable:
     """Keyed state (key -> hash) merged batch by batch; the change log is append-only.
 
+    Rows of a batch have no order, so of several hashes of a key within one batch the greatest stands; none counts as "".
+
     Every batch writes a new version of the state, named by its place and by what wrote it, in the shared folder; the newest one is
     found there, so a restart goes on from it.  A batch that is tried again after a failure starts from the version before its own.
     """
@@ -96,24 +101,24 @@ class ChangeTable:
         """Merge a batch; tag: what names it again when it is tried again."""
         before = [v for v in self.versions() if not v.endswith(f"-{tag}")]
         old = self._read(before[-1] if before else None)
-        seen = batch.select(F.col(self.key).cast("string").alias(self.key), self.hash_col).dropDuplicates([self.key])
+        seen = batch.groupBy(F.col(self.key).cast("string").alias(self.key)).agg(F.coalesce(F.max(self.hash_col), F.lit("")).alias(self.hash_col))
         change = incremental.classify(old, seen, self.key, self.hash_col).where("change in ('new', 'modified')")
         change.write.mode("overwrite").parquet(f"{self.where}/log/batch={len(before):08d}-{tag}")
         merged = incremental.merge(old, seen, self.spark.createDataFrame([], self.schema), self.key)
         merged.write.mode("overwrite").parquet(f"{self.where}/state/{len(before):08d}-{tag}")
 
-    def run(self, rows: DataFrame) -> None:
-        """Drain a stream of (key, hash) rows into the table."""
-        name = uuid.uuid4().hex
-        run(rows, "append", lambda batch, n: self.apply(batch, f"{name}.{n}"))
+    def run(self, rows: DataFrame, name: str | None = None) -> None:
+        """Drain a stream of (key, hash) rows into the table; a stream that is named again goes on where it ended."""
+        tag = name or uuid.uuid4().hex
+        run(rows, "append", lambda batch, n: self.apply(batch, f"{tag}.{n}"), f"{self.where}/streams/{tag}")
 
     def log(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.where}/log")
 
 
-def detect_changes(rows: DataFrame, key: str, hash_col: str) -> ChangeTable:
+def detect_changes(rows: DataFrame, key: str, hash_col: str, name: str | None = None) -> ChangeTable:
     table = ChangeTable(rows.sparkSession, key, hash_col)
-    table.run(rows)
+    table.run(rows, name)
     return table
 
 

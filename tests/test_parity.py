@@ -4,25 +4,31 @@ import duckdb
 
 import compare
 from lorewell import catalog
+from lorewell.functions import html
+from lorewell.streaming import streams
 
 
-def check(spark, tmp_path, name, **tables):
-    """The query's rows, after comparing them with its SQL's."""
+def tables(path, *names):
     con = duckdb.connect()
     con.sql("set timezone='UTC'")
-    for t, df in tables.items():
-        path = f"{tmp_path}/{t}.parquet"
-        df.write.parquet(path)
-        con.sql(f"create view {t} as select * from '{path}/*.parquet'")
+    for t in names:
+        con.sql(f"create view {t} as select * from '{path}/{t}.parquet/*.parquet'")
+    return con
+
+
+def check(spark, tmp_path, name, **own):
+    """The query's rows, after comparing them with its SQL's."""
+    for t, df in own.items():
+        df.write.mode("overwrite").parquet(f"{tmp_path}/{t}.parquet")
     got = catalog.QUERIES[name](spark, str(tmp_path))
-    names, want = compare.sql_rows(con, catalog.ORACLE_SQL[name])
+    names, want = compare.sql_rows(tables(tmp_path, *own), catalog.ORACLE_SQL[name])
     assert sorted(got.columns) == names
     assert compare.rows(got) == want
     return got
 
 
-def pages(spark, *html, url="https://x.example/a"):
-    return spark.createDataFrame([(k, url, h) for k, h in enumerate(html)], "page_id long, url string, html string")
+def pages(spark, *bodies, url="https://x.example/a"):
+    return spark.createDataFrame([(k, url, h) for k, h in enumerate(bodies)], "page_id long, url string, html string")
 
 
 TITLES = [
@@ -47,3 +53,31 @@ def test_same_site_needs_a_url_that_can_be_fetched(spark, tmp_path):
 def test_body_with_cut_references(spark, tmp_path):
     cut = "<html><article><h1>Token = &quot</h1><p>One &quo &a &am two &amp three &ampfour &amp;quot; &quot;five&quot; &quotsix; <br>AT&T; R&D</p></article><footer>&copy; x</footer></html>"
     check(spark, tmp_path, "page_body_text", pages=pages(spark, cut))
+
+
+def test_pages_keep_all_links_and_figures(spark, tmp_path):
+    many = "<article><p>x</p>" + "".join(f'<a href="/l{k}">l</a><img src="f{k}.png">' for k in range(500)) + "</article>"
+    p = pages(spark, many)
+    assert check(spark, tmp_path, "page_body_text", pages=p).first()["n_links"] == 500
+    assert len(html.extract_pages(p).first()["figures"]) == 500
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(k, *r, len(r[0] or "")) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_changes_of_documents_without_text(spark, tmp_path):
+    rows = [(f"text {k}", ("fr", "en", "es", None)[k % 4], "s") for k in range(40)] + [(None, lang, "s") for lang in ("fr", "en", "es")]
+    d = documents(spark, rows)
+    check(spark, tmp_path, "stream_change_detect", documents=d)
+    check(spark, tmp_path, "change_classification", documents=d)
+
+
+def test_a_named_stream_goes_on_where_it_ended(spark, tmp_path):
+    path, kind = str(tmp_path / "in"), "k string, h string"
+    spark.createDataFrame([(f"k{i}", f"a{i}") for i in range(500)], kind).coalesce(1).write.parquet(path)
+    t = streams.detect_changes(spark.readStream.schema(kind).parquet(path), "k", "h", "s")
+    spark.createDataFrame([("k1", "Z")], kind).coalesce(1).write.mode("append").parquet(path)
+    t.run(spark.readStream.schema(kind).parquet(path), "s")
+    assert [tuple(r) for r in t.log().where("change = 'modified'").select("k", "change").collect()] == [("k1", "modified")]
+    assert t.state().where("k = 'k1'").first()["h"] == "Z" and t.state().count() == 500
