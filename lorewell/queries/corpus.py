@@ -103,21 +103,16 @@ def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "near_dup_token_overlap",
     """with d as (select doc_id, source, list_distinct(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) as t from documents)
-select q.doc_id as query_id, d.doc_id, round(len(list_intersect(q.t, d.t)) / len(q.t)::double, 6) as overlap from d join d q on q.doc_id % 50 = 0 and q.source = d.source and q.doc_id <> d.doc_id
+select q.doc_id as query_id, d.doc_id, round(len(list_intersect(q.t, d.t)) / len(q.t)::double, 6) as overlap from d join d q on q.source = d.source and q.doc_id <> d.doc_id
 where len(q.t) > 0 and round(len(list_intersect(q.t, d.t)) / len(q.t)::double, 6) >= 0.8""",
 )
 def token_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Token-set overlap of every fiftieth document with all documents of its source; queries are broadcast in counted blocks."""
+    """Token-set overlap of every document with all documents of its source; tokens are compared by their 64-bit hashes."""
+    from lorewell.operators import overlap
+
     tok = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)))
-    d = _docs(spark, sf).select("doc_id", "source", tok.alias("t"))
-    q = d.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("source").alias("qs"), F.col("t").alias("qt"))
-    parts, out = -(-q.count() // 2000) or 1, None
-    for p in range(parts):
-        own = q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p)
-        got = d.join(F.broadcast(own), (F.col("source") == F.col("qs")) & (F.col("doc_id") != F.col("query_id")))
-        got = got.select("query_id", "doc_id", F.round(F.size(F.array_intersect("qt", "t")) / F.nullif(F.size("qt"), F.lit(0)), 6).alias("overlap")).where("overlap >= 0.8")
-        out = got if out is None else out.unionByName(got)
-    return out
+    got = overlap.contained(_docs(spark, sf), "doc_id", "source", F.transform(tok, lambda x: F.xxhash64(x)), 0.8 - 5e-7)
+    return got.select("query_id", F.col("id").alias("doc_id"), F.round(F.col("hits") / F.col("n"), 6).alias("overlap")).where("overlap >= 0.8")
 
 
 @query("quality_ascii_ratio", "select doc_id, round(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / nullif(length(text), 0)::double, 6) as letters from documents")

@@ -1,10 +1,14 @@
 """Queries against their SQL over small tables of odd rows."""
 
+import random
+
 import duckdb
+from pyspark.sql import functions as F
 
 import compare
 from lorewell import catalog
 from lorewell.functions import html
+from lorewell.operators import overlap
 from lorewell.streaming import streams
 
 
@@ -81,3 +85,20 @@ def test_a_named_stream_goes_on_where_it_ended(spark, tmp_path):
     t.run(spark.readStream.schema(kind).parquet(path), "s")
     assert [tuple(r) for r in t.log().where("change = 'modified'").select("k", "change").collect()] == [("k1", "modified")]
     assert t.state().where("k = 'k1'").first()["h"] == "Z" and t.state().count() == 500
+
+
+def test_token_overlap_of_every_document(spark, tmp_path):
+    rows = [(" ".join(f"w{(k * j) % 23}" for j in range(1 + k % 9)) + f" W{k % 3}!", "en", f"s{k % 2}") for k in range(60)] + [(None, "en", "s1"), ("", "en", "s1"), ("w0", "en", None)]
+    got = check(spark, tmp_path, "near_dup_token_overlap", documents=documents(spark, rows))
+    assert got.where("query_id % 50 <> 0").count() > 0
+
+
+def test_overlap_in_blocks_equals_all_pairs(spark):
+    rng = random.Random(3)
+    sets = {k: sorted(rng.sample(range(40), rng.randint(1, 12))) for k in range(150)}
+    sets |= {k: sets[k % 7] for k in range(150, 170)}
+    d = spark.createDataFrame([(k, "ab"[k % 2], t) for k, t in sets.items()], "id long, key string, t array<long>")
+    want = {(q, k, len(set(a) & set(b)), len(a)) for q, a in sets.items() for k, b in sets.items() if q != k and q % 2 == k % 2 and len(set(a) & set(b)) >= 0.7 * len(a)}
+    for block in (60, 100_000):
+        got = [tuple(r) for r in overlap.contained(d, "id", "key", F.col("t"), 0.7, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
