@@ -3,12 +3,13 @@
 import random
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import compare
 from lorewell import catalog
 from lorewell.functions import html
-from lorewell.operators import overlap
+from lorewell.operators import overlap, vector
 from lorewell.streaming import streams
 
 
@@ -102,3 +103,22 @@ def test_overlap_in_blocks_equals_all_pairs(spark):
     for block in (60, 100_000):
         got = [tuple(r) for r in overlap.contained(d, "id", "key", F.col("t"), 0.7, block).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def vectors(spark, n, dims=8):
+    rng = random.Random(5)
+    return spark.createDataFrame([(k, [rng.choice((-0.5, 0.0, 0.25, 0.5)) for _ in range(dims)], k % 3) for k in range(n)], "vec_id long, embedding array<float>, label int")
+
+
+def test_nearest_in_small_pieces(spark, tmp_path):
+    v = vectors(spark, 700)
+    check(spark, tmp_path, "vector_batch_knn", embeddings=v)
+    check(spark, tmp_path, "vector_pair_cosine_ge", embeddings=v)
+    want = [tuple(r) for r in vector.batch_knn(v, v, 3).orderBy("query_id", "rank").collect()]
+    assert want == [tuple(r) for r in vector.batch_knn(v, v, 3, block=50).orderBy("query_id", "rank").collect()]
+
+
+def test_scores_of_a_piece_are_bounded():
+    b = pa.RecordBatch.from_pydict({"id": pa.array(range(9000), pa.int64()), "e": pa.array([[1.0, 2.0]] * 9000)})
+    got = list(vector._pieces(iter([b]), 4096))
+    assert max(len(v) for v, _ in got) * 4096 <= 1 << 20 and [i for v, _ in got for i in v] == list(range(9000)) and got[-1][1].shape[1] == 2
