@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import compare
 from lorewell import catalog
 from lorewell.functions import html
-from lorewell.operators import overlap, vector
+from lorewell.operators import bm25, overlap, vector
 from lorewell.streaming import streams
 
 
@@ -122,3 +122,38 @@ def test_scores_of_a_piece_are_bounded():
     b = pa.RecordBatch.from_pydict({"id": pa.array(range(9000), pa.int64()), "e": pa.array([[1.0, 2.0]] * 9000)})
     got = list(vector._pieces(iter([b]), 4096))
     assert max(len(v) for v, _ in got) * 4096 <= 1 << 20 and [i for v, _ in got for i in v] == list(range(9000)) and got[-1][1].shape[1] == 2
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_citations_move_no_texts(spark, tmp_path):
+    d = documents(spark, [(f"Text number {k} is here. " * 30, "en", "s1") for k in range(150)])
+    c = spark.createDataFrame([(k, 1, "user", "q") for k in range(300)], "conv_id long, turn long, role string, text string")
+    got = check(spark, tmp_path, "citations_full", documents=d, conversations=c)
+    assert "Window [row_number" not in plan(got).split("BroadcastExchange")[0]
+    assert not [x for x in plan(got).splitlines() if "Exchange hashpartitioning(answer_id" in x and "text" in x]
+
+
+def test_postings_are_counted_in_place(spark, tmp_path):
+    rows = [("the river, River rose!", "en", "s"), ("", "en", "s"), (None, "en", "s"), ("the of", "en", "s"), *[("water " * k + "land", "en", "s") for k in range(30)]]
+    d = documents(spark, rows)
+    check(spark, tmp_path, "bm25_term_idf", documents=d)
+    once = bm25.build(d, "doc_id", "text")
+    twice = bm25.build(d.unionByName(d), "doc_id", "text")
+    assert "dl" in once.postings.columns and "dl" not in twice.postings.columns
+    assert sorted((r["id"], r["term"], 2 * r["tf"]) for r in once.postings.collect()) == sorted(tuple(r) for r in twice.postings.collect())
+
+
+def test_few_terms_leave_postings_in_place(spark, tmp_path):
+    d = documents(spark, [(f"water land w{k % 7}", "en", "s") for k in range(60)])
+    b = spark.createDataFrame([(k, f"w{k} water") for k in range(9)], "item_id long, text string")
+    assert "SortMergeJoin" not in plan(check(spark, tmp_path, "bm25_batch_benchmark", documents=d, benchmark=b))
+
+
+def test_hybrid_lists_rank_without_texts(spark, tmp_path):
+    d = documents(spark, [(f"water land w{k % 7} " * 9, "en", f"s{k % 4}") for k in range(90)])
+    b = spark.createDataFrame([(k, f"w{k} water") for k in range(9)], "item_id long, text string")
+    got = check(spark, tmp_path, "hybrid_per_source_cap", documents=d, benchmark=b, embeddings=vectors(spark, 90))
+    assert got.count() == 5
